@@ -2,8 +2,8 @@
 
 Heuristic labellers vote good, bad or nothing on each document.  Their patterns of votes are counted over all
 documents (3^labellers patterns at most, so the counts are bounded), and expectation-maximisation on the counts estimates
-the share of good documents and, for each labeller, how often it votes which way on good and on bad ones, starting
-from "labellers are right more often than not".  Posteriors of the patterns are the labels that train a linear
+the share of good documents and, for each labeller, how often its votes are right on good and on bad ones, starting
+from "labellers are right more often than not"; a labeller that does not vote says nothing.  Posteriors of the patterns are the labels that train a linear
 scorer over hashed byte trigrams, on at most `train_rows` documents picked by a hash of the text (the bound is a
 parameter); it can then score documents on which no labeller votes.
 
@@ -24,12 +24,11 @@ from pyspark.sql import types as T
 
 from .hashing import encode
 
-LABELLERS = ["symbols", "capitals", "bars", "word_length", "repeats", "sentences", "short_words", "digits"]
+LABELLERS = ["symbols", "capitals", "bars", "word_length", "repeats", "sentences", "short_words", "stutter"]
 BITS = 11
 SYMBOLS = np.array([c in b"#$%&*^~<>{}[]\\|=_@+" for c in range(256)])
 UPPER = np.array([65 <= c <= 90 for c in range(256)])
 LETTER = np.array([65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
-DIGIT = np.array([48 <= c <= 57 for c in range(256)])
 
 
 def votes(text: bytes) -> list[int]:
@@ -52,7 +51,7 @@ def votes(text: bytes) -> list[int]:
         1 if n < 50 else 0 if distinct < 0.25 else 2 if distinct > 0.35 else 1,
         1 if n < 20 else 0 if ends / n < 0.01 or ends / n > 0.6 else 2 if 0.03 <= ends / n <= 0.3 else 1,
         1 if n < 20 else 0 if (lengths <= 3).mean() < 0.08 else 2 if (lengths <= 3).mean() > 0.2 else 1,
-        between(counts[DIGIT].sum() / seen, 0.2, 0.03),
+        1 if n < 5 else between(sum(map(bytes.__eq__, words, words[1:])) / (n - 1), 0.2, 0.05),
     ]
 
 
@@ -64,30 +63,30 @@ def pattern(text: bytes) -> int:
 
 
 def features(text: bytes) -> np.ndarray:
-    """Square roots of hashed byte trigram counts (case and punctuation kept, letters beyond ASCII as one), unit length."""
+    """Square roots of hashed byte trigram counts (case and punctuation kept, letters beyond ASCII as one) at unit
+    length, then the labellers' votes (-0.3, 0 or 0.3 each)."""
     b = np.frombuffer(text, np.uint8).astype(np.uint32)
     b = np.where(b >= 128, 128, b)
     h = ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS) if len(b) > 2 else np.zeros(0, np.uint32)
     x = np.sqrt(np.bincount(h.astype(np.int64), minlength=1 << BITS)).astype(np.float32)
-    return x / max(float(np.sqrt((x**2).sum())), 1e-9)
+    return np.append(x / max(float(np.sqrt((x**2).sum())), 1e-9), np.array(votes(text), np.float32) * np.float32(0.3) - np.float32(0.3))
 
 
 @dataclass
 class LabelModel:
     good: float  # share of good documents
-    chance: np.ndarray  # class (bad, good) x labeller x vote
+    chance: np.ndarray  # class (bad, good) x labeller: chance that a vote, if cast, is "good"
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        """Chance that a document is good.  A labeller that does not vote says nothing."""
         v = _split(patterns)
-        log = np.log([1 - self.good, self.good])[:, None] + sum(np.log(self.chance[:, j, v[:, j]]) for j in range(v.shape[1]))
+        yes, no = (v == 2).astype(float), (v == 0).astype(float)
+        log = np.log([1 - self.good, self.good])[:, None] + np.log(self.chance) @ yes.T + np.log(1 - self.chance) @ no.T
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -40, 40)))
 
     def accuracies(self) -> dict[str, float]:
-        """How often a labeller that votes is right."""
-        w = np.array([1 - self.good, self.good])
-        right = w[0] * self.chance[0, :, 0] + w[1] * self.chance[1, :, 2]
-        voted = (w[:, None] * (self.chance[:, :, 0] + self.chance[:, :, 2])).sum(0)
-        return dict(zip(LABELLERS, (right / np.maximum(voted, 1e-12)).tolist(), strict=True))
+        """How often each labeller's vote is right, for documents of either class in equal number."""
+        return dict(zip(LABELLERS, ((1 - self.chance[0] + self.chance[1]) / 2).tolist(), strict=True))
 
 
 def _split(patterns: np.ndarray) -> np.ndarray:
@@ -96,15 +95,17 @@ def _split(patterns: np.ndarray) -> np.ndarray:
 
 
 def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
-    """Expectation-maximisation over counted patterns."""
+    """Expectation-maximisation over counted patterns.  The prior, worth a twentieth of the documents for each labeller,
+    says that good documents rarely get a vote for bad, and bad ones about as often as not."""
     v, total = _split(patterns), counts.sum()
-    start = np.array([[0.5, 0.3, 0.2], [0.1, 0.3, 0.6]])  # bad, nothing, good for bad and good documents
-    model = LabelModel(0.8, np.repeat(start[:, None, :], v.shape[1], axis=1))
+    n, prior = len(LABELLERS), max(2.0, total / 20)
+    guess = np.stack([np.full(n, 0.6), np.full(n, 0.97)])
+    model = LabelModel(0.85, guess)
     for _ in range(rounds):
         good = model.posterior(patterns)
         weight = np.stack([(1 - good) * counts, good * counts])
-        chance = np.stack([np.stack([(weight * (v[:, j] == k)).sum(1) for k in range(3)], axis=1) for j in range(v.shape[1])], axis=1)
-        chance = (chance + 0.5) / (chance.sum(2, keepdims=True) + 1.5)
+        yes, cast = weight @ (v == 2), weight @ (v != 1)
+        chance = np.clip((yes + prior * guess) / (cast + prior), 1e-4, 1 - 1e-4)
         share = float((weight[1].sum() + 1) / (total + 2))
         done = abs(share - model.good) < 1e-9
         model = LabelModel(share, chance)
@@ -136,7 +137,7 @@ def fit_quality(docs: DataFrame, text_col: str = "text", train_rows: int = 4000,
     got = docs.select(pattern_of(_text(text_col)).alias("p")).groupBy("p").count().toPandas()  # 3^8 rows at most
     n = int(got["count"].sum())
     if not n:
-        return QualityModel(LabelModel(0.5, np.full((2, len(LABELLERS), 3), 1 / 3)), 0.0, np.zeros(1 << BITS))
+        return QualityModel(LabelModel(0.5, np.full((2, len(LABELLERS)), 0.5)), 0.0, np.zeros((1 << BITS) + len(LABELLERS)))
     labels = fit_labels(got["p"].to_numpy(np.int64), got["count"].to_numpy(float))
     rows = docs.select(_text(text_col).alias("text"))
     if n > train_rows:
@@ -149,7 +150,7 @@ def fit_quality(docs: DataFrame, text_col: str = "text", train_rows: int = 4000,
 
     kept = rows.mapInPandas(sample, "p int, x binary").toPandas()  # train_rows rows of 8 KB
     if kept.empty:
-        return QualityModel(labels, float(np.log(labels.good / (1 - labels.good))), np.zeros(1 << BITS))
+        return QualityModel(labels, float(np.log(labels.good / (1 - labels.good))), np.zeros((1 << BITS) + len(LABELLERS)))
     x = np.frombuffer(b"".join(kept["x"]), np.float32).reshape(len(kept), -1)
     y = labels.posterior(kept["p"].to_numpy(np.int64))
     w, b, m, v = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)

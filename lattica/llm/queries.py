@@ -110,10 +110,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 SQL: dict[str, str] = {
     "op8_topk": """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(256 * cast(x as double))) as v
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
   from embeddings
   where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(cast(x as double)))) = 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0
 ), s as (
   select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
   from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
