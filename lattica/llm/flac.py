@@ -532,4 +532,4 @@ def pcm_range(decoded: DataFrame, start: int, n: int) -> DataFrame:
     hit = F.filter("blocks", lambda b: (b["sample_offset"] < start + n) & (b["sample_offset"] + b["n_samples"] > start))
     part = F.transform(hit, lambda b: F.substring(b["pcm"], F.greatest(F.lit(0), F.lit(start) - b["sample_offset"]).cast("int") + 1, F.least(F.lit(start + n) - F.greatest(b["sample_offset"], F.lit(start)), b["n_samples"].cast("long")).cast("int")))
     joined = F.aggregate(part, F.lit(b""), lambda a, b: F.concat(a, b))
-    return decoded.drop("blocks").withColumn("pcm", joined) if "pcm" not in decoded.columns else decoded.drop("blocks", "pcm").withColumn("pcm", joined)
+    return decoded.withColumn("pcm", joined).drop("blocks")

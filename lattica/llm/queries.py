@@ -107,7 +107,49 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_flac, op2_simhash, op3_langid, op4_warc, op5_toxicity, op6_secrets, op7_packing, op8_topk, op9_mixing, op10_quality)}
 
+def _warc_sql() -> str:
+    """Derivatives of pages in DuckDB's dialect."""
+    crlf = "chr(13) || chr(10)"
+
+    def uuid(text: str) -> str:
+        return f"'<urn:uuid:' || " + " || '-' || ".join(f"substr(md5({text}), {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+
+    def json(c: str) -> str:
+        for a, b in (("'\\'", "'\\\\'"), ("'\"'", "'\\\"'"), ("chr(10)", "'\\n'"), ("chr(13)", "'\\r'"), ("chr(9)", "'\\t'")):
+            c = f"replace({c}, {a}, {b})"
+        return f"'\"' || {c} || '\"'"
+
+    text = "html"
+    for pattern, new in (
+        (r"(?s)<!--.*?-->", "' '"), (r"(?is)<script[^>]*>.*?</script>", "' '"), (r"(?is)<style[^>]*>.*?</style>", "' '"),
+        (r"(?i)<br[^>]*>|</(p|h1|h2|h3|h4|h5|h6|li|div|title|tr|ul|ol|nav|article|footer|header|section)>", "chr(10)"), (r"<[^>]*>", "' '"),
+    ):
+        text = f"regexp_replace({text}, '{pattern}', {new}, 'g')"
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        text = f"replace({text}, '{a}', '{b}')"
+    text = rf"regexp_replace({text}, '[ \t\x0B\f\r]+', ' ', 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+    title = r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+    links = """regexp_extract_all(html, '(?i)<a [^>]*href="([^"]*)"', 1)"""
+    meta = (
+        f"""'{{"url":' || {json("url")} || ',"status":"200","content_type":"text/html; charset=utf-8","title":' || {json(title)} || ',"n_links":' || len({links}) || ',"links":['"""
+        f""" || coalesce(array_to_string(list_transform({links}, lambda v: {json("v")}), ','), '') || '],"body_bytes":' || strlen(html) || ',"text_bytes":' || strlen(text) || '}}'"""
+    )
+    head = " || ".join(f"'{n}: ' || {c} || {crlf}" for n, c in (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "'2024-01-01T00:00:00Z'"), ("WARC-Payload-Digest", "payload_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "kind"), ("Content-Length", "content_length")))
+    return f"""
+with p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
+t as (select *, {text} as text, {uuid("'response|' || coalesce(cast(page_id as varchar), '') || '|' || url")} as refers_to, 'sha256:' || sha256(html) as payload_digest from p),
+d as (
+  select page_id, 'metadata' as record_type, 'application/json' as kind, refers_to, url as target_uri, payload_digest, {meta} as block from t
+  union all select page_id, 'conversion', 'text/plain', refers_to, url, payload_digest, text from t
+), r as (select *, {uuid("record_type || '|' || refers_to")} as record_id, 'sha256:' || sha256(block) as block_digest, cast(strlen(block) as bigint) as content_length from d)
+select page_id, record_type, record_id, refers_to, target_uri, payload_digest, block_digest, content_length,
+  sha256('WARC/1.1' || {crlf} || {head} || {crlf} || block || {crlf} || {crlf}) as record_sha256, block
+from r"""
+
+
 SQL: dict[str, str] = {
+    "op4_warc": _warc_sql(),
     "op8_topk": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v

@@ -52,7 +52,7 @@ def plain_text(html: Column) -> Column:
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         t = F.replace(t, F.lit(a), F.lit(b))
     t = F.regexp_replace(t, r"[ \t\x0B\f\r]+", " ")
-    return F.trim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
 def _json(c: Column) -> Column:
