@@ -84,3 +84,11 @@ def cigar_qualified(cigar: Column, pos: Column, ref_len: Column, mismatch_cutoff
 
 def min_dist_to_end(cigar: Column, pos: Column, ref_len: Column) -> Column:
     return F.least(pos - 1, ref_len - pos - aligned_length(cigar) + 1)
+
+
+def left_clip_length(cigar: Column) -> Column:
+    return F.coalesce(F.regexp_extract(cigar, r"^(\d+)[Ss]", 1).try_cast("int"), F.lit(0))
+
+
+def right_clip_length(cigar: Column) -> Column:
+    return F.coalesce(F.regexp_extract(cigar, r"(\d+)[Ss]$", 1).try_cast("int"), F.lit(0))

@@ -163,3 +163,20 @@ def sample_rates(reads: DataFrame, percents: list[float], seed: int = 42) -> Dat
     """reads once for each rate whose sample holds them, tagged by it."""
     rates = F.filter(F.array(*(F.lit(float(p)) for p in percents)), lambda p: F.col("__b") < p * 100)
     return reads.withColumn("__b", sample_bucket(seed)).withColumn("rate", F.explode(rates)).drop("__b")
+
+
+def max_clip(aln: DataFrame) -> DataFrame:
+    """read_base, clip_len, clip_end (r1_l to r2_r), cigar: the longest clip of a read's alignments; ties go to the first by
+    mate, CIGAR, left before right.  Both are empty where nothing is clipped.  A minimum of structs, so it aggregates partially."""
+    ends = F.array(F.struct(F.lit("l").alias("side"), C.left_clip_length(F.col("cigar")).alias("n")), F.struct(F.lit("r").alias("side"), C.right_clip_length(F.col("cigar")).alias("n")))
+    e = mapped(aln).select("read_base", "mate", "cigar", F.explode(ends).alias("e"))
+    best = e.groupBy("read_base").agg(F.min(F.struct((-F.col("e.n")).alias("n"), "mate", "cigar", F.col("e.side").alias("side"))).alias("b"))
+    some = F.col("b.n") < 0
+    return best.select("read_base", (-F.col("b.n")).alias("clip_len"), F.when(some, F.concat(F.lit("r"), F.col("b.mate").cast("string"), F.lit("_"), "b.side")).otherwise("").alias("clip_end"), F.when(some, F.col("b.cigar")).otherwise("").alias("cigar"))
+
+
+def min_max_clip(aln: DataFrame) -> DataFrame:
+    """read_base, min_clip, max_clip over the clipped ends of a read's alignments; an alignment without a clip counts as 0."""
+    left, right = C.left_clip_length(F.col("cigar")), C.right_clip_length(F.col("cigar"))
+    shortest = F.when(left == 0, right).when(right == 0, left).otherwise(F.least(left, right))
+    return mapped(aln).groupBy("read_base").agg(F.min(shortest).alias("min_clip"), F.max(F.greatest(left, right)).alias("max_clip"))

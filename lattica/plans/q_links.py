@@ -294,3 +294,12 @@ def _(fx):
     both = counted("marker", "M", "l_suppkey", 20).join(counted("genome", "G", "l_orderkey", 15), "mini")
     both = both.filter(F.least("marker_top", "genome_top") / F.greatest("marker_top", "genome_top") >= 0.3)
     return both.groupBy("marker", "genome").agg(F.sum("marker_n").alias("marker_n"), F.sum("genome_n").alias("contig_n"))
+
+
+@query("sink_qc_tables", f"select {COLS}, {SHORT} and ({ENDS[0]} or l.matched >= 750) and ({ENDS[1]} or r.matched >= 750) as passed from {JOINED} where l.reads >= 3", STATS)
+def _(fx):
+    from ..sources import readers as R
+
+    out = _qc(fx, L.link_qc_rd1)
+    path = R.stored(out, lambda d, p: d.write.csv(p, sep="\t", header=True), "qc")
+    return fx.spark.read.csv(path, sep="\t", header=True, schema=out.schema)

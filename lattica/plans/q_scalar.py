@@ -328,3 +328,29 @@ def _(fx):
     return a.join(bases, "read_base").select("read_base", "mate", (F.col("k") * 2 - 2 + F.col("mate")).alias("place"))
 
 
+
+
+CLIPS = r"clips as (select *, coalesce(try_cast(regexp_extract(cigar, '^(\d+)[Ss]', 1) as int), 0) as lc, coalesce(try_cast(regexp_extract(cigar, '(\d+)[Ss]$', 1) as int), 0) as rc from fx_aln)"
+
+
+@query("max_clip", "select read_base, n as clip_len, case when n > 0 then 'r' || mate || '_' || side else '' end as clip_end, case when n > 0 then cigar else '' end as cigar from (select *, row_number() over (partition by read_base order by n desc, mate, cigar, side) as k from (select read_base, mate, cigar, 'l' as side, lc as n from clips union all select read_base, mate, cigar, 'r', rc from clips)) where k = 1", CLIPS)
+def _(fx):
+    return P.max_clip(fx("fx_aln"))
+
+
+@query("min_max_clip", "select read_base, min(n) as min_clip, max(n) as max_clip from (select read_base, unnest(case when lc = 0 and rc = 0 then [0] when lc = 0 then [rc] when rc = 0 then [lc] else [lc, rc] end) as n from clips) group by 1", CLIPS)
+def _(fx):
+    return P.min_max_clip(fx("fx_aln"))
+
+
+@query("sink_fasta", "select '>S' || seq_id as head, seq from fx_seq")
+def _(fx):
+    s = fx("fx_seq").select(F.concat(F.lit("S"), F.col("seq_id").cast("string")).alias("id"), "seq")
+    back = fx.spark.read.option("lineSep", "\n>").text(R.stored(s, R.write_fasta, "fasta")).select(F.split(F.regexp_replace("value", r"^>|\s+$", ""), "\n").alias("v"))
+    return back.select(F.concat(F.lit(">"), F.col("v")[0]).alias("head"), F.col("v")[1].alias("seq"))
+
+
+@query("sink_sam", "select read_base || '.' || mate as id, '0' as flag, ref_id as ref, cast(pos as varchar) as pos, cigar from fx_aln union all select '@SQ', 'SN:' || ref_id, 'LN:' || ref_len, null, null from (select distinct ref_id, ref_len from fx_aln)")
+def _(fx):
+    c = F.split("value", "\t")
+    return fx.spark.read.text(R.stored(fx("fx_aln"), R.write_sam, "sam")).select(*(F.try_element_at(c, F.lit(i)).alias(n) for i, n in ((1, "id"), (2, "flag"), (3, "ref"), (4, "pos"), (6, "cigar"))))
