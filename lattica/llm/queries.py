@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flac, langid, mixing, packing, quality, secrets, simhash, topk, toxicity, warc
-from .common import fold, table
+from .common import cut, fold, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -60,11 +60,17 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "content_length", F.sha2(warc.record_text(), 256).alias("record_sha256"), "block")
 
 
-def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training rows (text, toxic) of the learning fold."""
+def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, train_rows: int = 20_000) -> DataFrame:
+    """Training rows (text, toxic) of the learning fold, for about train_rows labels at most, picked by a hash.
+
+    The labels are thinned before they meet the documents, so what is broadcast has that bound and texts are not
+    shuffled; the texts found are written once."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("__id"), "toxic").filter("toxic is not null")
-    rows = docs.filter(fold("doc_id", 4) != 2).select("doc_id", "text")
-    return rows.join(labels, F.col("doc_id") == F.col("__id")).select("text", "toxic")
+    labels = labels.filter(fold("__id", 4) != 2).distinct()
+    n = labels.count()
+    if n > train_rows:
+        labels = labels.filter(F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(1 << 30)) < int(train_rows / n * (1 << 30)))
+    return cut(docs.select("doc_id", "text").join(F.broadcast(labels), F.col("doc_id") == F.col("__id")).select("text", "toxic"), "labelled")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
