@@ -44,8 +44,9 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def words(texts: list[bytes], table: np.ndarray = LETTERS) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, 64-bit hash) of every word in order; a hash depends on the word's bytes alone."""
+def words(texts: list[bytes], table: np.ndarray = LETTERS, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, 64-bit hash) of every word in order; a hash depends on the word's bytes alone.  Then, for each length in
+    prefixes, the same of the first bytes of longer words (other hashes than those of words)."""
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     raw = table[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
     inside = raw != 32
@@ -53,12 +54,18 @@ def words(texts: list[bytes], table: np.ndarray = LETTERS) -> tuple[np.ndarray,
     start, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
     # sums of byte * BASE^position, wrapping; a word's sum is divided by BASE^start
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(raw)), dtype=np.uint64)])
-    value = (sums[end] - sums[start]) * _powers(UNBASE, len(raw) + 1)[start]
+    back = _powers(UNBASE, len(raw) + 1)[start]
+    owner = np.searchsorted(np.cumsum(sizes), start, side="right")
+    owners, values = [owner], [(sums[end] - sums[start]) * back]
+    for n in prefixes:
+        longer = end - start > n
+        owners.append(owner[longer])
+        values.append((sums[start[longer] + n] - sums[start[longer]]) * back[longer] ^ np.uint64(n * 0x2545F4914F6CDD1D % (1 << 64)))
+    value = np.concatenate(values)
     value ^= value >> np.uint64(29)
     value *= MIX
     value ^= value >> np.uint64(32)
-    owner = np.searchsorted(np.cumsum(sizes), start, side="right")
-    return owner, value
+    return np.concatenate(owners), value
 
 
 def trigrams(text: bytes, bits: int) -> np.ndarray:

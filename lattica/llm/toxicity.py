@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document's features are the presence of hashed words.  Of the 2^BITS buckets the `terms` with the strongest
+A document's features are the presence of hashed words and of hashed beginnings of words.  Of the 2^BITS buckets the `terms` with the strongest
 association with the label (signed chi-squared over the training rows) are kept; the machine learns a weight
 for each and, through `rank` factors, for each pair of terms that meet in a document, so that an
 insult beside a group mention can count for more than their sum, which an additive model misses.
@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from .hashing import encode, slices, words
 
 BITS = 20
+PREFIXES = (5, 6, 7)  # bytes; stems of compounds and of inflected words
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -35,7 +36,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def present(texts: list[bytes], index: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket) of the distinct buckets of each text; with an index, (text number, feature)
     of those that it has."""
-    who, value = words(texts)
+    who, value = words(texts, prefixes=PREFIXES)
     bucket = (value >> np.uint64(64 - BITS)).astype(np.int64)
     if index is not None:
         bucket = index[bucket]
@@ -125,7 +126,7 @@ def fit_toxicity(rows: DataFrame, text_col: str = "text", label_col: str = "toxi
     expected = (a + b) * n1 / (n0 + n1)
     chi = (a - expected) ** 2 / expected + (b - (a + b - expected)) ** 2 / (a + b - expected)
     best = np.lexsort((got["bucket"].to_numpy(), -chi))[:terms]
-    best = best[chi[best] > 6.6]  # one in a hundred by chance
+    best = best[chi[best] > 15]  # one in ten thousand by chance
     buckets = np.sort(got["bucket"].to_numpy()[best])
     fm = FactorizationMachine(buckets, 0.0, np.zeros(len(buckets)), np.zeros((len(buckets), rank)))
     index = fm.index()
