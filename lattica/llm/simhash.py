@@ -68,7 +68,7 @@ def part_signatures(text: bytes, shingle: int, seed: int = 42) -> list[int]:
 
     The shingles are dealt by their hashes to 2^k parts of three or four each (k follows the set's size; near the edge of two
     k, both), and a part's signature is the sum of its hashes.  Documents of similarity s agree in a part with
-    a chance of about s^4, so those of 0.8 or more agree in some part almost surely."""
+    a chance of about s^4, so those of 0.8 or more agree in some part almost surely.  The lowest bits are the part's number."""
     h = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle, seed)]))
     out: list[int] = []
     if not len(h):
@@ -82,7 +82,8 @@ def part_signatures(text: bytes, shingle: int, seed: int = 42) -> list[int]:
         if len(named):
             first = np.concatenate([[0], np.nonzero(np.diff(named))[0] + 1])
             sums = np.add.reduceat((mixed ^ mixed >> np.uint64(31))[own][order], first)
-            out += ((sums + named[first] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k * 0x165667B19E3779F9 % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)).tolist()
+            value = (sums + np.uint64(k * 0x165667B19E3779F9 % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)
+            out += (value & np.uint64((1 << 64) - PARTS) | named[first]).tolist()
     return out
 
 
@@ -283,13 +284,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 # ---------------------------------------------------------------- similar documents
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least_cosine: float = 0.8, split_above: int = 512, extra: dict[str, Column] | None = None) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least_cosine: float = 0.8, split_above: int = 4096, extra: dict[str, Column] | None = None) -> DataFrame:
     """id_col, fp, component_id, and columns of `extra`: groups of documents whose fingerprints estimate a
     cosine of least_cosine or more (cos(pi d / 64) for d differing bits), which radii of a few bits miss.
 
     Fingerprints meet in a shard for each part signature that they share, and a BK-tree in each shard finds those within the
     radius.  Fingerprints of a shard with more than `split_above` meet again by pairs of shared signatures: what two
-    documents share by chance, such as a license, fills single parts, but seldom two."""
+    documents share by chance, such as a license, fills single parts, but seldom two.  A pair is a part and one of the next
+    three (of PARTS, in a circle), so that a fingerprint gets a few more rows, not one for each pair."""
     radius = int(np.floor(np.arccos(least_cosine) / np.pi * 64))
 
     @F.pandas_udf(T.StructType().add("fp", T.LongType()).add("parts", T.ArrayType(T.LongType())))
@@ -305,7 +307,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cells = cut(cells.join(sizes, "shard"), "shards")
     small = _link_shards(cells.filter(F.col("n") <= split_above).select("shard", "fp"), ["shard"], radius)
     hot = cells.filter(F.col("n") > split_above).select("shard", "fp")
-    pairs = hot.join(cells.select("fp", F.col("shard").alias("second")), "fp").filter("shard <> second")
+    number = lambda c: F.col(c).bitwiseAND(PARTS - 1)
+    near = F.pmod(number("second") - number("shard"), F.lit(PARTS)) <= 3
+    pairs = hot.join(cells.select("fp", F.col("shard").alias("second")), "fp").filter(near & (F.col("shard") != F.col("second")))
     pairs = pairs.select(F.least("shard", "second").alias("shard"), F.greatest("shard", "second").alias("second"), "fp").distinct()
     links = small.unionByName(_link_shards(pairs, ["shard", "second"], radius)).distinct()
     return _name_groups(rows, links, id_col, list(extra or {}))
