@@ -1,0 +1 @@
+"""Nothing here: the field has no unbounded source (see README)."""
