@@ -503,6 +503,20 @@ def flac_samples(media: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"pcm": pd.Series([a for a, _ in out], dtype=object), "error": pd.Series([b for _, b in out], dtype=object)})
 
 
+@F.pandas_udf(T.StructType().add("media", T.BinaryType()).add("pcm", T.BinaryType()).add("error", T.StringType()))
+def flac_stored_and_read(payload: pd.Series) -> pd.DataFrame:
+    """The stream of each payload, and what is read back from the stream's bytes.  As two columns Spark would write each
+    stream twice, once for the column and once inside the read."""
+    values, media, read = payload.tolist(), [], []
+    for part in _slices([len(v or b"") for v in values]):
+        done = iter(encode_streams([bytes(v) for v in values[part] if v is not None]))
+        own = [None if v is None else next(done) for v in values[part]]
+        media += own
+        read += decode_streams(own)
+    column = lambda x: pd.Series(x, dtype=object)
+    return pd.DataFrame({"media": column(media), "pcm": column([a for a, _ in read]), "error": column([b for _, b in read])})
+
+
 def pcm_blocks(pcm: Column, block_samples: int = 4096) -> Column:
     """PCM cut into blocks: array<struct<sample_offset, n_samples, pcm>>; null for null."""
     starts = F.transform(F.sequence(F.lit(0), F.ceil(F.octet_length(pcm) / block_samples).cast("int")), lambda i: i.cast("long") * block_samples)
@@ -527,6 +541,12 @@ def decode_flac(df: DataFrame, media_col: str, id_cols: list[str], block_samples
     return out.select(*id_cols, F.col("__decoded.error").alias("error"), pcm_blocks(F.col("__decoded.pcm"), block_samples).alias("blocks"))
 
 
+def store_and_read(df: DataFrame, payload_col: str, id_cols: list[str], block_samples: int = 4096) -> DataFrame:
+    """id_cols, media, error, blocks: encode_flac and decode_flac in one pass."""
+    out = df.select(*(F.col(c) for c in id_cols), flac_stored_and_read(F.col(payload_col)).alias("__both"))
+    return out.select(*id_cols, F.col("__both.media").alias("media"), F.col("__both.error").alias("error"), pcm_blocks(F.col("__both.pcm"), block_samples).alias("blocks"))
+
+
 def pcm_range(decoded: DataFrame, start: int, n: int) -> DataFrame:
     """The samples [start, start + n) of each decoded stream, found by block offsets: column pcm."""
     hit = F.filter("blocks", lambda b: (b["sample_offset"] < start + n) & (b["sample_offset"] + b["n_samples"] > start))
