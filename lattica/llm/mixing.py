@@ -35,6 +35,22 @@ def document_tokens(text: Column) -> Column:
     return F.greatest(F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / 4), F.lit(1)).cast("long")
 
 
+def _number(digits: int, *parts: Column | str) -> Column:
+    """A number from the first hex digits of an MD5 of parts (null parts count as empty)."""
+    text = F.concat_ws("|", *(F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
+def document_key(id_col: str, text_col: str) -> Column:
+    """60 bits that place a document in its source's blocks."""
+    return _number(15, id_col, text_col)
+
+
+def block_turn(source: Column, block: Column, epoch: Column, seed: int) -> Column:
+    """Place of a block in the permutation of an epoch (from 0) of its source."""
+    return _number(10, source, block, epoch, F.lit(seed))
+
+
 @dataclass
 class Exponent:
     alpha: float
@@ -91,7 +107,7 @@ def mix_plan(docs: DataFrame, source: Column, key: Column, tokens: Column, repea
     # the least budget reads each document once: its rounding must not take one away
     quota = F.greatest("quota", "all") if budget is None else F.col("quota")
     plan = plan.withColumn("quota", quota).withColumn("full", F.floor(F.col("quota") / F.col("all")))
-    last = Window.partitionBy("source").orderBy(F.xxhash64("source", "block", "full", F.lit(seed)), "block").rowsBetween(Window.unboundedPreceding, 0)
+    last = Window.partitionBy("source").orderBy(block_turn(F.col("source"), F.col("block"), F.col("full"), seed), "block").rowsBetween(Window.unboundedPreceding, 0)
     room = F.col("quota") - F.col("full") * F.col("all") - (F.sum("tokens").over(last) - F.col("tokens"))
     plan = plan.withColumn("room", room).withColumn("epochs", (F.col("full") + (F.col("room") >= F.col("tokens")).cast("long")).cast("int"))
     plan = plan.withColumn("room", F.when((F.col("room") > 0) & (F.col("room") < F.col("tokens")), F.col("room")))
@@ -109,7 +125,7 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     comes once for each epoch in which it is read.  Reading order: epoch, then turn (the place of its
     block in that epoch's permutation of its source), then any."""
     name, w = fresh(docs, "mix"), {k: fresh(docs, k) for k in ("key", "tokens", "source", "block", "weight", "quota", "epochs", "cut")}
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    key = document_key(id_col, text_col)
     plan = mix_plan(docs, F.col(source_col).cast("string"), key, document_tokens(F.col(text_col)), repeats, entropy, budget, seed)
     small = plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     plan = plan.select(*(F.col(c).alias(w[c]) for c in plan.columns))
@@ -118,7 +134,7 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     both = at.join(F.broadcast(plan) if small else plan, on)
     copies = F.col(w["epochs"]) + F.coalesce((F.col(w["key"]) <= F.col(w["cut"])).cast("int"), F.lit(0))
     epoch = F.explode(F.sequence(F.lit(1), copies))
-    turn = lambda e: F.pmod(F.xxhash64(F.col(source_col).cast("string"), F.col(w["block"]), e.cast("long") - 1, F.lit(seed)), F.lit(1 << 40))
+    turn = lambda e: block_turn(F.col(source_col), F.col(w["block"]), e - 1, seed)
     one = both.filter(copies > 0).select(*docs.columns, *(F.col(w[c]) for c in ("key", "weight", "block")), epoch.alias(w["epochs"]))
     cell = F.struct(document_tokens(F.col(text_col)).alias("tokens"), F.col(w["weight"]).alias("weight"), F.col(w["epochs"]).alias("epoch"), F.col(w["block"]).alias("block"), turn(F.col(w["epochs"])).alias("turn"))
     return one.select(*docs.columns, cell.alias(name)), name

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import flac, langid, mixing, packing, quality, secrets, simhash, topk, toxicity, warc
 from .common import cut, fold, table
+from .mixing_sql import mixing_sql
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -102,7 +103,8 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out, name = mixing.mix(docs, repeats=2.0)
-    return out.select("doc_id", "source", *(F.col(f"{name}.{c}").alias(c) for c in ("tokens", "weight", "epoch", "block", "turn")))
+    of = lambda c: F.col(f"{name}.{c}")
+    return out.select("doc_id", "source", of("tokens").alias("tokens"), F.round(of("weight"), 9).alias("weight"), *(of(c).alias(c) for c in ("epoch", "block", "turn")))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +157,7 @@ from r"""
 
 SQL: dict[str, str] = {
     "op4_warc": _warc_sql(),
+    "op9_mixing": mixing_sql(),
     "op8_topk": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
