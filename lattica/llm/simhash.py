@@ -173,8 +173,8 @@ def shard_rows(fps: DataFrame, radius: int) -> DataFrame:
     for i in range(len(cells)):
         for j in range(i + 1, len(cells)):
             (a, m), (b, k) = cells[i], cells[j]
-            # pair number | block | block: under 63 bits for a radius of 2 or more
-            key = F.shiftleft(F.lit(i * len(cells) + j).cast("long"), 40).bitwiseOR(F.shiftleft(_field(F.col("fp"), a, m), k.bit_length())).bitwiseOR(_field(F.col("fp"), b, k))
+            # pair number | block | block: blocks have 22 bits at most, pair numbers 5
+            key = F.shiftleft(F.lit(i * len(cells) + j).cast("long"), 48).bitwiseOR(F.shiftleft(_field(F.col("fp"), a, m), k.bit_length())).bitwiseOR(_field(F.col("fp"), b, k))
             keys.append(key)
     return fps.select(F.explode(F.array(*keys)).alias("shard"), "fp")
 
@@ -201,7 +201,7 @@ def split_rows(big: DataFrame, radius: int) -> DataFrame:
                     at += size
                 subs.append(F.struct(F.lit(c).alias("cell"), value.alias("bits")))
             cases.append((i * n + j, F.array(*subs)))
-    which = F.shiftrightunsigned("shard", 40)
+    which = F.shiftrightunsigned("shard", 48)
     picked = reduce(lambda rest, case: F.when(which == case[0], case[1]).otherwise(rest), cases[:-1], cases[-1][1])
     return big.select("shard", F.explode(picked).alias("sub"), "fp").select("shard", F.col("sub.cell").alias("cell"), F.col("sub.bits").alias("bits"), "fp")
 

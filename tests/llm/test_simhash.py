@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from lattica.llm import simhash as S
@@ -64,14 +65,15 @@ def clustered(n, rng):
     return out + [base ^ rng.getrandbits(10) for _ in range(150)] + [base ^ rng.getrandbits(9) << 40 for _ in range(80)]
 
 
-def test_links_connect_what_all_pairs_connect(spark):
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_links_connect_what_all_pairs_connect(spark, radius):
     rng = random.Random(7)
     values = sorted(set(clustered(60, rng)))
     fps = spark.createDataFrame([(int(np.uint64(v).astype(np.int64)),) for v in values], "fp long")
     rows = [(i, v) for i, v in enumerate(values)]
-    want = {v: c for (_, v), (_, c) in zip(rows, plain_groups(rows, lambda a, b: (a ^ b).bit_count() <= 2), strict=True)}
+    want = {v: c for (_, v), (_, c) in zip(rows, plain_groups(rows, lambda a, b: (a ^ b).bit_count() <= radius), strict=True)}
     for split in (512, 4):  # with and without hot shards
-        groups = {r["node"]: r["root"] for r in S.connected(S.near_links(fps, 2, split_above=split)).collect()}
+        groups = {r["node"]: r["root"] for r in S.connected(S.near_links(fps, radius, split_above=split)).collect()}
         got = {}
         for v in values:
             s = int(np.uint64(v).astype(np.int64))
