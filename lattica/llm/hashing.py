@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SLICE = 4 << 20  # bytes of text hashed at once
+SLICE = 1 << 20  # bytes of text hashed at once
 
 # lower-cases A-Z, keeps a-z and every byte above ASCII, and turns the rest to spaces
 LETTERS = np.full(256, 32, np.uint8)
