@@ -9,7 +9,7 @@ It is fitted on at most `train_rows` labelled rows, picked by a hash of the text
 features, the labels and the fitted model that pass through the driver are bounded by it too.
 
 Null and empty texts score the machine's bias.  Rows with a null label are not learned from; a document with
-several labels counts once for each.  If one class is missing, every score is the smoothed base rate.
+several labels counts once for each.  If one class is missing, every score is the base rate, smoothed towards 0.05.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def fit_toxicity(rows: DataFrame, text_col: str = "text", label_col: str = "toxi
     got = got[got["bucket"] >= 0]
     n0, n1 = (int(whole["n0"].sum()), int(whole["n1"].sum())) if len(whole) else (0, 0)
     if not n0 or not n1 or not len(got):
-        base = (n1 + 0.5) / (n0 + n1 + 1)
+        base = (n1 + 0.5) / (n0 + n1 + 10)  # without evidence a document counts as clean
         return FactorizationMachine(np.zeros(0, np.int64), float(np.log(base / (1 - base))), np.zeros(0), np.zeros((0, rank)))
     a, b = got["n1"].to_numpy(float), got["n0"].to_numpy(float)
     expected = (a + b) * n1 / (n0 + n1)
