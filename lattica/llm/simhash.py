@@ -21,7 +21,7 @@ an id).  Repeated rows come back as often as they went in; other columns of the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -206,7 +206,7 @@ def split_rows(big: DataFrame, radius: int) -> DataFrame:
     return big.select("shard", F.explode(picked).alias("sub"), "fp").select("shard", F.col("sub.cell").alias("cell"), F.col("sub.bits").alias("bits"), "fp")
 
 
-def _link_shards(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
+def _link_shards(rows: DataFrame, keys: list[str], radius: int, search_one: Callable[[list[int], int], list[tuple[int, int]]] = shard_links) -> DataFrame:
     """Links of each shard: rows meet by shard and are sorted, so a task holds one shard at a time."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,7 +225,7 @@ def _link_shards(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
         if len(fp):
             ends = np.append(edges[1:], len(fp))
             for a, b in zip(edges[(many := ends - edges > 1)].tolist(), ends[many].tolist(), strict=True):
-                out += shard_links(fp[a:b].view(np.uint64).tolist(), radius)
+                out += search_one(fp[a:b].view(np.uint64).tolist(), radius)
         pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -284,14 +284,22 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 # ---------------------------------------------------------------- similar documents
 
 
+def block_pairs(hot: DataFrame, most: int) -> DataFrame:
+    """(shard, first, second, fp): rows (shard, n, fp) of shards of n > most fingerprints, dealt by a hash to blocks of most / 2 and
+    repeated for each other block, so that any two of a shard meet in some pair of blocks, of about `most` rows at any n."""
+    blocks = F.ceil(F.col("n") * 2 / most).cast("int")
+    dealt = hot.select("shard", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp", "shard"), blocks).cast("int").alias("own"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("own <> other")
+    return dealt.select("shard", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "fp")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least_cosine: float = 0.8, split_above: int = 4096, extra: dict[str, Column] | None = None) -> DataFrame:
     """id_col, fp, component_id, and columns of `extra`: groups of documents whose fingerprints estimate a
     cosine of least_cosine or more (cos(pi d / 64) for d differing bits), which radii of a few bits miss.
 
-    Fingerprints meet in a shard for each part signature that they share, and a BK-tree in each shard finds those within the
-    radius.  Fingerprints of a shard with more than `split_above` meet again by pairs of shared signatures: what two
-    documents share by chance, such as a license, fills single parts, but seldom two.  A pair is a part and one of the next
-    three (of PARTS, in a circle), so that a fingerprint gets a few more rows, not one for each pair."""
+    Fingerprints meet in a shard for each part signature that they share, whatever the shard's size, and are searched
+    for those within the radius.  A shard of more than `split_above` fingerprints is dealt to blocks of half as many, and
+    each pair of blocks is searched by itself."""
     radius = int(np.floor(np.arccos(least_cosine) / np.pi * 64))
 
     @F.pandas_udf(T.StructType().add("fp", T.LongType()).add("parts", T.ArrayType(T.LongType())))
@@ -306,12 +314,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sizes = cells.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
     cells = cut(cells.join(sizes, "shard"), "shards")
     small = _link_shards(cells.filter(F.col("n") <= split_above).select("shard", "fp"), ["shard"], radius)
-    hot = cells.filter(F.col("n") > split_above).select("shard", "fp")
-    number = lambda c: F.col(c).bitwiseAND(PARTS - 1)
-    near = F.pmod(number("second") - number("shard"), F.lit(PARTS)) <= 3
-    pairs = hot.join(cells.select("fp", F.col("shard").alias("second")), "fp").filter(near & (F.col("shard") != F.col("second")))
-    pairs = pairs.select(F.least("shard", "second").alias("shard"), F.greatest("shard", "second").alias("second"), "fp").distinct()
-    links = small.unionByName(_link_shards(pairs, ["shard", "second"], radius)).distinct()
+    large = block_pairs(cells.filter(F.col("n") > split_above), split_above)
+    links = small.unionByName(_link_shards(large, ["shard", "first", "second"], radius)).distinct()
     return _name_groups(rows, links, id_col, list(extra or {}))
 
 

@@ -123,3 +123,24 @@ def test_similar_groups_catch_near_copies_and_leave_others(spark):
         caught = sum(got[c] == o for c, o in copies.items())
         assert caught >= 0.9 * len(copies)
         assert all(got[i] == i for i, _ in rows if i not in copies)
+
+
+def sketched(text):
+    raw = text.encode()
+    return S.fingerprint_bytes(raw, 5), S.part_signatures(raw, 5)
+
+
+def test_one_shared_signature_is_enough_in_large_shards(spark):
+    rng, rows = random.Random(11), []
+    while len(rows) < 40:  # pairs within 13 bits that share one signature only
+        text = [f"w{rng.randrange(9000)}" for _ in range(120)]
+        near = list(text)
+        for _ in range(7):
+            near[rng.randrange(120)] = "changed"
+        (f, p), (g, q) = sketched(" ".join(text)), sketched(" ".join(near))
+        if 0 < (f ^ g).bit_count() <= 13 and len(set(p) & set(q)) == 1:
+            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(near))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for split in (4096, 1):
+        got = {r["doc_id"]: r["component_id"] for r in S.similar_groups(df, split_above=split).collect()}
+        assert got == {i: i - i % 2 for i, _ in rows}
