@@ -156,6 +156,26 @@ def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     return [(v, r) for v in values if (r := find(v)) != v]
 
 
+def wide_links(values: list[int], radius: int) -> list[tuple[int, int]]:
+    """shard_links for radii at which a tree prunes nothing: the group of the least value left is grown by comparing what
+    it reached last with what it has not reached, many at once."""
+    if len(values) < 12:
+        return shard_links(values, radius)
+    out: list[tuple[int, int]] = []
+    left = np.unique(np.array(values, np.uint64))
+    while len(left) > 1:
+        root, front, left = int(left[0]), left[:1], left[1:]
+        while len(front) and len(left):
+            hit = np.zeros(len(left), bool)
+            step = max(1, CHUNK * 8 // len(left))
+            for a in range(0, len(front), step):
+                far = np.nonzero(~hit)[0]
+                hit[far] = (np.bitwise_count(front[a : a + step, None] ^ left[far]) <= radius).any(0)
+            front, left = left[hit], left[~hit]
+            out += [(v, root) for v in front.tolist()]
+    return out
+
+
 def _blocks(width: int, n: int) -> list[tuple[int, int]]:
     """(shift, mask) of n nearly equal blocks of width bits."""
     edges = [width * i // n for i in range(n + 1)]
@@ -313,9 +333,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cells = rows.select("fp", F.explode("parts").alias("shard")).distinct()
     sizes = cells.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
     cells = cut(cells.join(sizes, "shard"), "shards")
-    small = _link_shards(cells.filter(F.col("n") <= split_above).select("shard", "fp"), ["shard"], radius)
+    small = _link_shards(cells.filter(F.col("n") <= split_above).select("shard", "fp"), ["shard"], radius, wide_links)
     large = block_pairs(cells.filter(F.col("n") > split_above), split_above)
-    links = small.unionByName(_link_shards(large, ["shard", "first", "second"], radius)).distinct()
+    links = small.unionByName(_link_shards(large, ["shard", "first", "second"], radius, wide_links)).distinct()
     return _name_groups(rows, links, id_col, list(extra or {}))
 
 

@@ -144,3 +144,25 @@ def test_one_shared_signature_is_enough_in_large_shards(spark):
     for split in (4096, 1):
         got = {r["doc_id"]: r["component_id"] for r in S.similar_groups(df, split_above=split).collect()}
         assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_wide_links_connect_what_a_tree_connects():
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    values = [rng.getrandbits(64) for _ in range(150)] + [base ^ sum({1 << rng.randrange(64) for _ in range(8)}) for _ in range(150)]
+    for some in (values[:2], values[:40], values):
+        for radius in (2, 13, 20):
+            assert sorted(S.wide_links(some, radius)) == sorted(S.shard_links(some, radius))
+
+
+def test_blocks_of_a_large_shard_are_bounded_and_miss_no_two(spark):
+    hot = spark.createDataFrame([(7, 3000, i * 2**40 + i) for i in range(3000)], "shard long, n long, fp long")
+    pairs = {}
+    for r in S.block_pairs(hot, 400).collect():
+        pairs.setdefault((r["first"], r["second"]), set()).add(r["fp"])
+    assert max(map(len, pairs.values())) <= 600
+    met = {}
+    for fps in pairs.values():
+        for f in fps:
+            met.setdefault(f, set()).update(fps)
+    assert all(len(m) == 3000 for m in met.values())
