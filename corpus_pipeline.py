@@ -27,9 +27,9 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies (five-word shingles, fingerprints whose
-    cosine is 0.8 or more).  Repeated rows become one; rows with null id have no name to be kept by and stay."""
-    groups = simhash.similar_groups(docs, shingle=5, least_cosine=0.8, extra={"content": F.xxhash64("text")})
+    """Keeps the document with the smallest id of each group of near copies (an exact
+    Jaccard index of 0.8 or more of their five-word shingles).  Repeated rows become one; rows with null id have no name to be kept by and stay."""
+    groups = simhash.similar_groups(docs, shingle=5, least_jaccard=0.8, extra={"content": F.xxhash64("text")})
     kept = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__id")).agg(F.min("content").alias("__content"))
     name = fresh(docs, "content")
     own = docs.filter("doc_id is not null").withColumn(name, F.xxhash64("text"))

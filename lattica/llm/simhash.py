@@ -21,7 +21,7 @@ an id).  Repeated rows come back as often as they went in; other columns of the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -37,6 +37,8 @@ CHUNK = 1 << 16  # shingles whose bits are counted at once
 
 
 PARTS = 16  # part signatures of a document for the wider search
+WORDS = 4  # of 64 bits of a sketch
+FACTORS = np.random.default_rng(9).integers(0, 1 << 63, 64 * WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: bytes, shingle: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
@@ -87,6 +89,15 @@ def part_signatures(text: bytes, shingle: int, seed: int = 42) -> list[int]:
     return out
 
 
+def min_bits(h: np.ndarray) -> np.ndarray:
+    """WORDS words of one bit each for the least of h under 64 * WORDS orders.  The bits of two sets of Jaccard
+    index s differ with a chance of (1 - s) / 2."""
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max)
+    for a in range(0, len(h), 2048):
+        least = np.minimum(least, (h[a : a + 2048, None] * FACTORS).min(0))
+    return np.packbits(least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63) > 0).view(np.uint64)
+
+
 def fingerprint(text: Column, shingle: int = 3, seed: int = 42) -> Column:
     """The fingerprint as a signed long; null text counts as empty."""
 
@@ -156,26 +167,6 @@ def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     return [(v, r) for v in values if (r := find(v)) != v]
 
 
-def wide_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """shard_links for radii at which a tree prunes nothing: the group of the least value left is grown by comparing what
-    it reached last with what it has not reached, many at once."""
-    if len(values) < 12:
-        return shard_links(values, radius)
-    out: list[tuple[int, int]] = []
-    left = np.unique(np.array(values, np.uint64))
-    while len(left) > 1:
-        root, front, left = int(left[0]), left[:1], left[1:]
-        while len(front) and len(left):
-            hit = np.zeros(len(left), bool)
-            step = max(1, CHUNK * 8 // len(left))
-            for a in range(0, len(front), step):
-                far = np.nonzero(~hit)[0]
-                hit[far] = (np.bitwise_count(front[a : a + step, None] ^ left[far]) <= radius).any(0)
-            front, left = left[hit], left[~hit]
-            out += [(v, root) for v in front.tolist()]
-    return out
-
-
 def _blocks(width: int, n: int) -> list[tuple[int, int]]:
     """(shift, mask) of n nearly equal blocks of width bits."""
     edges = [width * i // n for i in range(n + 1)]
@@ -226,7 +217,7 @@ def split_rows(big: DataFrame, radius: int) -> DataFrame:
     return big.select("shard", F.explode(picked).alias("sub"), "fp").select("shard", F.col("sub.cell").alias("cell"), F.col("sub.bits").alias("bits"), "fp")
 
 
-def _link_shards(rows: DataFrame, keys: list[str], radius: int, search_one: Callable[[list[int], int], list[tuple[int, int]]] = shard_links) -> DataFrame:
+def _link_shards(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
     """Links of each shard: rows meet by shard and are sorted, so a task holds one shard at a time."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,7 +236,7 @@ def _link_shards(rows: DataFrame, keys: list[str], radius: int, search_one: Call
         if len(fp):
             ends = np.append(edges[1:], len(fp))
             for a, b in zip(edges[(many := ends - edges > 1)].tolist(), ends[many].tolist(), strict=True):
-                out += search_one(fp[a:b].view(np.uint64).tolist(), radius)
+                out += shard_links(fp[a:b].view(np.uint64).tolist(), radius)
         pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -305,44 +296,123 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def block_pairs(hot: DataFrame, most: int) -> DataFrame:
-    """(shard, first, second, fp): rows (shard, n, fp) of shards of n > most fingerprints, dealt by a hash to blocks of most / 2 and
+    """(shard, first, second, node): rows (shard, n, node) of shards of n > most nodes, dealt by a hash to blocks of most / 2 and
     repeated for each other block, so that any two of a shard meet in some pair of blocks, of about `most` rows at any n."""
     blocks = F.ceil(F.col("n") * 2 / most).cast("int")
-    dealt = hot.select("shard", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp", "shard"), blocks).cast("int").alias("own"))
+    dealt = hot.select("shard", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node", "shard"), blocks).cast("int").alias("own"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("own <> other")
-    return dealt.select("shard", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "fp")
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least_cosine: float = 0.8, split_above: int = 4096, extra: dict[str, Column] | None = None) -> DataFrame:
-    """id_col, fp, component_id, and columns of `extra`: groups of documents whose fingerprints estimate a
-    cosine of least_cosine or more (cos(pi d / 64) for d differing bits), which radii of a few bits miss.
-
-    Fingerprints meet in a shard for each part signature that they share, whatever the shard's size, and are searched
-    for those within the radius.  A shard of more than `split_above` fingerprints is dealt to blocks of half as many, and
-    each pair of blocks is searched by itself."""
-    radius = int(np.floor(np.arccos(least_cosine) / np.pi * 64))
-
-    @F.pandas_udf(T.StructType().add("fp", T.LongType()).add("parts", T.ArrayType(T.LongType())))
+    return dealt.select("shard", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "node")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least_jaccard: float = 0.8, split_above: int = 4096, extra: dict[str, Column] | None = None) -> DataFrame:
+    """id_col, fp, component_id, and columns of `extra`: groups of documents that are linked by an exact Jaccard index of
+    least_jaccard or more of their sets of shingles.
+
+    Sets meet in a shard for each part signature that they share, whatever the shard's size; a shard of more than
+    `split_above` sets is dealt to blocks of half as many, and each pair of blocks is searched by itself.  Sizes and the bits of
+    min_bits (five standard deviations allowed) choose candidates, and the sets themselves decide.  At first only each set's
+    nearest one before it is tried, so that a group of near copies costs a few rows for each; then all candidates that are not yet
+    in one group.  Equal sets are one node."""
+    share = (1 - least_jaccard) / 2
+    limit = int(64 * WORDS * share + 5 * np.sqrt(64 * WORDS * share * (1 - share)))
+    bits = [f"bits{w}" for w in range(WORDS)]
+    kind = T.StructType().add("fp", T.LongType()).add("node", T.LongType()).add("hashes", T.ArrayType(T.LongType())).add("parts", T.ArrayType(T.LongType()))
+    for b in bits:
+        kind = kind.add(b, T.LongType())
+
+    @F.pandas_udf(kind)
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        fps = np.array([fingerprint_bytes(t, shingle) for t in raw], np.uint64).view(np.int64)
-        return pd.DataFrame({"fp": fps, "parts": [np.array(part_signatures(t, shingle), np.uint64).view(np.int64) for t in raw]})
+        out = []
+        for t in texts:
+            raw = t.encode("utf-8", "surrogatepass")
+            h = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(raw, shingle)]))
+            parts = np.array(part_signatures(raw, shingle), np.uint64).view(np.int64)
+            node = np.uint64(xxhash.xxh64_intdigest(h.tobytes())).astype(np.int64)
+            out.append((np.uint64(fingerprint_bytes(raw, shingle)).astype(np.int64), node, h.view(np.int64), parts, *min_bits(h).view(np.int64).tolist()))
+        return pd.DataFrame(out, columns=kind.names)
 
     made = docs.select(F.col(id_col).alias("id"), sketch(F.coalesce(F.col(text_col), F.lit(""))).alias("s"), *(c.alias(n) for n, c in (extra or {}).items()))
-    rows = cut(made.select("id", F.col("s.fp").alias("fp"), F.col("s.parts").alias("parts"), *(extra or {})), "sketches")
-    cells = rows.select("fp", F.explode("parts").alias("shard")).distinct()
+    rows = cut(made.select("id", *(F.col(f"s.{c}").alias(c) for c in kind.names), *(extra or {})), "sketches")
+    cells = rows.select("node", F.explode("parts").alias("shard")).distinct()
     sizes = cells.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
     cells = cut(cells.join(sizes, "shard"), "shards")
-    small = _link_shards(cells.filter(F.col("n") <= split_above).select("shard", "fp"), ["shard"], radius, wide_links)
-    large = block_pairs(cells.filter(F.col("n") > split_above), split_above)
-    links = small.unionByName(_link_shards(large, ["shard", "first", "second"], radius, wide_links)).distinct()
-    return _name_groups(rows, links, id_col, list(extra or {}))
+    sets = rows.select("node", "hashes", *bits).dropDuplicates(["node"]).join(cells.select("node").distinct(), "node", "left_semi")
+    sets = cut(sets.withColumn("size", F.size("hashes")), "sets")
+
+    def alike(groups: DataFrame | None) -> DataFrame:
+        facts = sets.select("node", "size", *bits)
+        facts = facts.withColumn("root", F.col("node")) if groups is None else facts.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        small = cells.filter(F.col("n") <= split_above).select("shard", F.lit(0).alias("first"), F.lit(0).alias("second"), "node")
+        dealt = small.unionByName(block_pairs(cells.filter(F.col("n") > split_above), split_above))
+        pairs = _candidates(dealt.join(facts, "node"), bits, limit, least_jaccard, groups is None)
+        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        of = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"hashes_{c}"))
+        met = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("both", F.size(F.array_intersect("hashes_a", "hashes_b")))
+        enough = F.col("both") >= F.lit(least_jaccard) * (F.size("hashes_a") + F.size("hashes_b") - F.col("both")) - 1e-9
+        return cut(met.filter(enough).select("a", "b"), "links")
+
+    links = alike(None)
+    links = links.unionByName(alike(connected(links)))
+    return _name_groups(rows, links, id_col, list(extra or {}), "node")
+
+
+def _candidates(rows: DataFrame, bits: list[str], limit: int, least: float, nearest: bool) -> DataFrame:
+    """(a, b) of each shard's (shard, first, second) nodes of different roots with at most `limit` differing bits and sizes
+    that allow the index `least`: for each node all of those before it, or the nearest."""
+    keys = ["shard", "first", "second"]
+
+    def pairs(node: np.ndarray, size: np.ndarray, root: np.ndarray, *words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = len(node)
+        if (root == root[0]).all():
+            return
+        step = max(1, CHUNK * 4 // n)
+        for a in range(0, n, step):
+            e = min(a + step, n)
+            far = sum(np.bitwise_count(w[a:e, None] ^ w[:e]).astype(np.int16) for w in words)
+            fits = (far <= limit) & (np.arange(e) < np.arange(a, e)[:, None]) & (root[a:e, None] != root[:e])
+            i, j = np.nonzero(fits)
+            low, high = np.minimum(size[a + i], size[j]), np.maximum(size[a + i], size[j])
+            could = low >= least * high - 1e-9
+            i, j = i[could], j[could]
+            if nearest and len(i):
+                order = np.lexsort((far[i, j], i))
+                i, j = i[order], j[order]
+                own_first = np.concatenate([[True], i[1:] != i[:-1]])
+                i, j = i[own_first], j[own_first]
+            if len(i):
+                yield node[a + i], node[j]
 
-
-def _name_groups(rows: DataFrame, links: DataFrame, id_col: str, more: list[str]) -> DataFrame:
-    fps = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            changes = (pdf[keys].values[1:] != pdf[keys].values[:-1]).any(1)
+            edges = np.concatenate([[0], np.nonzero(changes)[0] + 1])
+            yield from joined(pdf, edges)
+            rest = pdf.iloc[edges[-1] :]
+        if rest is not None and len(rest):
+            yield from joined(rest, np.array([0, len(rest)]))
+
+    def joined(pdf: pd.DataFrame, edges: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Pairs of whole shards, in frames of CHUNK rows and those of one step at most."""
+        facts, held, n = [pdf[c].to_numpy() for c in ("node", "size", "root")] + [pdf[b].to_numpy().view(np.uint64) for b in bits], [], 0
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            for some in pairs(*(f[a:b] for f in facts)) if b - a > 1 else ():
+                held.append(some)
+                n += len(some[0])
+                if n >= CHUNK:
+                    yield pd.DataFrame({"a": np.concatenate([h[0] for h in held]), "b": np.concatenate([h[1] for h in held])})
+                    held, n = [], 0
+        if held:
+            yield pd.DataFrame({"a": np.concatenate([h[0] for h in held]), "b": np.concatenate([h[1] for h in held])})
+
+    return rows.select(*keys, "node", "size", "root", *bits).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(search, "a long, b long")
+
+
+def _name_groups(rows: DataFrame, links: DataFrame, id_col: str, more: list[str], key: str = "fp") -> DataFrame:
+    keys = rows.groupBy(F.col(key).alias("key")).agg(F.min("id").alias("least"))
     groups = connected(links)
-    named = fps.join(groups, fps.fp == groups.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = keys.join(groups, keys.key == groups.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    parts = cut(named.join(names, "root").select("fp", "component_id"), "components")
-    return rows.join(parts, "fp").select(F.col("id").alias(id_col), "fp", "component_id", *more)
+    parts = cut(named.join(names, "root").select(F.col("key").alias(key), "component_id"), "components")
+    return rows.select("id", *dict.fromkeys(["fp", key]), *more).join(parts, key).select(F.col("id").alias(id_col), "fp", "component_id", *more)

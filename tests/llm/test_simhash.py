@@ -142,27 +142,42 @@ def test_one_shared_signature_is_enough_in_large_shards(spark):
             rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(near))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for split in (4096, 1):
-        got = {r["doc_id"]: r["component_id"] for r in S.similar_groups(df, split_above=split).collect()}
+        got = {r["doc_id"]: r["component_id"] for r in S.similar_groups(df, least_jaccard=0.4, split_above=split).collect()}
         assert got == {i: i - i % 2 for i, _ in rows}
 
 
-def test_wide_links_connect_what_a_tree_connects():
-    rng = random.Random(5)
-    base = rng.getrandbits(64)
-    values = [rng.getrandbits(64) for _ in range(150)] + [base ^ sum({1 << rng.randrange(64) for _ in range(8)}) for _ in range(150)]
-    for some in (values[:2], values[:40], values):
-        for radius in (2, 13, 20):
-            assert sorted(S.wide_links(some, radius)) == sorted(S.shard_links(some, radius))
-
-
 def test_blocks_of_a_large_shard_are_bounded_and_miss_no_two(spark):
-    hot = spark.createDataFrame([(7, 3000, i * 2**40 + i) for i in range(3000)], "shard long, n long, fp long")
+    hot = spark.createDataFrame([(7, 3000, i * 2**40 + i) for i in range(3000)], "shard long, n long, node long")
     pairs = {}
     for r in S.block_pairs(hot, 400).collect():
-        pairs.setdefault((r["first"], r["second"]), set()).add(r["fp"])
+        pairs.setdefault((r["first"], r["second"]), set()).add(r["node"])
     assert max(map(len, pairs.values())) <= 600
     met = {}
     for fps in pairs.values():
         for f in fps:
             met.setdefault(f, set()).update(fps)
     assert all(len(m) == 3000 for m in met.values())
+
+
+def jaccard(a, b):
+    a, b = (set(h for c in S.shingle_hashes(t.encode(), 5) for h in c.tolist()) for t in (a, b))
+    return len(a & b) / max(len(a | b), 1)
+
+
+def test_links_are_exact(spark):
+    """Short documents around one passage stay apart; a family whose members are near some of it only is one group."""
+    rng = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(50))
+    texts = [f"{passage} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for _ in range(300)]
+    base = [f"b{i}" for i in range(400)]
+    for _ in range(60):
+        near = list(base)
+        for _ in range(rng.randint(4, 10)):
+            near[rng.randrange(400)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(near))
+    rows = list(enumerate(texts))
+    want = dict(plain_groups(rows, lambda a, b: jaccard(a, b) >= 0.8))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for split in (4096, 16):
+        got = {r["doc_id"]: r["component_id"] for r in S.similar_groups(df, split_above=split).collect()}
+        assert got == want
