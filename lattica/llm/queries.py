@@ -166,7 +166,7 @@ with v as (
     and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0
 ), s as (
   select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+  from (select distinct vec_id, v from v) q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
   where q.vec_id % 50 = 0
 ), r as (
   select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s

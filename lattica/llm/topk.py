@@ -1,16 +1,21 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are grouped by length: ranked by falling norm and dealt by range into blocks of about `block_rows`, ties by
-id, so that equal lengths cannot overfill a block.  The first block (bounded by `block_rows`, so it may be
-broadcast) gives each query a first bound: its k-th best score there.  Every other block meets the queries in blocks;
-with the block's largest norm M, a query of norm |q| and bound b has the local cosine threshold b / (|q| M).
-Above 1 the block holds nothing for it.  A high threshold prunes by coordinates: a vector that
-reaches the cosine lies, in each of the query's `focus` strongest coordinates, in an interval around it; a low one
-prunes by length: vectors no longer than b / |q| go.  What is left is verified with exact integer products.
+Vectors are grouped by length: sorted by falling norm (ties by id) over range partitions, and every `block_rows` of a
+partition are a block.  The number of its block is written with each vector, so blocks are data: however many
+partitions Spark makes, the table of blocks (largest norm of each) says which there are.  The `block_rows`
+longest vectors (a fixed bound, so they may be broadcast) give each query a first bound b: its k-th best score
+there.  A query of norm |q| needs only blocks whose largest norm is b / |q| or more.  Queries are grouped by that need,
+and pairs of (query group, block) are formed from the two small tables before any vector is copied.
+
+Where they meet, with the block's largest norm M, a query has the local cosine threshold b / (|q| M).  A high threshold
+prunes by coordinates: a vector that reaches the cosine lies, in each of the query's `focus` strongest coordinates, in
+an interval around it; a low one prunes by length: vectors no longer than b / |q| go.  What is left is verified with
+exact integer products.
 
 Bounds only ever drop vectors that cannot be among the k best, ties included, so results are exact.  Vectors null or
 holding null or non-finite components, and rows with null id, take no part; vectors of other lengths in components than the
-query's don't meet it.  Repeated candidate rows are candidates each; repeated equal queries are one.
+query's don't meet it.  Repeated candidate rows are candidates each.  An id names a query: its repeated equal rows are one
+query, and different vectors under one id all ask for it.  Empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut, partitions
+
 COORDINATES_FROM = 0.55  # local cosine threshold from which coordinates prune better than length
 SLACK = 1e-6  # relative, on the side of keeping
 
@@ -85,12 +92,20 @@ def search_block(cid: np.ndarray, c: np.ndarray, qid: np.ndarray, q: np.ndarray,
     return out
 
 
+def _numbered(df: DataFrame, parts: int, order: list, rows: int, name: str) -> DataFrame:
+    """df, written with a long column `name`: runs of `rows` rows in the given order get one number, and numbers follow the order.
+
+    The number is that of the range partition (upper bits) and of the run in it, and it is stored, not asked for again."""
+    at = F.monotonically_increasing_id()  # partition << 33 | row in it
+    number = F.shiftright(at, 33) * (1 << 33) + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / rows)
+    return cut(df.repartitionByRange(max(1, parts), *order).sortWithinPartitions(*order).withColumn(name, number), name)
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 4096, query_rows: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score.  Both tables come from integer_vectors."""
     spark = candidates.sparkSession
     n, n_queries = candidates.count(), queries.count()
-    blocks, groups = max(1, -(-n // block_rows)), max(1, -(-n_queries // query_rows))
-    queries = queries.select(F.col("id").alias("qid"), F.col("v").alias("q"), F.col("dim").alias("qdim")).distinct()
+    most = partitions(spark)
     # the longest vectors: block_rows at most, so that this broadcast has a fixed size
     first = spark.sparkContext.broadcast(candidates.orderBy(F.desc("norm2"), "id").limit(block_rows).select("id", "v", "dim").toPandas())
 
@@ -98,17 +113,29 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, block_rows: int
         top = first.value
         by_dim = {d: (g["id"].to_numpy(), np.stack(g["v"].to_list()).reshape(len(g), d)) for d, g in top.groupby("dim")}
         for pdf in batches:
-            low = []
+            low, need = [], []
             for qid, q, d in zip(pdf["qid"], pdf["q"], pdf["qdim"], strict=True):
                 ids, c = by_dim.get(d, (np.zeros(0, int), np.zeros((0, d), int)))
                 score = _products(np.asarray(q), c)[ids != qid]
                 low.append(float(np.sort(score)[-k]) if len(score) >= k else float("-inf"))
-            yield pdf.assign(bound=low)
-
-    bounded = queries.mapInPandas(bounds, "qid long, q array<long>, qdim int, bound double")
-    dealt = candidates.repartitionByRange(blocks, F.desc("norm2"), F.asc("id")).withColumn("block", F.spark_partition_id())
-    left = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("block", "group", "id", "v", "dim")
-    right = bounded.withColumn("group", F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+                size = float(np.sqrt((np.asarray(q, np.float64) ** 2).sum()))
+                need.append((low[-1] / size * (1 - SLACK)) ** 2 if low[-1] > 0 and size > 0 else 0.0)
+            yield pdf.assign(bound=low, need=need)
+
+    asked = queries.select(F.col("id").alias("qid"), F.col("v").alias("q"), F.col("dim").alias("qdim")).distinct()
+    asked = asked.mapInPandas(bounds, "qid long, q array<long>, qdim int, bound double, need double")
+    asked = _numbered(asked, min(most, -(-n_queries // query_rows)), [F.asc("need"), F.asc("qid")], query_rows, "group")
+    dealt = _numbered(candidates, min(most, -(-n // block_rows)), [F.desc("norm2"), F.asc("id")], block_rows, "block")
+
+    # blocks by falling norm; a group of queries meets those of the first partitions that reach its least need
+    blocks = dealt.groupBy("block").agg(F.max("norm2").alias("top")).withColumn("part", F.shiftright("block", 33))
+    tops = [(r["part"], r["top"]) for r in blocks.groupBy("part").agg(F.max("top").alias("top")).collect()]  # at most `most` rows
+    groups = asked.groupBy("group").agg(F.min("need").alias("need"))
+    near = F.filter(F.array(*(F.struct(F.lit(p).cast("long").alias("part"), F.lit(t).alias("top")) for p, t in tops)), lambda x: x["top"] >= F.col("need")) if tops else F.array().cast("array<struct<part:long,top:double>>")
+    pairs = groups.select("group", "need", F.explode(near).alias("at")).select("group", "need", F.col("at.part").alias("part")).join(blocks, "part").filter("top >= need")
+    pairs = cut(pairs.select("group", "block", "top"), "pairs")
+    left = dealt.join(pairs.select("group", "block"), "block").select("block", "group", "id", "v", "dim")
+    right = asked.join(pairs, "group").filter("need <= top").select("block", "group", "qid", "q", "qdim", "bound")
 
     def meet(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -60,3 +60,41 @@ def test_large_components_stay_exact(spark):
     # beyond 2^53 a double would round; products fit a long here
     got = run(spark, [(i, v) for i, v in rows if i], 3, k=2)
     assert got == brute([w for w in whole if w[0]], [w for w in whole if w[0] == 3], 2)
+
+
+def test_more_partitions_than_asked_for_lose_nothing(spark, monkeypatch):
+    """Blocks are data: whatever number of partitions Spark makes, every block meets the queries that need it."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plain = DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda df, n, *cols: plain(df, max(n, 17), *cols))
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=10) * rng.lognormal(0, 1.0)).tolist()) for i in range(600)]
+    rows += [(700 + i, [0.25] * 10) for i in range(30)]
+    whole = integers(rows)
+    want = brute(whole, [(i, v) for i, v in whole if i % 10 == 0], 5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("4", "31"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert run(spark, rows, 10, k=5, block_rows=100, query_rows=16) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_blocks_out_of_reach_get_no_queries(spark):
+    """A few long vectors answer everything: short ones are copied to no group."""
+    rng = np.random.default_rng(9)
+    centre = np.abs(rng.normal(size=8))
+    rows = [(i, (centre * (50 if i < 64 else 0.5) + rng.normal(size=8) * 0.01).tolist()) for i in range(512)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<float>")
+    c = T.integer_vectors(df, "vec_id", "embedding")
+    seen = []
+    keep, T.cut = T.cut, lambda d, name: seen.append((name, keep(d, name))) or seen[-1][1]
+    try:
+        got = T.top_k(c, c.filter("id % 10 = 0"), k=5, block_rows=64, query_rows=32).count()
+    finally:
+        T.cut = keep
+    tables = dict(seen)
+    assert got == 5 * 52 and tables["block"].select("block").distinct().count() >= 8
+    assert tables["pairs"].select("block").distinct().count() <= 2
