@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees (spark.checkpoint.dir); where it is unset, a temporary one."""
+    """The folder that every executor sees (spark.checkpoint.dir).  Where it is unset on one machine, as in tests, a temporary
+    one; on a cluster that is an error, as executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lattica.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("lattica.checkpoint.dir", found)
     return found.rstrip("/")
