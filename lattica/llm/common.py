@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.groups import cut, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or (only where that is unset, as in
-    tests on one machine) a new temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lattica.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("lattica.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["cut", "distinct_sample", "fold", "fresh", "partitions", "shared_dir", "table"]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: later stages restart from it when
-    an executor is lost, and iterative plans stay short."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -45,6 +27,20 @@ def partitions(spark: SparkSession) -> int:
 
 
 def fold(id_col: str | Column, buckets: int) -> Column:
-    """crc32 of the id as text, modulo buckets; null for a null id."""
+    """crc32 of the id as text, modulo buckets; a null id counts as empty text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.crc32(c.cast("string").cast("binary")) % F.lit(buckets)
+    return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % F.lit(buckets)
+
+
+def distinct_sample(rows: DataFrame, text_col: str, most: int, seed: int, by: list[str] | None = None) -> DataFrame:
+    """Distinct rows (text_col and the columns `by`), `most` at most: those whose texts have the least hashes.
+
+    Copies of a text share a hash, so rows are thinned by distinct texts, not by rows, and a text that a third of the
+    rows hold is one row of the sample.  The limit is a hard one, so what is gathered from it has that bound."""
+    name = fresh(rows, "hash")
+    hashed = rows.select(text_col, *(by or []), F.xxhash64(text_col, F.lit(seed)).alias(name))
+    n = hashed.agg(F.approx_count_distinct(name)).first()[0]
+    if n > most:  # leaves a fifth more than needed, so that the error of the count cannot leave too few
+        hashed = hashed.filter(F.col(name) < int(-(1 << 63) + 1.2 * most / n * (1 << 64)))
+    keys = [name, *(by or [])]
+    return hashed.groupBy(*keys).agg(F.first(text_col).alias(text_col)).orderBy(*keys).limit(most).select(text_col, *(by or []))

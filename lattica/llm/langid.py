@@ -6,12 +6,14 @@ by falling proportion) with the best likelihood less `penalty` * log(trigrams) f
 must earn its place.  The prediction is the language with the largest share of the chosen set, and the score
 is that share.
 
-The model is fitted on at most `train_rows` labelled rows, picked by a hash of the text (all of them if
-there are fewer) and keeps at most `max_languages` labels, the most frequent; both bounds are parameters,
-so what the driver gathers (languages x 2^bits counts) does not grow with the input.
+The model is fitted on about `language_rows` distinct texts of each language (a parameter), those with the least hashes; a
+language with fewer is learned whole, so none is lost for being rare.  The driver gathers languages x 2^bits counts; more than
+`most_languages` labels (a column that holds no languages) are an error, not a cut.
 
 Rows with null text or without a letter get `und`, score 0 and an empty mixture, as does everything when
-nothing can be learned (no labelled text); null languages are not learned from.  Other columns are ignored.
+nothing can be learned (no labelled text); null languages are not learned from.  Very long texts are read whole; languages with
+equal shares come by name.  Repeated rows are judged each, copies of a text are learned as often as they are there; an empty
+table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ class LanguageModel:
             return []
         counts = np.bincount(grams, minlength=1 << self.bits)
         seen = np.nonzero(counts)[0]
-        c, log_p = counts[seen].astype(np.float64), self.log_p[seen]
+        c, log_p = counts[seen].astype(np.float64), self.log_p[seen].astype(np.float64)
         single = c @ log_p
         top = log_p.max(1, keepdims=True)
         p = np.exp(log_p - top)
@@ -75,37 +77,44 @@ def has_letter(text: str) -> bool:
     return any(unicodedata.category(ch)[0] == "L" for ch in text)
 
 
-def fit_languages(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = 20_000, max_languages: int = 256, bits: int = 15) -> LanguageModel:
+def fit_languages(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", language_rows: int = 5000, most_languages: int = 4096, bits: int = 15) -> LanguageModel:
     """A model of the rows whose text and language are not null."""
     rows = rows.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
-    n = sum(sizes.values())
-    if n > train_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < int(train_rows / n * (1 << 30)))
-    rows = rows.filter(F.col("lang").isin(list(sizes)))
+    rows = rows.withColumn("turn", F.xxhash64("text", F.lit(7)))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("turn").alias("n")).limit(most_languages + 1)
+    limits = [(r["lang"], int(-(1 << 63) + min(1.2 * language_rows / r["n"], 1.0) * (1 << 64)) - 1) for r in sizes.collect()]
+    if len(limits) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    limit = rows.sparkSession.createDataFrame([(a, max(b, -(1 << 63))) for a, b in limits], "lang string, limit long")  # most_languages rows at most
+    rows = rows.join(F.broadcast(limit), "lang").filter("turn <= limit").select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for pdf in batches:
             for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
+                if lang not in sums and len(sums) == 256:  # a task holds the counts of 256 languages at a time
+                    yield from told(sums)
+                    sums.clear()
                 own = sums.setdefault(lang, np.zeros(1 << bits, np.int64))
                 own += np.bincount(trigrams(encode(text), bits), minlength=1 << bits)
+        yield from told(sums)
+
+    def told(sums: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
         for lang, own in sums.items():
             at = np.nonzero(own)[0]
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": own[at]})
 
     got = rows.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(got["lang"]))
-    table = np.full((1 << bits, len(languages)), 0.5)
-    for i, lang in enumerate(languages):
-        own = got[got["lang"] == lang]
-        table[own["bucket"].to_numpy(), i] += own["n"].to_numpy()
-    return LanguageModel(languages, bits, np.log(table / table.sum(0)) if languages else np.zeros((1 << bits, 0)))
+    table = np.full((1 << bits, len(languages)), 0.5, np.float32)
+    column = pd.Index(languages).get_indexer(got["lang"]) if languages else []
+    np.add.at(table, (got["bucket"].to_numpy(np.int64), column), got["n"].to_numpy(np.float32))
+    return LanguageModel(languages, bits, np.log(table / table.sum(0, dtype=np.float64)).astype(np.float32) if languages else np.zeros((1 << bits, 0), np.float32))
 
 
 def language_mixture(text: Column, model: LanguageModel, spark) -> Column:
     """struct<lang, score, languages array<struct<lang, share>>> of a text."""
-    shared = spark.sparkContext.broadcast(model)  # at most max_languages x 2^bits numbers
+    shared = spark.sparkContext.broadcast(model)  # 2^bits x 4 bytes for each language, 512 MB at the most_languages bound
 
     part = T.StructType().add("lang", T.StringType()).add("share", T.DoubleType())
 

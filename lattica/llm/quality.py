@@ -4,11 +4,12 @@ Heuristic labellers vote good, bad or nothing on each document.  Their patterns
 documents (3^labellers patterns at most, so the counts are bounded), and expectation-maximisation on the counts estimates
 the share of good documents and, for each labeller, how often its votes are right on good and on bad ones, starting
 from "labellers are right more often than not"; a labeller that does not vote says nothing.  Posteriors of the patterns are the labels that train a linear
-scorer over hashed byte trigrams, on at most `train_rows` documents picked by a hash of the text (the bound is a
-parameter); it can then score documents on which no labeller votes.
+scorer over hashed byte trigrams alone (the labellers' votes are no features, so it cannot copy them), on at most
+`train_rows` distinct texts with the least hashes (the bound is a parameter); it can then score documents on which no labeller votes.
 
-Null text counts as empty and gets the prior.  Repeated rows count each.  If the table is empty, nothing is scored.
-Other columns are ignored.
+Null text counts as empty and gets the prior.  Repeated rows count each in the patterns; copies of a text teach the scorer
+once.  Very long texts are read whole; a task holds one batch of texts.  Ties at the threshold are kept.  If the table is empty,
+nothing is scored.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import distinct_sample
 from .hashing import encode
 
 LABELLERS = ["symbols", "capitals", "bars", "word_length", "repeats", "sentences", "short_words", "stutter"]
@@ -64,12 +66,12 @@ def pattern(text: bytes) -> int:
 
 def features(text: bytes) -> np.ndarray:
     """Square roots of hashed byte trigram counts (case and punctuation kept, letters beyond ASCII as one) at unit
-    length, then the labellers' votes (-0.3, 0 or 0.3 each)."""
+    length."""
     b = np.frombuffer(text, np.uint8).astype(np.uint32)
     b = np.where(b >= 128, 128, b)
     h = ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS) if len(b) > 2 else np.zeros(0, np.uint32)
     x = np.sqrt(np.bincount(h.astype(np.int64), minlength=1 << BITS)).astype(np.float32)
-    return np.append(x / max(float(np.sqrt((x**2).sum())), 1e-9), np.array(votes(text), np.float32) * np.float32(0.3) - np.float32(0.3))
+    return x / max(float(np.sqrt((x**2).sum())), 1e-9)
 
 
 @dataclass
@@ -94,11 +96,12 @@ def _split(patterns: np.ndarray) -> np.ndarray:
     return np.stack([patterns // 3 ** (n - 1 - j) % 3 for j in range(n)], axis=1)
 
 
-def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
-    """Expectation-maximisation over counted patterns.  The prior, worth a twentieth of the documents for each labeller,
-    says that good documents rarely get a vote for bad, and bad ones about as often as not."""
+def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior_share: float = 0.05) -> LabelModel:
+    """Expectation-maximisation over counted patterns.  The prior, worth `prior_share` of the documents for each labeller at every
+    size (labellers overlap, so more documents do not make up for it), says that good documents rarely get a vote for bad, and
+    bad ones about as often as not."""
     v, total = _split(patterns), counts.sum()
-    n, prior = len(LABELLERS), max(2.0, total / 20)
+    n, prior = len(LABELLERS), max(2.0, total * prior_share)
     guess = np.stack([np.full(n, 0.6), np.full(n, 0.97)])
     model = LabelModel(0.85, guess)
     for _ in range(rounds):
@@ -137,11 +140,9 @@ def fit_quality(docs: DataFrame, text_col: str = "text", train_rows: int = 4000,
     got = docs.select(pattern_of(_text(text_col)).alias("p")).groupBy("p").count().toPandas()  # 3^8 rows at most
     n = int(got["count"].sum())
     if not n:
-        return QualityModel(LabelModel(0.5, np.full((2, len(LABELLERS)), 0.5)), 0.0, np.zeros((1 << BITS) + len(LABELLERS)))
+        return QualityModel(LabelModel(0.5, np.full((2, len(LABELLERS)), 0.5)), 0.0, np.zeros(1 << BITS))
     labels = fit_labels(got["p"].to_numpy(np.int64), got["count"].to_numpy(float))
-    rows = docs.select(_text(text_col).alias("text"))
-    if n > train_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) < int(train_rows / n * (1 << 30)))
+    rows = distinct_sample(docs.select(_text(text_col).alias("text")), "text", train_rows, 11)
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -150,7 +151,7 @@ def fit_quality(docs: DataFrame, text_col: str = "text", train_rows: int = 4000,
 
     kept = rows.mapInPandas(sample, "p int, x binary").toPandas()  # train_rows rows of 8 KB
     if kept.empty:
-        return QualityModel(labels, float(np.log(labels.good / (1 - labels.good))), np.zeros((1 << BITS) + len(LABELLERS)))
+        return QualityModel(labels, float(np.log(labels.good / (1 - labels.good))), np.zeros(1 << BITS))
     x = np.frombuffer(b"".join(kept["x"]), np.float32).reshape(len(kept), -1)
     y = labels.posterior(kept["p"].to_numpy(np.int64))
     w, b, m, v = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)

@@ -61,15 +61,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, train_rows: int = 20_000) -> DataFrame:
-    """Training rows (text, toxic) of the learning fold, for about train_rows labels at most, picked by a hash.
+    """Training rows (text, toxic) of the learning fold, for the train_rows labels with the least hashes at most.
 
     The labels are thinned before they meet the documents, so what is broadcast has that bound and texts are not
     shuffled; the texts found are written once."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("__id"), "toxic").filter("toxic is not null")
-    labels = labels.filter(fold("__id", 4) != 2).distinct()
-    n = labels.count()
-    if n > train_rows:
-        labels = labels.filter(F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(1 << 30)) < int(train_rows / n * (1 << 30)))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("__id"), "toxic").filter("toxic is not null and doc_id is not null")
+    labels = labels.filter(fold("__id", 4) != 2).distinct().withColumn("__turn", F.xxhash64("__id", F.lit(7))).orderBy("__turn", "__id", "toxic").limit(train_rows)
     return cut(docs.select("doc_id", "text").join(F.broadcast(labels), F.col("doc_id") == F.col("__id")).select("text", "toxic"), "labelled")
 
 

@@ -5,11 +5,14 @@ association with the label (signed chi-squared over the training rows) are kept;
 for each and, through `rank` factors, for each pair of terms that meet in a document, so that an
 insult beside a group mention can count for more than their sum, which an additive model misses.
 
-It is fitted on at most `train_rows` labelled rows, picked by a hash of the text, bounded by parameter; the
+It is fitted on at most `train_rows` distinct (text, label) rows with the least hashes, bounded by parameter; the
 features, the labels and the fitted model that pass through the driver are bounded by it too.
 
-Null and empty texts score the machine's bias.  Rows with a null label are not learned from; a document with
-several labels counts once for each.  If one class is missing, every score is the base rate, smoothed towards 0.05.
+Null and empty texts score the machine's bias.  Rows with a null label are not learned from; a text with
+both labels counts once for each, and copies with one label count once.  If one class is missing, every score is the base rate,
+smoothed towards 0.05.  Very long texts are hashed whole, a megabyte at a time.  A score equal to the threshold is predicted
+1; terms of equal association are taken by their bucket.  Repeated rows are scored each, an empty table gives none; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut, distinct_sample
 from .hashing import encode, slices, words
 
 BITS = 20
@@ -96,9 +100,7 @@ def train(buckets: np.ndarray, n: int, who: np.ndarray, feature: np.ndarray, y:
 def fit_toxicity(rows: DataFrame, text_col: str = "text", label_col: str = "toxic", train_rows: int = 20_000, terms: int = 2048, rank: int = 6, least_docs: int = 4) -> FactorizationMachine:
     """A machine fitted on rows (text, label 0/1)."""
     rows = rows.filter(F.col(label_col).isNotNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("y"))
-    n = rows.count()
-    if n > train_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < int(train_rows / n * (1 << 30)))
+    rows = cut(distinct_sample(rows, "text", train_rows, 7, ["y"]), "taught")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((2, 1 << BITS), np.int64)

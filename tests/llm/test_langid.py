@@ -47,7 +47,77 @@ def test_edge_rows(spark):
     assert {r["lang_pred"] for r in L.identify_languages(docs, nothing).collect()} == {"und"}
 
 
-def test_bounds_of_the_sample(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    few = L.fit_languages(docs, train_rows=200, max_languages=2)
-    assert len(few.languages) == 2
+def test_no_language_is_lost_to_the_bound(spark):
+    """A language of one text and one whose rows are all copies are learned beside 300 others and a large one."""
+    rows = [("large " + str(i), "big") for i in range(3000)] + [("solus unicus", "rare")] + [("copia copiarum", "copies")] * 500
+    rows += [(f"{chr(97 + i % 26)}{chr(97 + i // 26)} word", f"l{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = L.fit_languages(docs, language_rows=50)
+    assert len(model.languages) == 303
+    found = L.language_mixture(F.col("text"), model, spark)
+    got = {r["lang"]: r["p"] for r in docs.filter("lang in ('rare', 'copies')").select("lang", found["lang"].alias("p")).distinct().collect()}
+    assert got == {"rare": "rare", "copies": "copies"}
+    try:
+        L.fit_languages(docs, most_languages=300)
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("too many labels must be an error")
+
+
+def plain_mixture(text, texts_of, bits=15, rounds=12, penalty=6.0):
+    """The method by plain loops: EM over trigram likelihoods, and languages by falling share while the penalised likelihood rises."""
+    import math
+
+    from lattica.llm.hashing import trigrams
+
+    names = sorted(texts_of)
+    p = []
+    for name in names:
+        counts = {}
+        for t in texts_of[name]:
+            for b in trigrams(t.encode(), bits).tolist():
+                counts[b] = counts.get(b, 0) + 1
+        total = sum(counts.values()) + 0.5 * (1 << bits)
+        p.append(lambda b, counts=counts, total=total: (counts.get(b, 0) + 0.5) / total)
+    grams = trigrams(text.encode(), bits).tolist()
+
+    def em(chosen, share):
+        for _ in range(rounds):
+            new = [0.0] * len(chosen)
+            for b in grams:
+                parts = [s * p[i](b) for i, s in zip(chosen, share, strict=True)]
+                for j, x in enumerate(parts):
+                    new[j] += x / sum(parts) / len(grams)
+            share = new
+        return share, sum(math.log(sum(s * p[i](b) for i, s in zip(chosen, share, strict=True))) for b in grams)
+
+    share, _ = em(list(range(len(names))), [1 / len(names)] * len(names))
+    single = [sum(math.log(q(b)) for b in grams) for q in p]
+    first = single.index(max(single))
+    order = [first] + [i for i in sorted(range(len(names)), key=lambda i: -share[i]) if i != first]
+    cost = penalty * math.log(len(grams) + 1)
+    best, kept, shares = single[first] - cost, [first], [1.0]
+    for n in range(2, len(order) + 1):
+        if share[order[n - 1]] < 0.01:
+            break
+        start = [max(share[i], 0.01) for i in order[:n]]
+        got, value = em(order[:n], [s / sum(start) for s in start])
+        if value - n * cost <= best:
+            break
+        best, kept, shares = value - n * cost, order[:n], got
+    return sorted(((names[i], s / sum(shares)) for i, s in zip(kept, shares, strict=True)), key=lambda x: (-x[1], x[0]))
+
+
+def test_against_plain_loops(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("lang is not null and text is not null")
+    model = L.fit_languages(docs)
+    texts_of = {}
+    for r in docs.collect():
+        texts_of.setdefault(r["lang"], []).append(r["text"])
+    short = sorted((r["text"] for r in docs.collect() if 30 < len(r["text"]) < 400), key=len)[:12]
+    mixed = [short[0] + " " + min(texts_of[name], key=len) for name in sorted(texts_of)]
+    for t in short + mixed:
+        got, want = model.mixture(t.encode()), plain_mixture(t, texts_of)
+        assert [a for a, _ in got] == [a for a, _ in want]
+        assert all(abs(x - y) < 1e-3 for (_, x), (_, y) in zip(got, want, strict=True))
