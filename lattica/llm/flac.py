@@ -10,7 +10,9 @@ All frames of a batch are decoded side by side: a lane is a run of frames betwee
 and one numpy step decodes one sample of every lane, so that Python's cost is spread over lanes.
 Work is per row and batches are cut into slices of SLICE bytes, so memory does not grow with a
 partition.  A null payload gives a null stream; a null stream gives null blocks and a null error; a
-damaged stream gives null blocks and the reason in `error`; empty payloads give streams without frames.
+damaged stream gives null blocks and the reason in `error`, and leaves the streams beside it alone; empty payloads give streams
+without frames.  A long payload is only more frames (a cell holds 2 GB at most, and no stream may claim more); repeated rows are
+coded each; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import types as T
 BLOCK = 256  # samples in a frame
 SEEK_FRAMES = 8  # frames between seek points
 SLICE = 4 << 20  # bytes of samples handled at once
+MOST_SAMPLES = (1 << 31) - 1  # bytes that a cell of a table can hold
 LPC_ORDER = 4
 LPC_PRECISION = 8
 
@@ -239,6 +242,7 @@ def _stream_head(data: bytes) -> tuple[int, bytes, int, list[tuple[int, int]]]:
             if packed >> 41 & 7 or (packed >> 36 & 31) != 7:
                 raise ValueError("not 8-bit mono")
             total, md5, seen = packed & (1 << 36) - 1, block[18:34], True
+            longest = int.from_bytes(block[2:4], "big") or 65535
         elif kind & 127 == 3:
             points = [p[:2] for p in struct.iter_unpack(">QQH", block) if p[0] != (1 << 64) - 1]
         at += 4 + size
@@ -246,6 +250,11 @@ def _stream_head(data: bytes) -> tuple[int, bytes, int, list[tuple[int, int]]]:
             break
     if not seen:
         raise ValueError("no STREAMINFO")
+    # each frame begins with a sync code and holds a block of samples at most, so the bytes bound what a stream may claim
+    body = np.frombuffer(data, np.uint8, offset=at)
+    syncs = int(np.count_nonzero((body[:-1] == 0xFF) & (body[1:] & 0xFE == 0xF8))) if len(body) > 1 else 0
+    if total > min(syncs * longest, MOST_SAMPLES):
+        raise ValueError("claims more samples than it can hold")
     return total, md5, at, points
 
 
@@ -428,26 +437,37 @@ FAULTS = {1: "no frame where one is due", 2: "wrong frame head checksum", 3: "wr
 
 
 def decode_streams(streams: list[bytes | None]) -> list[tuple[bytes | None, str | None]]:
-    """PCM (unsigned 8-bit) or the fault of each stream."""
+    """PCM (unsigned 8-bit) or the fault of each stream; a faulty stream harms no other one."""
     out: list[tuple[bytes | None, str | None]] = [(None, None)] * len(streams)
-    lanes, heads, base, offset = [], {}, 0, 0
+    run, size = {}, 0
     for i, data in enumerate(streams):
         if data is None:
             continue
         try:
-            total, md5, first, points = _stream_head(data)
+            head = _stream_head(data)
         except (ValueError, struct.error) as e:
             out[i] = (None, str(e))
             continue
-        points = sorted({(0, 0), *((s, b) for s, b in points if s < total and b < len(data) - first)}) if total else []
-        heads[i] = (base, offset, total, md5)
+        if run and size + head[0] > 2 * SLICE:  # what streams claim is held for a few of them at a time
+            _decode_run(streams, run, out)
+            run, size = {}, 0
+        run[i], size = head, size + head[0]
+    _decode_run(streams, run, out)
+    return out
+
+
+def _decode_run(streams: list[bytes | None], heads: dict, out: list[tuple[bytes | None, str | None]]) -> None:
+    """Decodes the streams of heads side by side into out."""
+    lanes, place, base, offset = [], {}, 0, 0
+    for i, (total, _, first, points) in heads.items():
+        size = len(streams[i])
+        points = sorted({(0, 0), *((s, b) for s, b in points if s < total and b < size - first)}) if total else []
+        place[i] = offset
         for (s, b), (stop, _) in zip(points, [*points[1:], (total, 0)], strict=False):
             lanes.append((i, base + first + b, offset + s, offset + stop))
-        base, offset = base + len(data), offset + total
+        base, offset = base + size, offset + total
     fault: dict[int, str] = {}
-    if lanes and offset > 64 * max(base, 1) * BLOCK:  # more samples than any such stream can hold
-        raise ValueError("a stream claims more samples than it can hold")
-    pcm = np.zeros(offset, np.uint8)
+    pcm = np.zeros(offset, np.uint8)  # pages that no frame reaches are never touched
     if lanes:
         bits = _Bits(np.frombuffer(b"".join(streams[i] for i in heads), np.uint8))
         who, pos, sample, stop = (np.array(c, np.int64) for c in zip(*lanes, strict=True))
@@ -463,13 +483,12 @@ def decode_streams(streams: list[bytes | None]) -> list[tuple[bytes | None, str
             sample, pos = sample + size, after
             on = (bad == 0) & (sample < stop)
             who, pos, sample, stop = who[on], pos[on], sample[on], stop[on]
-    whole = pcm.tobytes()
-    for i, (_, at, total, md5) in heads.items():
-        mine = whole[at : at + total]
-        if i not in fault and md5 != bytes(16) and hashlib.md5((np.frombuffer(mine, np.uint8) ^ 0x80).tobytes()).digest() != md5:
-            fault[i] = "wrong MD5 of the samples"
-        out[i] = (None, fault[i]) if i in fault else (mine, None)
-    return out
+    for i, (total, md5, _, _) in heads.items():
+        if i not in fault:
+            mine = pcm[place[i] : place[i] + total]
+            if md5 != bytes(16) and hashlib.md5((mine ^ 0x80).tobytes()).digest() != md5:
+                fault[i] = "wrong MD5 of the samples"
+        out[i] = (None, fault[i]) if i in fault else (mine.tobytes(), None)
 
 
 # ---------------------------------------------------------------- Spark columns
@@ -542,9 +561,9 @@ def decode_flac(df: DataFrame, media_col: str, id_cols: list[str], block_samples
 
 
 def store_and_read(df: DataFrame, payload_col: str, id_cols: list[str], block_samples: int = 4096) -> DataFrame:
-    """id_cols, media, error, blocks: encode_flac and decode_flac in one pass."""
+    """id_cols, media, error, pcm (what was read back, whole), blocks (the same, cut): encode_flac and decode_flac in one pass."""
     out = df.select(*(F.col(c) for c in id_cols), flac_stored_and_read(F.col(payload_col)).alias("__both"))
-    return out.select(*id_cols, F.col("__both.media").alias("media"), F.col("__both.error").alias("error"), pcm_blocks(F.col("__both.pcm"), block_samples).alias("blocks"))
+    return out.select(*id_cols, F.col("__both.media").alias("media"), F.col("__both.error").alias("error"), F.col("__both.pcm").alias("pcm"), pcm_blocks(F.col("__both.pcm"), block_samples).alias("blocks"))
 
 
 def pcm_range(decoded: DataFrame, start: int, n: int) -> DataFrame:

@@ -30,9 +30,7 @@ def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded = F.greatest(F.ceil(n / 64), F.lit(1)).cast("int") * 64
     docs = docs.select("doc_id", n.cast("long").alias("n_bytes"), F.concat("raw", F.substring(F.lit(bytes(64)), F.lit(1), padded - n)).alias("payload"))
     read = flac.store_and_read(docs, "payload", ["doc_id", "n_bytes"])
-    read = read.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "error", "blocks")
-    whole = F.aggregate("blocks", F.lit(b""), lambda a, b: F.concat(a, b["pcm"]))
-    read = read.withColumn("payload", F.when(F.size("blocks") == 1, F.element_at("blocks", 1)["pcm"]).otherwise(whole))
+    read = read.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "error", F.col("pcm").alias("payload"), "blocks")
     ends = F.transform("blocks", lambda b: F.concat_ws(":", b["sample_offset"], b["n_samples"], F.crc32(b["pcm"])))
     return read.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),

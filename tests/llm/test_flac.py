@@ -161,6 +161,28 @@ def test_damage_is_found_and_named():
     assert "checksum" in got[0][1] and all(f for _, f in got[1:4]) and got[4] == (None, None)
 
 
+def forged(stream, total):
+    """The stream with another number of samples in its STREAMINFO."""
+    packed = int.from_bytes(stream[18:26], "big")
+    return stream[:18] + (packed >> 36 << 36 | total).to_bytes(8, "big") + stream[26:]
+
+
+def test_a_forged_count_harms_only_its_own_stream(spark):
+    body = bytes(range(256)) * 8
+    good = flac.encode_streams([body])[0]
+    for claim in (len(body) * 2, 1 << 30, (1 << 36) - 1):
+        df = spark.createDataFrame([(1, good), (2, forged(good, claim)), (3, good)], "id int, media binary").coalesce(1)
+        rows = {r["id"]: r for r in flac.decode_flac(df, "media", ["id"]).collect()}
+        assert rows[2]["blocks"] is None and "more samples" in rows[2]["error"]
+        assert all(b"".join(bytes(x["pcm"]) for x in rows[i]["blocks"]) == body and rows[i]["error"] is None for i in (1, 3))
+    # fewer samples than there are, and a count that the frames could hold by their sync codes but don't
+    (short, why), (whole, _) = flac.decode_streams([forged(good, len(body) - 1), good])
+    assert short is None and why and whole == body
+    padded = forged(good + b"\xff\xf8" * 5000, 1_000_000)
+    (none, why), (whole, _) = flac.decode_streams([padded, good])
+    assert none is None and why and whole == body
+
+
 def test_blocks_are_seekable(spark):
     body = bytes(range(256)) * 50
     df = spark.createDataFrame([(1, body), (2, b""), (3, None), (4, b"abc")], "id int, payload binary")
