@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,38 +112,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 def _warc_sql() -> str:
     """Derivatives of pages in DuckDB's dialect."""
-    crlf = "chr(13) || chr(10)"
+    crlf, space = "chr(13) || chr(10)", r"[ \t\n\x0B\f\r]"
 
     def uuid(text: str) -> str:
         return f"'<urn:uuid:' || " + " || '-' || ".join(f"substr(md5({text}), {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
 
-    def json(c: str) -> str:
-        for a, b in (("'\\'", "'\\\\'"), ("'\"'", "'\\\"'"), ("chr(10)", "'\\n'"), ("chr(13)", "'\\r'"), ("chr(9)", "'\\t'")):
-            c = f"replace({c}, {a}, {b})"
-        return f"'\"' || {c} || '\"'"
+    names = "[" + ", ".join(f"'{n}'" for n in sorted(name2codepoint)) + "]"
+    points = "[" + ", ".join(str(name2codepoint[n]) for n in sorted(name2codepoint)) + "]"
+
+    def entities(t: str) -> str:
+        name = "regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,15});', 1)"
+        point = f"""case when c.n = '' then null when c.n[1:2] in ('#x', '#X') then cast('0x' || c.n[3:] as bigint)
+          when c.n[1] = '#' then cast(c.n[2:] as bigint) else list_extract({points}, list_position({names}, c.n)) end"""
+        char = "chr(cast(case when d.x = 0 or d.x between 55296 and 57343 or d.x > 1114111 then 65533 when d.x = 160 then 32 else d.x end as integer))"
+        steps = f"list_transform(string_split({t}, '&')[2:], lambda p: {{'p': p, 'n': {name}}})"
+        steps = f"list_transform({steps}, lambda c: {{'p': c.p, 'k': length(c.n), 'x': {point}}})"
+        steps = f"list_transform({steps}, lambda d: case when d.x is null then '&' || d.p else {char} || d.p[d.k + 2:] end)"
+        return f"(string_split({t}, '&')[1] || array_to_string({steps}, ''))"
 
     text = "html"
     for pattern, new in (
-        (r"(?s)<!--.*?-->", "' '"), (r"(?is)<script[^>]*>.*?</script>", "' '"), (r"(?is)<style[^>]*>.*?</style>", "' '"),
+        (r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", "' '"),
         (r"(?i)<br[^>]*>|</(p|h1|h2|h3|h4|h5|h6|li|div|title|tr|ul|ol|nav|article|footer|header|section)>", "chr(10)"), (r"<[^>]*>", "' '"),
     ):
         text = f"regexp_replace({text}, '{pattern}', {new}, 'g')"
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        text = f"replace({text}, '{a}', '{b}')"
-    text = rf"regexp_replace({text}, '[ \t\x0B\f\r]+', ' ', 'g')"
-    text = rf"regexp_replace(regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
-    title = r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
-    links = """regexp_extract_all(html, '(?i)<a [^>]*href="([^"]*)"', 1)"""
-    meta = (
-        f"""'{{"url":' || {json("url")} || ',"status":"200","content_type":"text/html; charset=utf-8","title":' || {json(title)} || ',"n_links":' || len({links}) || ',"links":['"""
-        f""" || coalesce(array_to_string(list_transform({links}, lambda v: {json("v")}), ','), '') || '],"body_bytes":' || strlen(html) || ',"text_bytes":' || strlen(text) || '}}'"""
-    )
+    clean = rf"regexp_replace({entities('bare')}, '[ \t\x0B\f\r]+', ' ', 'g')"
+    clean = rf"regexp_replace(regexp_replace({clean}, ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+    title = rf"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '{space}+', ' ', 'g'))"
+    link = rf"""(?i)<a{space}([^>]*?[ \t\n\x0B\f\r"''])?href{space}*={space}*("[^"]*"|''[^'']*''|[^ \t\n\x0B\f\r"''>]+)"""
+    links = f"""list_transform(regexp_extract_all(html, '{link}', 2), lambda v: regexp_replace(v, '^["'']|["'']$', '', 'g'))"""
+    meta = """to_json({'url': url, 'status': '200', 'content_type': 'text/html; charset=utf-8',
+      'http_headers': [{'name': 'Content-Type', 'value': 'text/html; charset=utf-8'}, {'name': 'Content-Length', 'value': cast(strlen(html) as varchar)}],
+      'title': title, 'n_links': len(links), 'links': links, 'body_bytes': strlen(html), 'text_bytes': strlen(text)})"""
     head = " || ".join(f"'{n}: ' || {c} || {crlf}" for n, c in (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "'2024-01-01T00:00:00Z'"), ("WARC-Payload-Digest", "payload_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "kind"), ("Content-Length", "content_length")))
     return f"""
 with p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
-t as (select *, {text} as text, {uuid("'response|' || coalesce(cast(page_id as varchar), '') || '|' || url")} as refers_to, 'sha256:' || sha256(html) as payload_digest from p),
-d as (
-  select page_id, 'metadata' as record_type, 'application/json' as kind, refers_to, url as target_uri, payload_digest, {meta} as block from t
+b as (select *, {text} as bare, {title} as raw_title, {links} as raw_links from p),
+t as (
+  select *, {clean} as text, {entities('raw_title')} as title, list_transform(raw_links, lambda v: {entities('v')}) as links,
+    {uuid("'response|' || coalesce(cast(page_id as varchar), '') || '|' || url")} as refers_to, 'sha256:' || sha256(html) as payload_digest
+  from b
+), d as (
+  select page_id, 'metadata' as record_type, 'application/json' as kind, refers_to, url as target_uri, payload_digest, cast({meta} as varchar) as block from t
   union all select page_id, 'conversion', 'text/plain', refers_to, url, payload_digest, text from t
 ), r as (select *, {uuid("record_type || '|' || refers_to")} as record_id, 'sha256:' || sha256(block) as block_digest, cast(strlen(block) as bigint) as content_length from d)
 select page_id, record_type, record_id, refers_to, target_uri, payload_digest, block_digest, content_length,
