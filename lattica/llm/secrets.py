@@ -2,24 +2,32 @@
 
 Patterns (leftmost, not overlapping, per kind): `assign` (a keyword, a sign, a value of 6 or more), `access` (a
 key of 20 or more after AKIA) and `hex` (24 or more hex digits).  The battery adds `random` spans.  Its candidates
-are runs of 20 or more of [A-Za-z0-9+/_=-] with a digit that no pattern span touches.  The encoding (decimal, hex,
-base32, base64) is inferred from the characters, and against "its symbols are drawn evenly and independently" stand
+are runs of 20 or more of [A-Za-z0-9+/_=-] with a letter that no pattern span touches.  The encoding (hex, base32, base64)
+is inferred from the characters, and against "its symbols are drawn evenly and independently" stand
 
-- chi-squared over the encoding's cells (Wilson-Hilferty),
+- chi-squared over cells of the alphabet (Wilson-Hilferty): the 16 symbols of hex; vowels, frequent and other consonants
+  (by case in base64), digits and signs,
 - runs above and below the middle of the alphabet (Wald-Wolfowitz),
 - correlation of neighbouring symbols,
 
-combined by Fisher's method.  Text fails them, keys do not.  As short tokens have little power, tokens are compared within
-classes of length, and Benjamini-Hochberg at level `fdr` within each class decides which tokens are cleared as ordinary:
-among those that are cleared, at most that share is expected to be random.  Counts for it cover all candidates of
-the table, in bins of a tenth of a decade, so what reaches the driver is bounded (classes x bins).
-
-Positions are code points, end exclusive.  Null text counts as empty; it has no spans.  Repeated rows are
-judged each; an empty table gives an empty result.  Other columns are ignored by `scan` and kept by `redact`.
+combined by Fisher's method to a score: near 1 for a key, near 0 for words.  How high ordinary text scores by chance depends on
+length, so it is measured: every document gives DECOYS pieces of its own words, joined as identifiers, paths and titles are,
+to each of which the same battery is applied (a few from a fixed list of words stand beside them, for tables with little text).
+A candidate's p-value is the share of the decoys of its class of length that score as high, and Benjamini-Hochberg within each class
+decides what is reported: in each class at most a share `fdr` of the reported spans is expected to be ordinary text.  A token whose
+score is below REJECTED is never reported: one key in a thousand scores so low.
+Counts for it cover all candidates and all documents of the table, in bins of a tenth of a decade of the score, so what reaches the
+driver is bounded (classes x bins).
+
+Positions are code points, end exclusive.  Null text counts as empty; it has no spans.  Very long texts are scanned whole.  Spans
+with equal starts come by kind; repeated rows are judged each; an empty table gives an empty result.  Other columns are ignored by
+`scan` and kept by `redact`.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +37,17 @@ from .common import cut, fresh
 ASSIGN = r"""(?=[PpSsTtAa])([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ["assign", "access", "hex", "random"]
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 LENGTHS = [20, 28, 40, 64]  # lower ends of the classes of length
 BINS = 200
+DECOYS = 2  # of each document
+REJECTED = 1e-3  # score from which on a token can be random
+WORDS = "the house of many small rivers and long roads was built by people who came from other places with their families after years of work in fields under warm weather"
+CELLS64 = [0 if c in "aeiou" else 1 if c in "tnshrdl" else 2 if c.islower() else 3 if c.isupper() else 4 if c.isdigit() else 5 for c in BASE64]
+CELLS32 = [0 if c in "AEIOU" else 1 if c in "TNSHRDL" else 2 if c.isupper() else 3 for c in BASE64[:26] + "234567"]
+SHARES = {16: [1 / 16] * 16, 32: [CELLS32.count(i) / 32 for i in range(4)], 64: [CELLS64.count(i) / 64 for i in range(6)]}
 NONE = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -68,40 +82,40 @@ def upper_tail(z: Column) -> Column:
 
 
 def battery(tokens: Column) -> Column:
-    """array<struct<start, end, size, p>> for an array<struct<start, kind, end, token>>: the
-    combined p-value of each token, in steps so that each part is computed once."""
+    """array<struct<start, end, size, p>> for an array<struct<start, kind, end, token>>: the class of length and
+    the combined p-value of each token, in steps so that each part is computed once."""
 
     def encoded(c: Column) -> Column:
         body = F.translate(F.rtrim(c["token"], F.lit("=")), "-_=", "+//")
         hexed = body.rlike("^([0-9a-f]+|[0-9A-F]+)$")
-        kind = F.when(body.rlike("^[0-9]+$"), 10).when(hexed, 16).when(body.rlike("^[A-Z2-7]+$"), 32).otherwise(64)
+        kind = F.when(hexed, 16).when(body.rlike("^[A-Z2-7]+$"), 32).otherwise(64)
         return F.struct(c["start"].alias("start"), c["end"].alias("end"), F.when(hexed, F.lower(body)).otherwise(body).alias("body"), kind.alias("base"))
 
     def valued(c: Column) -> Column:
-        alphabet = F.when(c["base"] <= 16, "0123456789abcdef").when(c["base"] == 32, BASE64[:26] + "234567").otherwise(BASE64)
+        alphabet = F.when(c["base"] == 16, "0123456789abcdef").when(c["base"] == 32, BASE64[:26] + "234567").otherwise(BASE64)
         chars = F.filter(F.split(c["body"], ""), lambda ch: ch != "")
         v = F.transform(chars, lambda ch: F.position(ch, alphabet) - 1)
         return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), v.alias("v"), F.size(v).alias("n"))
 
+    numbers = lambda values: F.array(*(F.lit(x) for x in values))
+
     def counted(c: Column) -> Column:
-        # base64: halves of the capitals, of the small letters and of the digits, and the two signs
-        cell = F.transform(c["v"], lambda x: F.when(c["base"] <= 16, x).when(c["base"] == 32, F.floor(x / 4).cast("int")).when(x < 52, F.floor(x / 13).cast("int")).when(x < 62, F.floor((x - 52) / 5).cast("int") + 4).otherwise(6))
-        share64 = F.array(*(F.lit(s / 64) for s in (13.0, 13.0, 13.0, 13.0, 5.0, 5.0, 2.0)))
-        cells = F.when(c["base"] == 64, 7).when(c["base"] == 32, 8).otherwise(c["base"])
+        cells = F.when(c["base"] == 16, numbers(range(16))).when(c["base"] == 32, numbers(CELLS32)).otherwise(numbers(CELLS64))
+        shares = F.when(c["base"] == 16, numbers(SHARES[16])).when(c["base"] == 32, numbers(SHARES[32])).otherwise(numbers(SHARES[64]))
         high = F.transform(c["v"], lambda x: (x * 2 >= c["base"]).cast("int"))
         return F.struct(
             *(c[k].alias(k) for k in ("start", "end", "base", "v", "n")),
-            cell.alias("cell"), cells.alias("cells"), share64.alias("share64"), high.alias("high"),
+            F.transform(c["v"], lambda x: F.element_at(cells, x + 1)).alias("cell"), shares.alias("shares"), high.alias("high"),
             F.aggregate(c["v"], F.lit(0.0), lambda a, x: a + x).alias("sum"),
         )
 
     def tested(c: Column) -> Column:
-        def term(j: Column) -> Column:
-            expected = c["n"] * F.when(c["base"] == 64, F.element_at(c["share64"], j + 1)).otherwise(F.lit(1.0) / c["cells"])
+        def term(share: Column, j: Column) -> Column:
+            expected = c["n"] * share
             seen = F.size(F.filter(c["cell"], lambda x: x == j))
             return (seen - expected) * (seen - expected) / expected
 
-        chi = F.aggregate(F.transform(F.sequence(F.lit(0), c["cells"] - 1), term), F.lit(0.0), lambda a, x: a + x)
+        chi = F.aggregate(F.transform(c["shares"], term), F.lit(0.0), lambda a, x: a + x)
         pairs = F.arrays_zip(F.slice(c["high"], 1, c["n"] - 1).alias("a"), F.slice(c["high"], 2, c["n"] - 1).alias("b"))
         runs = F.aggregate(pairs, F.lit(1), lambda a, p: a + F.abs(p["a"] - p["b"]))
         mean = c["sum"] / c["n"]
@@ -109,7 +123,7 @@ def battery(tokens: Column) -> Column:
         cov = F.aggregate(near, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
         var = F.aggregate(c["v"], F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
         ups = F.aggregate(c["high"], F.lit(0), lambda a, x: a + x)
-        return F.struct(*(c[k].alias(k) for k in ("start", "end", "n")), (c["cells"] - 1).alias("df"), chi.alias("chi"), runs.alias("runs"), ups.alias("n1"), (c["n"] - ups).alias("n2"), cov.alias("cov"), var.alias("var"))
+        return F.struct(*(c[k].alias(k) for k in ("start", "end", "n")), (F.size(c["shares"]) - 1).alias("df"), chi.alias("chi"), runs.alias("runs"), ups.alias("n1"), (c["n"] - ups).alias("n2"), cov.alias("cov"), var.alias("var"))
 
     def scored(c: Column) -> Column:
         df, n = c["df"].cast("double"), c["n"].cast("double")
@@ -124,7 +138,7 @@ def battery(tokens: Column) -> Column:
     def fisher(c: Column) -> Column:
         half = -(F.log(c["p1"]) + F.log(c["p2"]) + F.log(c["p3"]))
         p = F.exp(-half) * (1 + half + half * half / 2)
-        size = sum((c["n"] >= lower).cast("int") for lower in LENGTHS)  # padding left aside
+        size = F.greatest(sum((c["n"] >= lower).cast("int") for lower in LENGTHS), F.lit(1))  # padding left aside
         return F.struct(c["start"].alias("start"), c["end"].alias("end"), size.alias("size"), F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-20)).alias("p"))
 
     out = F.filter(F.transform(F.transform(tokens, encoded), valued), lambda c: c["n"] >= 12)
@@ -133,10 +147,33 @@ def battery(tokens: Column) -> Column:
     return out
 
 
-def findings(docs: DataFrame, text_col: str, keep: list[str]) -> tuple[DataFrame, str, str]:
-    """keep, base spans (sorted by start, kind) and tested candidates of each row, written to the shared
-    folder; the names of the two columns."""
-    base, tried, text = fresh(docs, "base"), fresh(docs, "tried"), fresh(docs, "text")
+def _joined(words: Column, how: Column) -> Column:
+    """Words (space between them) as an identifier, a path or a title."""
+    glued = F.replace(F.initcap(words), F.lit(" "), F.lit(""))
+    return F.when(how == 0, F.translate(words, " ", "-")).when(how == 1, F.translate(words, " ", "_")).when(how == 2, F.translate(words, " ", "/")).otherwise(glued)
+
+
+def decoys(text: Column, n: int = DECOYS) -> Column:
+    """array<struct<start, kind, end, token>>: up to n pieces of the text's words at places, of lengths and in spellings that a hash
+    of the text picks."""
+
+    def piece(h: Column) -> Column:
+        size = F.element_at(F.array(*(F.lit(x) for x in LENGTHS)), (h % len(LENGTHS) + 1).cast("int")) + (F.shiftright(h, 8) % 12).cast("int")
+        at = F.shiftright(h, 20) % F.greatest(F.length(text) - 2 * size, F.lit(1)) + 1
+        return F.struct(size.alias("size"), (F.shiftright(h, 4) % 4).alias("how"), F.substring(text, at.cast("int"), size * 2 + 16).alias("part"))
+
+    def named(c: Column) -> Column:
+        words = F.trim(F.regexp_replace(c["part"], "[^A-Za-z0-9]+", " "))
+        return F.struct(F.lit(0).alias("start"), F.lit(3).alias("kind"), c["size"].alias("end"), F.substring(_joined(words, c["how"]), F.lit(1), c["size"]).alias("token"))
+
+    hashes = F.array(*(F.xxhash64(text, F.lit(i)).bitwiseAND(F.lit((1 << 60) - 1)) for i in range(n)))
+    return F.filter(F.transform(F.transform(hashes, piece), named), lambda c: F.length(c["token"]) == c["end"])
+
+
+def findings(docs: DataFrame, text_col: str, keep: list[str]) -> tuple[DataFrame, str, str, str]:
+    """keep, base spans (sorted by start, kind), tested candidates and tested decoys of each row, written to the shared
+    folder; the names of the three columns."""
+    base, tried, ordinary, text = (fresh(docs, c) for c in ("base", "tried", "ordinary", "text"))
     whole = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumn(text, whole)
     t = F.col(text)
@@ -144,38 +181,43 @@ def findings(docs: DataFrame, text_col: str, keep: list[str]) -> tuple[DataFrame
     out = out.select(*keep, text, F.array_sort(hits).alias(base))
     free = F.filter(spans(F.col(text), CANDIDATE, 3), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
     tokens = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.substring(F.col(text), c["start"] + 1, c["end"] - c["start"]).alias("token")))
-    return cut(out.select(*keep, base, battery(tokens).alias(tried)), "secrets"), base, tried
+    bins = F.transform(battery(decoys(F.col(text))), lambda c: F.struct(c["size"].alias("size"), _bin(c["p"]).alias("bin")))
+    return cut(out.select(*keep, base, battery(tokens).alias(tried), bins.alias(ordinary)), "secrets"), base, tried, ordinary
 
 
 def _bin(p: Column) -> Column:
     return F.least(F.floor(-10 * F.log10(p)).cast("int"), F.lit(BINS))
 
 
-def cleared_from(found: DataFrame, tried: str, fdr: float) -> dict[int, int]:
-    """For each class of length the bin from which tokens are cleared (no entry: none is)."""
-    counts = found.select(F.explode(tried).alias("c")).groupBy(F.col("c.size").alias("size"), _bin(F.col("c.p")).alias("bin")).count().collect()  # at most 5 x 201 rows
+def reported_to(found: DataFrame, tried: str, ordinary: str, fdr: float) -> dict[int, int]:
+    """For each class of length the last bin that is reported (no entry: none is)."""
+    spark = found.sparkSession
+    words = F.split(F.lit(WORDS), " ")
+    rows = spark.range(100).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.element_at(words, (F.pmod(F.col("id") * 7 + i * (F.col("id") % 5 + 1), F.size(words)) + 1).cast("int"))), " ").alias("t"))
+    fixed = rows.select(F.explode(battery(decoys(F.col("t"), 4))).alias("c")).select(F.lit(1).alias("plain"), F.col("c.size").alias("size"), _bin(F.col("c.p")).alias("bin"))
+    of = lambda c, plain: found.select(F.explode(c).alias("c")).select(F.lit(plain).alias("plain"), F.col("c.size").alias("size"), (F.col("c.bin") if plain else _bin(F.col("c.p"))).alias("bin"))
+    counts = of(tried, 0).unionByName(of(ordinary, 1)).unionByName(fixed).groupBy("plain", "size", "bin").count().collect()  # at most 2 x 4 x 201 rows
     out: dict[int, int] = {}
     for size in {r["size"] for r in counts}:
-        own = {r["bin"]: r["count"] for r in counts if r["size"] == size}
-        total, below = sum(own.values()), 0
-        for b in sorted(own, reverse=True):
-            below += own[b]
-            if 10 ** (-b / 10) <= fdr * below / total:
+        own, plain = ({r["bin"]: r["count"] for r in counts if r["size"] == size and r["plain"] == k} for k in (0, 1))
+        above, chance = 0, 1
+        for b in sorted(b for b in {*own, *plain} if b < -10 * math.log10(REJECTED)):
+            above, chance = above + own.get(b, 0), chance + plain.get(b, 0)
+            if above and chance / (1 + sum(plain.values())) * sum(own.values()) <= fdr * above:
                 out[size] = b
     return out
 
 
-def all_spans(base: str, tried: str, cleared: dict[int, int]) -> Column:
-    """Pattern spans, and the candidates that are not cleared, by start and kind."""
-    limit = F.lit(BINS + 1)
-    kept = F.filter(tried, lambda c: _bin(c["p"]) < _limit(c["size"], cleared, limit))
+def all_spans(base: str, tried: str, reported: dict[int, int]) -> Column:
+    """Pattern spans, and the candidates that are reported, by start and kind."""
+    kept = F.filter(tried, lambda c: _bin(c["p"]) <= _limit(c["size"], reported, F.lit(-1)))
     more = F.transform(kept, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     return F.array_sort(F.concat(F.col(base), more.cast(NONE)))
 
 
-def _limit(size: Column, cleared: dict[int, int], rest: Column) -> Column:
+def _limit(size: Column, reported: dict[int, int], rest: Column) -> Column:
     out = rest
-    for k, b in sorted(cleared.items()):
+    for k, b in sorted(reported.items()):
         out = F.when(size == k, b).otherwise(out)
     return out
 
@@ -187,15 +229,15 @@ def as_text(found: Column) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.05) -> DataFrame:
     """id_col, base and spans (array<struct<start, kind, end>>): a row for each row of docs."""
-    found, base, tried = findings(docs.select(id_col, text_col), text_col, [id_col])
-    return found.select(id_col, F.col(base).alias("base"), all_spans(base, tried, cleared_from(found, tried, fdr)).alias("spans"))
+    found, base, tried, ordinary = findings(docs.select(id_col, text_col), text_col, [id_col])
+    return found.select(id_col, F.col(base).alias("base"), all_spans(base, tried, reported_to(found, tried, ordinary, fdr)).alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", fdr: float = 0.05, mark: str = "[secret]") -> DataFrame:
     """docs with every span of the text replaced by the mark (overlapping spans by one); other columns and
     texts without spans stay as they are."""
-    found, base, tried = findings(docs, text_col, docs.columns)
-    where = all_spans(base, tried, cleared_from(found, tried, fdr))
+    found, base, tried, ordinary = findings(docs, text_col, docs.columns)
+    where = all_spans(base, tried, reported_to(found, tried, ordinary, fdr))
     text, start = F.col(text_col), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
