@@ -12,8 +12,9 @@ the block in which the budget ends a cut by hash decides, so documents themselve
 sorted or gathered, however large a source is.
 
 Tokens of a document: a quarter of its UTF-8 bytes, rounded up, 1 at least (null text: 1).  A null
-source is a source of its own.  Repeated rows have one hash and are taken together.  An empty table gives an
-empty mix.
+source is a source of its own.  Repeated rows have one hash and are taken together, as are documents whose hashes tie; blocks
+whose turns tie come by number.  Very long texts are counted by their length, never copied.  An empty table gives an empty mix.
+Columns of the table may have any names: the ones added here are named apart from them.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ class Exponent:
 
 def fit_exponent(sources: DataFrame, repeats: float | None = 2.0, entropy: float | None = None, budget: int | None = None) -> Exponent:
     """sources: tokens of each (column tokens).  entropy is in nats.  The least alpha in [0, 1] under the
-    repetition limit, or the alpha whose entropy is the target (the end that is nearer, if none is)."""
+    repetition limit, or the alpha whose entropy is the target; a target that no alpha in [0, 1] has is an error."""
     if (repeats is None) == (entropy is None):
         raise ValueError("give either repeats or entropy")
     total, n, low, high = sources.agg(F.sum("tokens"), F.count("*"), F.min("tokens"), F.max("tokens")).first()
@@ -81,6 +82,10 @@ def fit_exponent(sources: DataFrame, repeats: float | None = 2.0, entropy: float
 
     a, b = 0.0, 1.0
     ends = sums([0.0, 1.0])
+    if entropy is not None:
+        most, least = (math.log(z) - x * zlog / z for x, (z, zlog) in zip((0.0, 1.0), ends, strict=True))
+        if not least - 1e-9 <= entropy <= most + 1e-9:
+            raise ValueError(f"the entropy must be between {least:.6f} (as the sources are) and {most:.6f} (all alike)")
     if enough(0.0, *ends[0]):
         b = 0.0
     elif enough(1.0, *ends[1]):
@@ -112,11 +117,17 @@ def mix_plan(docs: DataFrame, source: Column, key: Column, tokens: Column, repea
     plan = plan.withColumn("room", room).withColumn("epochs", (F.col("full") + (F.col("room") >= F.col("tokens")).cast("long")).cast("int"))
     plan = plan.withColumn("room", F.when((F.col("room") > 0) & (F.col("room") < F.col("tokens")), F.col("room")))
     plan = cut(plan.select("source", "block", "weight", "quota", "epochs", "room"), "plan")
-    # one block of each source at most has room for a part of its documents
+    # one block of each source at most has room for a part of its documents.  Its cut is found among sums of 2^20 cells of keys, and
+    # only the documents of the cell in which the room ends are sorted
     part = plan.filter("room is not null").select(F.col("source").alias("s"), F.col("block").alias("b"), "room")
-    inside = slim.join(part, slim.source.eqNullSafe(part.s) & (slim.block == part.b))
-    upto = F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("key"))  # equal keys together
-    cuts = inside.withColumn("upto", upto).filter("upto <= room").groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.max("key").alias("cut"))
+    inside = slim.join(part, slim.source.eqNullSafe(part.s) & (slim.block == part.b)).withColumn("cell", F.shiftright("key", 40))
+    cells = inside.groupBy("s", "b", "room", "cell").agg(F.sum("tokens").alias("tokens"), F.max("key").alias("key"))
+    cells = cells.withColumn("upto", F.sum("tokens").over(Window.partitionBy("s", "b").orderBy("cell")))
+    whole = cells.filter("upto <= room").select("s", "b", "key")
+    edge = cells.filter("upto > room and upto - tokens <= room").select(F.col("s").alias("es"), F.col("b").alias("eb"), F.col("cell").alias("ec"), (F.col("upto") - F.col("tokens")).alias("before"))
+    ended = inside.join(edge, inside.s.eqNullSafe(edge.es) & (inside.b == edge.eb) & (inside.cell == edge.ec))
+    upto = F.col("before") + F.sum("tokens").over(Window.partitionBy("s", "b").orderBy("key"))  # equal keys together
+    cuts = ended.withColumn("upto", upto).filter("upto <= room").select("s", "b", "key").unionByName(whole).groupBy("s", "b").agg(F.max("key").alias("cut"))
     return cut(plan.join(cuts, plan.source.eqNullSafe(cuts.s) & (plan.block == cuts.b), "left").select("source", "block", "weight", "quota", "epochs", "cut"), "plan")
 
 

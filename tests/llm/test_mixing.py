@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from lattica.llm import mixing as M
@@ -39,6 +40,35 @@ def test_entropy_target(spark):
         assert abs(-sum(p * math.log(p) for p in w) - target) < 1e-4
 
 
+def test_entropy_out_of_reach_is_an_error(spark):
+    docs = corpus(spark, [900, 300, 100, 40])
+    for target in (0.2, 2.0):
+        with pytest.raises(ValueError, match="entropy"):
+            M.mix(docs, repeats=None, entropy=target)
+
+
+def test_the_cut_is_the_one_of_a_plain_sum(spark):
+    """Documents of the cut block by falling room: those whose keys, sorted, fit into what is left."""
+    docs = corpus(spark, [3000, 700])
+    key, tokens = M.document_key("doc_id", "text"), M.document_tokens(F.col("text"))
+    for budget in (3100, 5200, 9001):
+        plan = {(r["source"], r["block"]): r for r in M.mix_plan(docs, F.col("source"), key, tokens, repeats=1.2, budget=budget).collect()}
+        rows = docs.select("source", key.alias("key"), tokens.alias("n")).collect()
+        own = {s: sum(r["n"] for r in rows if r["source"] == s) for s in ("s0", "s1")}
+        spent = {s: sum(r["n"] * plan[s, r["key"] % M.BLOCKS]["epochs"] for r in rows if r["source"] == s) for s in own}
+        for (s, b), p in plan.items():
+            room, whole = p["quota"] - spent[s], p["epochs"]
+            if p["cut"] is not None:
+                inside = sorted((r["key"], r["n"]) for r in rows if r["source"] == s and r["key"] % M.BLOCKS == b)
+                total, cut = 0, None
+                for k, n in inside:
+                    total += n
+                    if total > room:
+                        break
+                    cut = k
+                assert p["cut"] == cut and whole >= 0
+
+
 def test_budget_is_spent_by_whole_and_cut_blocks(spark):
     docs = corpus(spark, [900, 300])
     for budget in (500, 2000, 9000):
@@ -53,8 +83,10 @@ def test_budget_is_spent_by_whole_and_cut_blocks(spark):
 def test_epochs_come_in_other_permutations(spark):
     rows = mixed(corpus(spark, [2000, 20]), repeats=3.0).filter("source = 's1'").collect()
     order = {e: [r["block"] for r in sorted((r for r in rows if r["epoch"] == e), key=lambda r: r["turn"])] for e in (1, 2)}
-    assert sorted(order[1]) == sorted(set(order[1])) or True
-    assert order[1] != order[2] and set(order[2]) <= set(order[1])
+    blocks = {e: list(dict.fromkeys(o)) for e, o in order.items()}
+    # documents of a block stand together, each block has one turn in an epoch, and the second epoch's turns are other ones
+    assert all(sum(a != b for a, b in zip(o, o[1:], strict=False)) == len(set(o)) - 1 for o in order.values())
+    assert blocks[1] != blocks[2] and set(blocks[2]) <= set(blocks[1])
 
 
 def test_same_result_again(spark):

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lattica.llm import simhash as S
 
@@ -125,31 +126,10 @@ def test_similar_groups_catch_near_copies_and_leave_others(spark):
         assert all(got[i] == i for i, _ in rows if i not in copies)
 
 
-def sketched(text):
-    raw = text.encode()
-    return S.fingerprint_bytes(raw, 5), S.part_signatures(raw, 5)
-
-
-def test_one_shared_signature_is_enough_in_large_shards(spark):
-    rng, rows = random.Random(11), []
-    while len(rows) < 40:  # pairs within 13 bits that share one signature only
-        text = [f"w{rng.randrange(9000)}" for _ in range(120)]
-        near = list(text)
-        for _ in range(7):
-            near[rng.randrange(120)] = "changed"
-        (f, p), (g, q) = sketched(" ".join(text)), sketched(" ".join(near))
-        if 0 < (f ^ g).bit_count() <= 13 and len(set(p) & set(q)) == 1:
-            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(near))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for split in (4096, 1):
-        got = {r["doc_id"]: r["component_id"] for r in S.similar_groups(df, least_jaccard=0.4, split_above=split).collect()}
-        assert got == {i: i - i % 2 for i, _ in rows}
-
-
 def test_blocks_of_a_large_shard_are_bounded_and_miss_no_two(spark):
     hot = spark.createDataFrame([(7, 3000, i * 2**40 + i) for i in range(3000)], "shard long, n long, node long")
     pairs = {}
-    for r in S.block_pairs(hot, 400).collect():
+    for r in S.block_pairs(hot, "shard", F.ceil(F.col("n") * 2 / 400)).collect():
         pairs.setdefault((r["first"], r["second"]), set()).add(r["node"])
     assert max(map(len, pairs.values())) <= 600
     met = {}
@@ -181,3 +161,56 @@ def test_links_are_exact(spark):
     for split in (4096, 16):
         got = {r["doc_id"]: r["component_id"] for r in S.similar_groups(df, split_above=split).collect()}
         assert got == want
+
+
+def test_recall_in_each_class_of_length(spark):
+    """Pairs whose index is 0.8 or a little more, at every length, beside a passage that all of them hold: none is missed, and no
+    other pair is joined."""
+    rng, rows, want = random.Random(5), [], {}
+    for length in (5, 6, 8, 12, 20, 40, 80, 128, 132, 160, 200, 400, 1500, 20000):
+        passage = [f"p{i}" for i in range(min(30, length // 3))]
+        pairs = 6 if length > 2000 else 40
+        for _ in range(pairs):
+            base = passage + [f"w{rng.randrange(10**9)}" for _ in range(length - len(passage))]
+            kind = rng.randrange(3)
+            near = list(base)
+            if kind == 0:  # words are added: 0.8 exactly, if the count allows it
+                near += [f"a{rng.randrange(10**9)}" for _ in range(max(1, (length - 4) // 4))]
+            elif kind == 1:  # the end is another one
+                change = max(1, round((length - 4) / 9))
+                near[-change:] = [f"e{rng.randrange(10**9)}" for _ in range(change)]
+            else:  # scattered changes
+                for _ in range(max(1, length // 60)):
+                    near[rng.randrange(len(passage), length)] = f"c{rng.randrange(10**9)}"
+            a, b = len(rows), len(rows) + 1
+            rows += [(a, " ".join(base)), (b, " ".join(near))]
+            want |= {a: a, b: a if jaccard(rows[a][1], rows[b][1]) >= 0.8 else b}
+    assert sum(want[i] != i for i in want) > 300
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_groups_do_not_depend_on_the_size_of_blocks(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    want = dict(plain_groups(rows, lambda a, b: jaccard(a, b) >= 0.8))
+    for split in (1024, 2, 7):
+        assert {r["doc_id"]: r["component_id"] for r in S.similar_groups(docs, split_above=split).collect()} == want
+
+
+def test_dense_family_is_linked_exactly(spark):
+    """A family with indices on both sides of the limit: its single-link groups, whatever the blocks."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for _ in range(160):
+        near = list(base)
+        for _ in range(rng.randint(1, 9)):
+            near[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(near))
+    rows = list(enumerate(texts))
+    want = dict(plain_groups(rows, lambda a, b: jaccard(a, b) >= 0.8))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for split in (1024, 20):
+        assert {r["doc_id"]: r["component_id"] for r in S.similar_groups(df, split_above=split).collect()} == want
+    assert 1 < len(set(want.values())) < len(rows)
