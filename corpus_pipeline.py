@@ -3,7 +3,10 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs.  All but the last return the columns of documents.
 
-Stages keep rows with a null id or text unless they say otherwise; an empty table gives an empty result.
+Stages keep rows with a null id or text unless they say otherwise; an empty table gives an empty result.  Very long texts are handled
+whole in every stage.  Repeated rows are judged each by toxicity and secrets, become one among near copies, and are repeated together
+by mixing.  Ties: a score equal to THRESHOLD rejects; of a group's rows with the least id, the one with the least hash of its text stays.
+Further columns of documents are carried along, whatever their names; only packing returns its own.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies (an exact
-    Jaccard index of 0.8 or more of their five-word shingles).  Repeated rows become one; rows with null id have no name to be kept by and stay."""
+    """Keeps the document with the smallest id of each group of near copies (an exact Jaccard index of 0.8 or more of their
+    five-word shingles).  Repeated rows become one; rows with null id have no name to be kept by and stay."""
     groups = simhash.similar_groups(docs, shingle=5, least_jaccard=0.8, extra={"content": F.xxhash64("text")})
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__id")).agg(F.min("content").alias("__content"))
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("group").agg(F.min(F.struct("doc_id", "content")).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.content").alias("__content"))
     name = fresh(docs, "content")
     own = docs.filter("doc_id is not null").withColumn(name, F.xxhash64("text"))
     out = own.join(kept, (own.doc_id == kept["__id"]) & (own[name] == kept["__content"]), "left_semi").dropDuplicates(["doc_id", name])
