@@ -382,7 +382,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # one row stands for each set, so copies of a text go no further than their fingerprint
     member = cut(near.join(facts, "node").select("node", "root", "row", "size"), "members")
     family = member.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("held"))
-    sets = rows.select("row", "hashes").join(member.join(family, "root"), "row")
+    member = cut(member.join(family, "root").select("row", "root", "node", "n", "held"), "members")
+    few = member.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # then sets that are in no family are not moved
+    sets = rows.select("row", "hashes").join(F.broadcast(member) if few else member, "row")
     blocks = F.greatest(F.when(F.col("n") > split_above, F.ceil(F.col("n") * 2 / split_above)).otherwise(1), F.ceil(F.col("held") / ELEMENTS))
     met = block_pairs(sets, "root", F.least(blocks, F.col("n")), "hashes")
     links = cut(_in_groups(met, "root", ["hashes"], lambda *cols: _alike(*cols, least_jaccard)).distinct(), "links")
@@ -390,6 +392,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 ELEMENTS = 1 << 18  # of the sets of a block
+BROADCAST_ROWS = 500_000  # members of families (40 bytes each) that may be broadcast; beyond, Spark joins as it likes
 
 
 def _in_groups(rows: DataFrame, key: str, cols: list[str], search: Callable[..., list[tuple[int, int]]]) -> DataFrame:
