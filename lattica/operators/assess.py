@@ -82,14 +82,21 @@ def genomes_with_marker(genomes: DataFrame, markers: DataFrame) -> DataFrame:
     return genomes.join(markers.select("cluster").distinct(), "cluster", "left_semi").select("genome").distinct()
 
 
-def genome_report(contigs: DataFrame, links: DataFrame, features: DataFrame) -> DataFrame:
-    """A row for each genome: contigs, bases, own features, linked markers, best marker, with defaults."""
+def genome_report(contigs: DataFrame, links: DataFrame, features: DataFrame, lengths: DataFrame, depths: DataFrame | None = None, completeness: DataFrame | None = None, taxa: DataFrame | None = None) -> DataFrame:
+    """A row for each genome of contigs, with defaults: contigs, bases, depth (0), own (features on its contigs, 0), own_len (the
+    longest, 0), completeness (0), linked (markers, 0), linked_lens (of linked markers, longest first, `;` between), best (marker of
+    the most reads, NA) and taxon (unknown).  lengths: marker, ref_len; the other tables have genome and the column of their name."""
+    none = lambda df, col, kind: contigs.sparkSession.createDataFrame([], f"genome string, {col} {kind}") if df is None else df.select("genome", col)
     g = contigs.groupBy("genome").agg(F.count("*").alias("contigs"), F.sum("ref_len").alias("bases"))
-    f = features.join(contigs.select("contig", "genome"), "contig").groupBy("genome").agg(F.count("*").alias("own"))
+    f = features.join(contigs.select("contig", "genome"), "contig").groupBy("genome").agg(F.count("*").alias("own"), F.max(F.col("r") - F.col("l") + 1).alias("own_len"))
     best = F.max_by("marker", F.struct("n", "marker"))
-    k = links.groupBy("genome").agg(F.count("*").alias("linked"), best.alias("best"))
+    lens = F.array_join(F.reverse(F.array_sort(F.collect_list("ref_len"))), ";")
+    k = links.join(lengths.select("marker", "ref_len"), "marker", "left").groupBy("genome").agg(F.count("*").alias("linked"), lens.alias("linked_lens"), best.alias("best"))
     out = g.join(f, "genome", "left").join(k, "genome", "left")
-    return out.select("genome", "contigs", "bases", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("best", F.lit("NA")).alias("best"))
+    for df, col, kind in ((depths, "depth", "double"), (completeness, "completeness", "double"), (taxa, "taxon", "string")):
+        out = out.join(none(df, col, kind), "genome", "left")
+    default = {"depth": 0.0, "own": 0, "own_len": 0, "completeness": 0.0, "linked": 0, "linked_lens": "", "best": "NA", "taxon": "unknown"}
+    return out.select("genome", "contigs", "bases", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in default.items()))
 
 
 def rank_within(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The rules read links by falling count and depend on what was assigned before, but only within a connected
 component of links and identities, so components are solved side by side, each by an ordered loop.  Ties are read by marker,
-then genome.
+then genome.  A component is one task: links and identities are counts between references, not reads, and some millions of them (a
+few hundred bytes each while they are read) fit an executor.
 """
 
 from __future__ import annotations
@@ -47,22 +48,26 @@ def greedy_rows(links: pd.DataFrame, ident: dict[tuple[str, str], float], cutoff
         if not top.setdefault(g, []) or top[g][0][0] == n:
             top[g].append((n, m))
     clashing = {g: {m for _, m in ms} for g, ms in top.items() if len(ms) > 1 and min(same(a, b) for _, a in ms for _, b in ms if a != b) <= cutoff}
-    neighbours: dict[str, set[str]] = {}
+    near: dict[str, list[tuple[str, float]]] = {}
     for (a, b), i in ident.items():
-        if i >= cutoff:
-            neighbours.setdefault(a, set()).add(b)
-            neighbours.setdefault(b, set()).add(a)
-    kept, taken, retired, of_genome, best = [], [], set(), {}, {}
+        near.setdefault(a, []).append((b, i))
+        near.setdefault(b, []).append((a, i))
+    # kept up to date while reading: genomes whose best count has been reached, what their tied markers shadow, and the taken marker
+    # that is most like each one
+    waiting = sorted(clashing, key=lambda h: -top[h][0][0])[::-1]
+    reached, shadow, nearest = set(), set(), {}
+    kept, taken, retired, of_genome, best = [], set(), set(), {}, {}
     for row, m, g, n, size, clip_l, clip_r in zip(rows.index, rows["marker"], rows["genome"], rows["n"], rows["length"], rows["clip_l"], rows["clip_r"], strict=True):
         if n < min_links:
             break
-        if taken:
-            iden, nearest = max((same(t, m), t) for t in taken)
-            if lengths[nearest] - size >= short_by and iden >= 99 and clip_l >= 60 and clip_r >= 60:
+        while waiting and top[waiting[-1]][0][0] >= n:
+            reached.add(h := waiting.pop())
+            shadow.update(x for b in clashing[h] for x, i in near.get(b, ()) if i >= cutoff)
+        if m in nearest:
+            iden, like = nearest[m]
+            if lengths[like] - size >= short_by and iden >= 99 and clip_l >= 60 and clip_r >= 60:
                 retired.add(m)
-        # genomes whose best count reaches this one, and what their tied markers shadow
-        shadow = {x for h, ms in clashing.items() if top[h][0][0] >= n for b in ms for x in neighbours.get(b, ())}
-        if m in shadow or (g in clashing and top[g][0][0] >= n) or m in taken or m in retired:
+        if m in shadow or g in reached or m in taken or m in retired:
             continue
         if g not in of_genome:
             of_genome[g], best[g] = [m], n
@@ -74,7 +79,9 @@ def greedy_rows(links: pd.DataFrame, ident: dict[tuple[str, str], float], cutoff
             retired.add(m)
             continue
         kept.append(row)
-        taken.append(m)
+        taken.add(m)
+        for x, i in near.get(m, ()):
+            nearest[x] = max(nearest.get(x, (0.0, "")), (i, m))
     return kept
 
 

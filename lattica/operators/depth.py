@@ -46,25 +46,33 @@ def trimmed_mean_depth(depth: DataFrame, lengths: DataFrame, ends: int = 150, sh
     )
 
 
-def gc_bias_profile(depth: DataFrame, seqs: DataFrame, window: int = 100, ends: int = 500, min_len: int = 10_000, most_n: int = 4, tile: int = 1_000_000) -> DataFrame:
+def gc_bias_profile(depth: DataFrame, seqs: DataFrame, window: int = 100, ends: int = 500, min_len: int = 10_000, most_n: int = 4, tile: int = 1_000_000, mask: DataFrame | None = None) -> DataFrame:
     """genome, gc, cov, n, prop: windows of each genome by GC percentage.  seqs: genome, ref_id, seq.
 
     A sequence is cut into tiles that overlap by a window, so that a long contig is several tasks; within a tile a
-    sliding frame gives each window's depth, GC and unknown bases."""
+    sliding frame gives each window's depth, GC and unknown bases.  Windows that start or end in a position of `mask` (contig, pos:
+    see feature_mask_positions) are left out."""
     s = seqs.filter(F.length("seq") >= min_len).select("genome", "ref_id", F.length("seq").alias("len"), "seq")
-    starts = F.sequence(F.lit(0), F.floor((F.col("len") - 1) / tile).cast("int"))
-    s = s.select("genome", "ref_id", "len", F.explode(starts).alias("t"), "seq").select("genome", "ref_id", "len", "t", F.substring(F.col("seq"), F.col("t") * tile + 1, F.lit(tile + window - 1)).alias("seq"))
+    # tiles are cut before rows multiply, so that no row carries the whole sequence
+    tiles = F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / tile).cast("int")), lambda t: F.struct(t.alias("t"), F.substring(F.col("seq"), t * tile + 1, F.lit(tile + window - 1)).alias("seq")))
+    s = s.select("genome", "ref_id", "len", F.explode(tiles).alias("c")).select("genome", "ref_id", "len", "c.t", "c.seq")
     b = s.select("genome", "ref_id", "len", "t", F.posexplode(F.split("seq", "")).alias("i", "base")).filter("base <> ''")
     b = b.select("genome", "ref_id", "len", "t", (F.col("t") * tile + F.col("i") + 1).alias("pos"), "base")
     b = b.join(depth.select("ref_id", "pos", "depth"), ["ref_id", "pos"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    if mask is not None:
+        m = mask.select(F.col("contig").alias("ref_id"), F.col("pos").cast("int").alias("pos"), F.lit(1).alias("masked")).distinct()
+        b = b.join(m, ["ref_id", "pos"], "left")
     return gc_bias_windows(b, window, ends, most_n, tile)
 
 
 def gc_bias_windows(bases: DataFrame, window: int, ends: int, most_n: int, tile: int = 1_000_000) -> DataFrame:
-    """bases: genome, ref_id, len, t, pos, base, depth."""
+    """bases: genome, ref_id, len, t, pos, base, depth, and masked (1 or null) if there is a mask."""
     w = Window.partitionBy("ref_id", "t").orderBy("pos").rowsBetween(0, window - 1)
     b = bases.withColumns({"full": F.count("*").over(w), "gc": F.sum(F.upper("base").isin("G", "C").cast("int")).over(w), "unknown": F.sum((F.upper("base") == "N").cast("int")).over(w), "sum": F.sum("depth").over(w)})
     inside = (F.col("full") == window) & (F.col("unknown") <= most_n) & (F.col("pos") > ends) & (F.col("pos") + window - 1 <= F.col("len") - ends) & (F.col("pos") <= (F.col("t") + 1) * tile)
+    if "masked" in bases.columns:
+        b = b.withColumn("last", F.last("masked").over(w))
+        inside = inside & F.col("masked").isNull() & F.col("last").isNull()
     k = b.filter(inside).groupBy("genome", F.floor(F.col("gc") * 100 / window).cast("int").alias("gc")).agg(F.sum("sum").alias("s"), F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("genome"))
     return k.select("genome", "gc", (F.col("s") / (F.col("n") * window)).alias("cov"), "n", (F.floor(F.col("n") * 10000 / total + 0.5) / 10000).alias("prop"))
@@ -154,3 +162,29 @@ def var_con_coverage(depth: DataFrame, regions: DataFrame) -> DataFrame:
     mean = lambda k: F.avg(F.when(F.col("kind") == k, F.col("depth")))
     out = d.groupBy("ref_id").agg(mean("v").alias("var"), mean("c").alias("con"))
     return out.withColumn("ratio", percent(F.col("var"), F.col("con") * 100))
+
+
+def copy_numbers(
+    aln: DataFrame, linked: DataFrame, refs: DataFrame, regions: DataFrame, markers: DataFrame, profile: DataFrame, links: DataFrame,
+    ends: int = 150, share: int = 25, subsample_percent: float = 100, gc_correction: bool = True,
+) -> DataFrame:
+    """marker, genome, best_depth, genome_depth, copies: the whole way from alignments to copies of a marker in its genome.
+
+    aln: alignments of reads to markers, linked: those of reads that link them; refs: ref_id, ref_len; regions: ref_id, kind (v, c), pos;
+    markers: marker, gc_marker; profile: gc_bias_profile of the genomes, with gc_genome; links: marker, genome.  Depths are trimmed
+    means of bases, corrected for GC; all and linked alignments each have their ratio of variable to conserved depth, which decides
+    between them (optimal_copy_number)."""
+
+    def side(a: DataFrame, name: str) -> DataFrame:
+        depth = depth_by_base(a, refs)
+        mean = trimmed_mean_depth(depth, refs, ends, share).select("ref_id", F.col("mean_depth").alias("depth"))
+        ratio = var_con_coverage(depth, regions).select("ref_id", "ratio")
+        out = links.join(markers, "marker").join(profile.select("genome", "gc_genome").distinct(), "genome").join(mean, F.col("marker") == F.col("ref_id")).drop("ref_id")
+        if gc_correction:
+            out = gc_normalised_depth(out, profile).select("marker", "genome", F.col("depth_norm").alias("depth"))
+        out = out.select("marker", "genome", F.col("depth").alias(f"depth_{name}"))
+        return out.join(ratio, F.col("marker") == F.col("ref_id")).select("marker", "genome", f"depth_{name}", F.col("ratio").alias(f"ratio_{name}"))
+
+    whole = genome_mean_depth(profile, subsample_percent).withColumnRenamed("depth", "genome_depth")
+    est = side(aln, "all").join(side(linked, "linked"), ["marker", "genome"]).join(whole, "genome")
+    return optimal_copy_number(est).join(whole, "genome").select("marker", "genome", "best_depth", "genome_depth", "copies")

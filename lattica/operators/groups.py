@@ -21,9 +21,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the intermediates that this process has written, and says how many.  For when the results that are read from
+    them are stored: frames are lazy, so only the caller knows."""
+    jvm = spark.sparkContext._jvm
+    for path in _written:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    n = len(_written)
+    _written.clear()
+    return n
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/lattica-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

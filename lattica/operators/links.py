@@ -38,21 +38,24 @@ def side_stats(hits: DataFrame, keys: list[str], short: int = 75, near: int = 10
     """Per key, of the alignments that link it: reads, CIGARs, short ones, those at an end, clipped ones, covered
     positions.  hits: keys, read_base, pos, cigar, ref_len.
 
-    Covered positions are the union of intervals: sorted by start, each adds what lies beyond the furthest end so far."""
+    Covered positions are the union of intervals: cut to the furthest end from each start, so that a popular link has no
+    more rows than its reference has positions, and sorted by start, each adds what lies beyond the furthest end so far."""
     cigar = F.col("cigar")
-    end = F.col("pos") + C.aligned_length(cigar) - 1
-    w = Window.partitionBy(*keys).orderBy("pos", "__end").rowsBetween(Window.unboundedPreceding, -1)
-    h = hits.withColumn("__end", end)
-    h = h.withColumn("__before", F.coalesce(F.max("__end").over(w), F.lit(0)))
+    h = hits.withColumns({"__aligned": C.aligned_length(cigar), "__clip": C.has_clip(cigar)}).withColumn("__end", F.col("pos") + F.col("__aligned") - 1)
+    spans = h.groupBy(*keys, "pos").agg(F.max("__end").alias("__end"))
+    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("__before", F.coalesce(F.max("__end").over(w), F.lit(0)))
     fresh = F.greatest(F.col("__end") - F.greatest(F.col("__before"), F.col("pos") - 1), F.lit(0))
-    n, at_end = F.count("*"), F.sum((C.min_dist_to_end(cigar, F.col("pos"), F.col("ref_len")) <= near).cast("int"))
-    return h.groupBy(*keys).agg(
-        F.countDistinct("read_base").alias("reads"), n.alias("cigars"),
-        C.percent(F.sum((C.aligned_length(cigar) <= short).cast("int")), n).alias("short_pct"),
-        at_end.alias("end_num"), C.percent(at_end, n).alias("end_pct"),
-        C.percent(F.sum(C.has_clip(cigar).cast("int")), n).alias("clip_pct"),
-        F.sum(fresh).alias("matched"), C.percent(F.sum(fresh), F.max("ref_len")).alias("matched_pct"),
+    covered = spans.groupBy(*keys).agg(F.sum(fresh).alias("matched"))
+    n, at_end = F.count("*"), F.sum((F.least(F.col("pos") - 1, F.col("ref_len") - F.col("__end")) <= near).cast("int"))
+    # reads first, so that counting them is a plain sum
+    per_read = h.groupBy(*keys, "read_base").agg(n.alias("n"), F.sum((F.col("__aligned") <= short).cast("int")).alias("short"), at_end.alias("ends"), F.sum(F.col("__clip").cast("int")).alias("clips"), F.max("ref_len").alias("len"))
+    n, at_end = F.sum("n"), F.sum("ends")
+    stats = per_read.groupBy(*keys).agg(
+        F.count("*").alias("reads"), n.alias("cigars"), C.percent(F.sum("short"), n).alias("short_pct"), at_end.alias("end_num"),
+        C.percent(at_end, n).alias("end_pct"), C.percent(F.sum("clips"), n).alias("clip_pct"), F.max("len").alias("__len"),
     )
+    return stats.join(covered, keys).withColumn("matched_pct", C.percent(F.col("matched"), F.col("__len"))).drop("__len")
 
 
 def link_sides(links: DataFrame, markers: DataFrame, contigs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -29,28 +29,32 @@ def multi_hit_refs(aln: DataFrame) -> DataFrame:
     return many.filter("a <> b").select("read_base", "ref_id").distinct()
 
 
-def _summary(aln: DataFrame, mismatch_cutoff: float, min_aligned: int, use_ref_min: bool) -> DataFrame:
+def _summary(aln: DataFrame, mismatch_cutoff: float, min_aligned: int, use_ref_min: bool, aligned_pct: float | None) -> DataFrame:
     """One row per (read_base, ref_id): whether each mate has it, and whether a mate spoils it.
 
-    All of it is windows and one aggregate over read_base, so it takes one shuffle."""
+    CIGARs are read once, into lengths, and all else is windows over read_base, so it takes one shuffle."""
     cigar, pos, length = F.col("cigar"), F.col("pos"), F.col("ref_len")
     read, hit = Window.partitionBy("read_base", "mate"), Window.partitionBy("read_base", "mate", "ref_id")
-    bad, aligned = C.mismatch_percent(cigar), C.aligned_length(cigar)
-    a = mapped(aln).repartition("read_base").withColumns({"bad": bad, "aligned": aligned})
+    a = mapped(aln).withColumns({"aligned": C.aligned_length(cigar), "wrong": C.op_length(cigar, "IXDixd"), "left_clip": C.left_clipped(cigar), "right_clip": C.right_clipped(cigar), "clip": C.has_clip(cigar), "both_clip": C.both_ends_clipped(cigar)})
+    if aligned_pct is not None:
+        a = a.filter(F.col("aligned") * 100 >= (F.col("aligned") + C.clipped_length(cigar)) * aligned_pct)
+    a = a.repartition("read_base").withColumn("bad", C.percent(F.col("wrong"), F.col("aligned")))
     a = a.withColumn("ref_min", F.coalesce(F.min(F.when(F.col("aligned") >= min_aligned, F.col("bad"))).over(read), F.min("bad").over(read)))
     a = a.withColumn("several", F.min("pos").over(hit) != F.max("pos").over(hit))
-    fine = ~F.col("several") & ~C.both_ends_clipped(cigar) & (F.col("bad") <= mismatch_cutoff) & (F.col("aligned") >= min_aligned) & ~C.clip_in_middle(cigar, pos, length)
+    middle = F.col("clip") & ~(F.col("left_clip") & (pos == 1)) & ~(F.col("right_clip") & (pos + F.col("aligned") - 1 == length))
+    fine = ~F.col("several") & ~F.col("both_clip") & (F.col("bad") <= mismatch_cutoff) & (F.col("aligned") >= min_aligned) & ~middle
     if use_ref_min:
         fine = fine & (F.col("bad") <= F.col("ref_min"))
     return a.withColumn("fine", F.coalesce(fine, F.lit(False)))
 
 
-def qualify_pairs(aln: DataFrame, mismatch_cutoff: float = 2.0, min_aligned: int = 45, use_ref_min: bool = True) -> DataFrame:
+def qualify_pairs(aln: DataFrame, mismatch_cutoff: float = 2.0, min_aligned: int = 45, use_ref_min: bool = True, aligned_pct: float | None = None) -> DataFrame:
     """read_base, pair_class (r1, r2, both), ref_id, mate, pos, cigar, ref_len of qualified alignments.
 
     A reference that either mate hits badly or at several positions is out for both.  A read with references for both
-    mates keeps those that they share, and is out if there are none."""
-    a = _summary(aln, mismatch_cutoff, min_aligned, use_ref_min)
+    mates keeps those that they share, and is out if there are none.  aligned_pct, if given, first drops alignments of which a
+    smaller percentage of the read is aligned."""
+    a = _summary(aln, mismatch_cutoff, min_aligned, use_ref_min, aligned_pct)
     ref, read = Window.partitionBy("read_base", "ref_id"), Window.partitionBy("read_base")
     a = a.withColumn("kept", F.min(F.col("fine").cast("int")).over(ref)).filter("kept = 1")
     a = a.withColumn("r1", F.max((F.col("mate") == 1).cast("int")).over(read)).withColumn("r2", F.max((F.col("mate") == 2).cast("int")).over(read))

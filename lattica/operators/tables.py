@@ -74,17 +74,48 @@ def spearman(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return ranked.agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
 
+def normal_tail(z: Column) -> Column:
+    """P(|N| > |z|), by the Abramowitz-Stegun approximation 7.1.26 of erf (off by 1.5e-7 at most)."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + 0.3275911 * x)
+    return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
+
+
 def mann_whitney_u(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """u of the first sample, and z of its normal approximation (without tie correction)."""
+    """u of the first sample, z of its normal approximation (without tie correction) and its two-sided p-value."""
     both = a.select(F.col(value).alias("v"), F.lit(1).alias("s")).unionByName(b.select(F.col(value).alias("v"), F.lit(0).alias("s")))
     r = average_rank(both, "v", "r").agg(F.sum("s").alias("n1"), F.sum(1 - F.col("s")).alias("n2"), F.sum(F.when(F.col("s") == 1, F.col("r")).otherwise(0.0)).alias("sum"))
     r = r.select("n1", "n2", (F.col("sum") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"))
-    return r.withColumn("z", (F.col("u") - F.col("n1") * F.col("n2") / 2) / F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12))
+    r = r.withColumn("z", (F.col("u") - F.col("n1") * F.col("n2") / 2) / F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12))
+    return r.withColumn("p", normal_tail(F.col("z")))
+
+
+def histogram_filtered(df: DataFrame, value: str, confidence: str, least: float, width: float, high: float = 90.0) -> DataFrame:
+    """bin, n, high_pct: counts by bins of `width` for rows whose confidence is `least` or more, and of all those rows the
+    percentage whose value is `high` or more."""
+    own = df.filter(F.col(confidence) >= least)
+    bins = own.groupBy((F.floor(F.col(value) / width) * width).alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col(value) >= high).alias("__high"))
+    every = Window.partitionBy(F.lit(0))  # over bins, not rows
+    return bins.select("bin", "n", percent(F.sum("__high").over(every), F.sum("n").over(every)).alias("high_pct"))
+
 
+def feature_count_per_genome(contigs: DataFrame, features: DataFrame) -> DataFrame:
+    """genome, n: features on the contigs of each genome, 0 included."""
+    f = features.groupBy("contig").agg(F.count("*").alias("__k"))
+    return contigs.select("contig", "genome").join(f, "contig", "left").groupBy("genome").agg(F.coalesce(F.sum("__k"), F.lit(0)).alias("n"))
 
-def histogram_filtered(df: DataFrame, value: str, confidence: str, least: float, width: float) -> DataFrame:
-    """Counts by bins of `width` for rows whose confidence is `least` or more."""
-    return df.filter(F.col(confidence) >= least).groupBy((F.floor(F.col(value) / width) * width).alias("bin")).agg(F.count("*").alias("n"))
+
+def spurious_share(hits: DataFrame, rate: str, query: str, good: Column) -> DataFrame:
+    """rate, n, share: for each sampling rate the percentage of queries none of whose hits is good."""
+    q = hits.groupBy(rate, query).agg(F.max(good.cast("int")).alias("__good"))
+    return q.groupBy(rate).agg(percent(F.sum(1 - F.col("__good")), F.count("*")).alias("share"), F.count("*").alias("n"))
+
+
+def insert_size_share(df: DataFrame, value: Column, cutoffs: list[float]) -> DataFrame:
+    """cutoff, n, share: pairs at or above each cutoff, and their percentage."""
+    v = df.select(value.alias("__v"), F.explode(F.array(*(F.lit(c) for c in cutoffs))).alias("cutoff"))
+    n = F.sum((F.col("__v") >= F.col("cutoff")).cast("int"))
+    return v.groupBy("cutoff").agg(n.alias("n"), percent(n, F.count("*")).alias("share"))
 
 
 def share_at_least(value: Column, cutoff: float) -> tuple[Column, Column]:
@@ -121,12 +152,19 @@ def kmers(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
     return df.filter(F.length(seq) >= k).select(key, F.explode(each).alias("kmer"))
 
 
+def sequence_classes(df: DataFrame, key: str, seq: str) -> DataFrame:
+    """(key, representative): the least key with the same sequence."""
+    least = df.groupBy(F.xxhash64(seq).alias("__h"), seq).agg(F.min(key).alias("representative"))
+    return df.select(key, F.xxhash64(seq).alias("__h"), seq).join(least, ["__h", seq]).select(key, "representative")
+
+
 def kmer_similarity_join(df: DataFrame, key: str, seq: str, k: int, least: float) -> DataFrame:
-    """(a, b, sim) with a < b: pairs whose k-mer sets have a Jaccard index of `least` or more.
+    """(a, b, sim) with a < b: pairs of sequences whose k-mer sets have a Jaccard index of `least` or more.  Equal sequences are one,
+    named by their least key (sequence_classes says who belongs to it), so copies do not multiply.
 
     Prefix filtering: by rarest k-mer first, a set's first n - ceil(least * n) + 1 k-mers must meet one of the other's, so only
     those are joined, and k-mers that everything holds stay out of the join.  The sizes of found pairs are then counted exactly."""
-    rows = kmers(df, key, seq, k)
+    rows = kmers(df.groupBy(seq).agg(F.min(key).alias(key)), key, seq, k)
     seen = rows.groupBy("kmer").agg(F.count("*").alias("df")).filter("df > 1")
     sized = rows.withColumn("n", F.count("*").over(Window.partitionBy(key)))
     # k-mers of one row only come first; they match nothing, so only their number matters

@@ -52,9 +52,9 @@ ln as (select round, count(*) filter (where verdict = 'Correct') as links_correc
 gv as (select round, genome, case when bool_or(verdict = 'Correct') and bool_or(verdict = 'Wrong') then 'Ambiguous' when bool_or(verdict = 'Correct') then 'Correct' when bool_or(verdict = 'Wrong') then 'Wrong' else 'Unknown' end as v from two group by 1, 2)"""
 
 
-@query("assess_rollup", f"select ln.*, g.genomes, g.genomes_correct, g.genomes_wrong, g.genomes_ambiguous, {pct('g.genomes', '40')} as recovery from ln join (select round, count(*) as genomes, {_c('Correct')} as genomes_correct, {_c('Wrong')} as genomes_wrong, {_c('Ambiguous')} as genomes_ambiguous from gv group by 1) g using (round)", ROLL)
+@query("assess_rollup", f"select ln.*, g.genomes, g.genomes_correct, g.genomes_wrong, g.genomes_ambiguous, {pct('g.genomes', '(select count(distinct genome) from fx_contigs)')} as recovery from ln join (select round, count(*) as genomes, {_c('Correct')} as genomes_correct, {_c('Wrong')} as genomes_wrong, {_c('Ambiguous')} as genomes_ambiguous from gv group by 1) g using (round)", ROLL)
 def _(fx):
-    return S.assess_rollup(judged(fx), 40)
+    return S.assess_rollup(judged(fx), fx("fx_contigs").select("genome").distinct().count())
 
 
 HITS = "hits as (select 'G' || (l_orderkey % 25) as genome, 'R' || (l_partkey % 9) as ref, l_partkey % 9 % 4 as cluster, 98 + (l_suppkey % 30) * 0.1 as iden, cast(1000 + l_extendedprice as int) as aln_len from lineitem)"
@@ -91,12 +91,19 @@ def _(fx):
     return S.taxon_rank_accuracy(t.select(k, a.alias("a"), b.alias("b")), "a", "b")
 
 
-@query("genome_report", """select c.genome, contigs, bases, coalesce(own, 0) as own, coalesce(linked, 0) as linked, coalesce(best, 'NA') as best
-from (select genome, count(*) as contigs, cast(sum(ref_len) as bigint) as bases from fx_contigs group by 1) c
-left join (select genome, count(*) as own from fx_features join fx_contigs using (contig) where feature = '16S_rRNA' and l > 250 group by 1) f using (genome)
-left join (select genome, count(*) as linked, max_by(marker, (n, marker)) as best from fx_links where n >= 9 group by 1) k using (genome)""")
+@query("genome_report", f"""select c.genome, contigs, bases, coalesce(depth, 0) as depth, coalesce(own, 0) as own, coalesce(own_len, 0) as own_len, coalesce(completeness, 0) as completeness,
+  coalesce(linked, 0) as linked, coalesce(linked_lens, '') as linked_lens, coalesce(best, 'NA') as best, coalesce(taxon, 'unknown') as taxon
+from (select genome, count(*) as contigs, cast(sum(ref_len) as bigint) as bases, {NUM.format('genome')} as k from fx_contigs group by 1) c
+left join (select genome, count(*) as own, max(r - l + 1) as own_len from fx_features join fx_contigs using (contig) where feature = '16S_rRNA' and l > 250 group by 1) f using (genome)
+left join (select genome, count(*) as linked, string_agg(ref_len, ';' order by ref_len desc) as linked_lens, max_by(marker, (n, marker)) as best from fx_links left join fx_markers using (marker) where n >= 60 group by 1) k using (genome)
+left join (select k, case when k % 3 <> 0 then k * 0.5 end as depth, case when k % 4 <> 0 then 100.0 - k % 30 end as completeness, case when k % 5 <> 0 then 'd__' || (k % 7) end as taxon from (select distinct {NUM.format('genome')} as k from fx_contigs)) t on t.k = c.k""")
 def _(fx):
-    return S.genome_report(fx("fx_contigs"), fx("fx_links").filter("n >= 9"), fx("fx_features").filter("feature = '16S_rRNA' and l > 250"))
+    n = F.substring("genome", 2, 9).cast("int")
+    g = fx("fx_contigs").select("genome").distinct()
+    return S.genome_report(
+        fx("fx_contigs"), fx("fx_links").filter("n >= 60"), fx("fx_features").filter("feature = '16S_rRNA' and l > 250"), fx("fx_markers"), g.filter(n % 3 != 0).withColumn("depth", n * 0.5),
+        g.filter(n % 4 != 0).withColumn("completeness", (100 - n % 30).cast("double")), g.filter(n % 5 != 0).withColumn("taxon", F.concat(F.lit("d__"), (n % 7).cast("string"))),
+    )
 
 
 @query("genomes_with_marker", "select distinct genome from gc where cluster in (select cluster from mc where marker in (select marker from fx_links where n >= 20))", TRUTH)
@@ -111,13 +118,22 @@ def _(fx):
     return S.expected_copy_number(truth(fx)[1], refs)
 
 
-@query("src_assess_tables", "select genome, cluster, depth from (select distinct genome, cast(substr(genome, 2) as int) % 12 as cluster, cast(substr(genome, 2) as int) * 0.5 as depth from fx_contigs)")
+@query("src_assess_tables", """select genome, cast(k % 12 as varchar) as cluster, 'd__' || (k % 7) || ';p__x' as taxon, 'R' || (k % 9) as closest, k % 50 * 2.0 as completeness, k * 0.5 as depth, 1200 + k as marker_len, 2 as genes, 'd__' || (k % 3) as marker_taxon, 97.5 as iden
+from (select distinct genome, cast(substr(genome, 2) as int) as k from fx_contigs)""")
 def _(fx):
     from ..sources import readers as R
 
-    n = F.substring("genome", 2, 9).cast("int")
-    t = fx("fx_contigs").select("genome").distinct().select("genome", (n % 12).alias("cluster"), (n * 0.5).alias("depth"))
-    clusters = R.stored(t.select(F.concat("genome", F.lit(".fna")).alias("genome"), "cluster"), lambda d, p: d.write.csv(p, header=True), "cdb")
-    depths = R.stored(t.select("genome", "depth"), R.write_tsv, "depth")
-    c = fx.spark.read.csv(clusters, header=True, schema="genome string, cluster int").withColumn("genome", F.regexp_replace("genome", r"\.[^.]*$", ""))
-    return c.join(fx.spark.read.csv(depths, sep="\t", schema="genome string, depth double"), "genome")
+    n, s = F.substring("genome", 2, 9).cast("int"), lambda c: c.cast("string")
+    t = fx("fx_contigs").select("genome").distinct().withColumns({
+        "file": F.concat("genome", F.lit(".fna")), "cluster": n % 12, "taxon": F.concat(F.lit("d__"), s(n % 7), F.lit(";p__x")), "x": F.lit("x"), "closest": F.concat(F.lit("R"), s(n % 9)),
+        "completeness": n % 50 * 2.0, "depth": n * 0.5, "len": 1200 + n, "genes": F.concat("genome", F.lit("_1,"), "genome", F.lit("_2")), "noted": F.concat(F.lit("d__"), s(n % 3), F.lit(" [note]")), "iden": F.lit(97.5),
+    })
+    put = lambda name, sep, cols, header=None: R.stored(t, lambda d, p: R.write_lines(d, p, sep, cols, header), name)
+    spark = fx.spark
+    out = R.read_genome_clusters(spark, put("clusters", ",", ["file", "cluster"], "genome,secondary_cluster"))
+    out = out.join(R.read_genome_taxonomy(spark, put("taxa", "\t", ["genome", "taxon", *["x"] * 5, "closest"], "user_genome\tclassification")), "genome")
+    out = out.join(R.read_completeness(spark, put("quality", ",", ["genome", "completeness"])), "genome").join(R.read_genome_depth(spark, put("depth", "\t", ["genome", "len", "depth"])), "genome")
+    out = out.join(R.read_genome_markers(spark, put("markers", "\t", ["genome", "x", "len"], "Genome\t16S\tLength(bp)")), "genome")
+    genes = R.read_gene_to_genome(spark, put("genes", "\t", ["genome", "genes"])).groupBy("genome").agg(F.countDistinct("gene").alias("genes"))
+    taxa = R.read_marker_taxonomy(spark, put("best", "\t", ["genome", "x", "iden", "len", "noted"])).select(F.col("marker").alias("genome"), F.col("taxon").alias("marker_taxon"), "iden")
+    return out.join(genes, "genome").join(taxa, "genome")

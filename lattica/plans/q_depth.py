@@ -38,14 +38,17 @@ def _(fx):
 
 # sequences of one genome each, and one base per position with the depth of a derived track
 BASES = """bases as (select seq_id % 20 as genome, 'S' || seq_id as ref_id, length(seq) as len, i as pos, substr(seq, i, 1) as base, (seq_id * 13 + i * 7) % 60 as depth from (select *, unnest(range(1, length(seq) + 1)) as i from fx_seq)),
-wins as (select genome, count(*) over w as full_n, sum(case when base in ('G', 'C') then 1 else 0 end) over w as gc, sum(case when base = 'N' then 1 else 0 end) over w as unknown, sum(depth) over w as s, pos, len from bases window w as (partition by ref_id order by pos rows between current row and 19 following)),
-prof as (select genome, cast(floor(gc * 100 / 20) as int) as gc, sum(s) / (count(*) * 20) as cov, count(*) as n from wins where full_n = 20 and unknown <= 4 and pos > 5 and pos + 19 <= len - 5 group by 1, 2)"""
+mask as (select distinct 'S' || seq_id as ref_id, unnest(range(greatest(1, 40 + seq_id % 7 - 10), 46 + seq_id % 7)) as pos from fx_seq where length(seq) > 100),
+based as (select b.*, m.pos as masked from bases b left join mask m using (ref_id, pos)),
+wins as (select genome, masked, last_value(masked) over w as last_masked, count(*) over w as full_n, sum(case when base in ('G', 'C') then 1 else 0 end) over w as gc, sum(case when base = 'N' then 1 else 0 end) over w as unknown, sum(depth) over w as s, pos, len from based window w as (partition by ref_id order by pos rows between current row and 19 following)),
+prof as (select genome, cast(floor(gc * 100 / 20) as int) as gc, sum(s) / (count(*) * 20) as cov, count(*) as n from wins where full_n = 20 and unknown <= 4 and pos > 5 and pos + 19 <= len - 5 and masked is null and last_masked is null group by 1, 2)"""
 
 
 def profile(fx):
     s = fx("fx_seq").select((F.col("seq_id") % 20).alias("genome"), F.concat(F.lit("S"), F.col("seq_id").cast("string")).alias("ref_id"), "seq", "seq_id")
     depth = s.select("ref_id", "seq_id", F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("pos")).select("ref_id", "pos", ((F.col("seq_id") * 13 + F.col("pos") * 7) % 60).alias("depth"))
-    return D.gc_bias_profile(depth, s.drop("seq_id"), window=20, ends=5, min_len=50)
+    found = s.filter(F.length("seq") > 100).select(F.col("ref_id").alias("contig"), (40 + F.col("seq_id") % 7).cast("int").alias("l"), (45 + F.col("seq_id") % 7).cast("int").alias("r"))
+    return D.gc_bias_profile(depth, s.drop("seq_id"), window=20, ends=5, min_len=50, mask=D.feature_mask_positions(found, 10))
 
 
 @query("gc_bias_profile", "select genome, gc, cov, n, floor(n * 10000 / sum(n) over (partition by genome) + 0.5) / 10000 as prop from prof", BASES)
@@ -174,3 +177,28 @@ def _(fx):
     p = positions(fx).withColumnRenamed("seq_id", "ref_id")
     depth = p.select("ref_id", "pos").distinct().withColumn("depth", (F.col("ref_id") * 13 + F.col("pos") * 7) % 60)
     return D.var_con_coverage(depth, p).withColumns({"var": F.round("var", 6), "con": F.round("con", 6)})
+
+
+# ---------------------------------------------------------------- from alignments to copy numbers
+
+TRIMMED = "select ref_id, floor((sum(depth) filter (where not dropped) * 200 + count(*) filter (where not dropped)) / (2 * count(*) filter (where not dropped))) / 100 as mean_depth from (select *, coalesce((depth <= low_cut and lows <= k) or (depth >= high_cut and highs <= k), false) as dropped from runs) group by ref_id"
+CN = f"""posr as (select 'M' || seq_id as ref_id, kind, pos from posn),
+all_mean as ({TRIMMED}), all_ratio as (select ref_id, {pct('avg(depth) filter (where kind = $v$)', 'avg(depth) filter (where kind = $c$) * 100')} as ratio from dep join posr using (ref_id, pos) group by 1),
+pairs_of as (select distinct marker, genome % 20 as genome from (select marker, cast(substr(genome, 2) as int) as genome from fx_links where n >= 30)),
+scale as (select genome, sum(cov * n) / sum(n) as genome_depth from prof group by genome),
+norm as (select p.marker, p.genome, m.mean_depth / nullif(a.cov / nullif(b.cov, 0), 0) as depth_all, r.ratio as ratio_all
+  from pairs_of p join all_mean m on m.ref_id = p.marker join all_ratio r on r.ref_id = p.marker left join prof a on a.genome = p.genome and a.gc = 40 + cast(substr(marker, 2) as int) % 3 * 5 left join prof b on b.genome = p.genome and b.gc = 45)""".replace("$v$", "'v'").replace("$c$", "'c'")
+
+
+@query("copy_numbers", f"""select marker, genome, round(best_depth, 6) as best_depth, round(genome_depth, 6) as genome_depth, round(best_depth / genome_depth, 6) as copies from (
+  select n.marker, n.genome, s.genome_depth, case when ratio_all between 0.85 and 1.15 then depth_all when ratio_all < 0.85 then depth_all * ratio_all else depth_all / ratio_all end as best_depth
+  from norm n join scale s using (genome) where ratio_all <> 0)""", f"{TRIM}, {POS}, {BASES}, {CN}")
+def _(fx):
+    """Linked alignments are all alignments here, so that the two ratios agree; tests hold the choice between them."""
+    a = fx("fx_aln").filter("side = 'marker'")
+    n = F.substring("marker", 2, 9).cast("int")
+    links = fx("fx_links").filter("n >= 30").select("marker", (F.substring("genome", 2, 9).cast("int") % 20).alias("genome")).distinct()
+    markers = fx("fx_markers").select("marker", (40 + n % 3 * 5 + 0.25).alias("gc_marker"))
+    regions = positions(fx).select(F.concat(F.lit("M"), F.col("seq_id").cast("string")).alias("ref_id"), "kind", "pos")
+    out = D.copy_numbers(a, a, a.select("ref_id", "ref_len").distinct(), regions, markers, profile(fx).withColumn("gc_genome", F.lit(44.75)), links)
+    return out.withColumns({c: F.round(c, 6) for c in ("best_depth", "genome_depth", "copies")})

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import assign as A
 from ..operators import links as L
 from ..operators import pairs as P
+from ..operators import rounds as W
+from ..operators.groups import cut
 from .registry import query
-from .sqltext import ALN, COLS, JOINED, LINKS, PAIRS, SHORT, STATS
+from .sqltext import ALN, BRIDGES, COLS, JOINED, LINKS, PAIRS, ROUND2, SHORT, STATS, TO_CONTIG, TO_MARKER, bridge_cols
 
 PAIR_COLS = ["side", "read_base", "pair_class", "ref_id", "mate", "pos", "cigar", "ref_len"]
 
@@ -24,8 +26,15 @@ def rd1(fx):
 
 
 def hits(fx):
-    links, m, c = rd1(fx)
-    return L.link_sides(links, m, c)
+    """The alignments behind links of the first round.  Qualified pairs are written once: links and both sides read them."""
+    m, c = (cut(x, "pairs") for x in sides(fx))
+    return L.link_sides(cut(L.link_reads_rd1(m, c, fx("fx_contigs")), "links"), m, c)
+
+
+def mini_pairs(fx):
+    """Qualified pairs of markers, contigs and bridges, written once."""
+    x = P.qualify_pairs(fx("fx_minis"), use_ref_min=False)
+    return [cut(d, "pairs") for d in (*sides(fx), x)]
 
 
 @query("ref_min_mismatch", "select read_base, mate, coalesce(min(bad) filter (where aligned >= 45), min(bad)) as min_mismatch from aln where side = 'marker' group by all", ALN)
@@ -86,10 +95,13 @@ def _(fx):
 ENDS = "(l.end_num > 0 and l.end_pct >= 5)", "(r.end_num >= 1 and r.end_pct >= 20)"
 
 
+def _long(out):
+    return out.withColumns({c: F.col(c).cast("long") for c in out.columns if c.split("_")[0] in ("end", "matched") and "pct" not in c})
+
+
 def _qc(fx, rule):
     a, b = hits(fx)
-    out = rule(a, b, ["marker", "contig"])
-    return out.withColumns({c: F.col(c).cast("long") for c in out.columns if c.split("_")[0] in ("end", "matched") and "pct" not in c})
+    return _long(rule(a, b, ["marker", "contig"]))
 
 
 @query("link_qc_rd1", f"select {COLS}, {SHORT} and ({ENDS[0]} or l.matched >= 750) and ({ENDS[1]} or r.matched >= 750) as passed from {JOINED} where l.reads >= 3", STATS)
@@ -97,14 +109,16 @@ def _(fx):
     return _qc(fx, L.link_qc_rd1)
 
 
-@query("link_qc_mini_contig", f"select {COLS}, {SHORT} and not (l.cigars > 15 and abs(l.clip_pct - r.clip_pct) > 50) and ({ENDS[0]} or l.matched >= 300 or l.matched_pct >= 50) and {ENDS[1]} as passed from {JOINED} where l.reads >= 3", STATS)
+@query("link_qc_mini_contig", f"select {bridge_cols('cl', 'cr', 'contig')}, {TO_CONTIG} as passed from cl join cr using (mini, other) where cl.reads >= 3", BRIDGES)
 def _(fx):
-    return _qc(fx, L.link_qc_mini_contig)
+    _, c, x = mini_pairs(fx)
+    return _long(L.link_qc_mini_contig(*W.link_reads_mini(x, c, "contig"), ["mini", "contig"]))
 
 
-@query("link_qc_mini_marker", f"select {COLS}, {SHORT} and ({ENDS[0]} or l.matched >= 300 or l.matched_pct >= 50) and ((r.end_num > 0 and r.end_pct >= 5) or r.matched >= 300 or r.matched_pct >= 50) as passed from {JOINED} where l.reads >= 3", STATS)
+@query("link_qc_mini_marker", f"select {bridge_cols('ml', 'mr', 'marker')}, {TO_MARKER} as passed from ml join mr using (mini, other) where ml.reads >= 3", BRIDGES)
 def _(fx):
-    return _qc(fx, L.link_qc_mini_marker)
+    m, _, x = mini_pairs(fx)
+    return _long(L.link_qc_mini_marker(*W.link_reads_mini(x, m, "marker", opposite_mate=True), ["mini", "marker"]))
 
 
 def passed_counts(fx):
@@ -159,7 +173,21 @@ def _(fx):
 
 @query("greedy_assign")
 def _(fx):
-    return A.greedy_assign(fx("fx_links"), fx("fx_markers"), fx("fx_ident"))
+    left, right = hits(fx)
+    by_genome = L.genome_link_counts(L.link_qc_rd1(left, right, ["marker", "contig"]).filter("passed").select("marker", "contig", F.col("reads_l").alias("n")), fx("fx_contigs"))
+    return A.greedy_assign(cut(by_genome, "links"), fx("fx_markers"), fx("fx_ident"), W.clip_shares(left, right, fx("fx_contigs")))
+
+
+@query("link_markers")
+def _(fx):
+    a = fx("fx_aln")
+    return W.link_markers(a.filter("side = 'marker'"), a.filter("side = 'contig'"), fx("fx_minis"), fx("fx_contigs"), fx("fx_markers"), fx("fx_ident"))
+
+
+@query("round2_links", "select marker, genome, cast(sum(n) as bigint) as n from mini_marker join bridge using (mini) group by all", ROUND2)
+def _(fx):
+    m, c, x = mini_pairs(fx)
+    return W.second_round(m, c, x, fx("fx_contigs"))[2]
 
 
 @query("greedy_assign_simple")
@@ -179,8 +207,8 @@ def _(fx):
 
 @query("marker_domain", "select m.marker, coalesce(case when h.subject in ('R1', 'R2', 'R3') then 'Archaea' when h.subject is not null then 'Bacteria' end, 'Bacteria') as domain from fx_markers m left join (select * from (select *, row_number() over (partition by query order by bitscore desc, ord) as k from fx_hits) where k = 1) h on h.query = replace(m.marker, 'M', 'Q')")
 def _(fx):
-    best = A.best_hit_per_query(fx("fx_hits")).select(F.replace("query", F.lit("Q"), F.lit("M")).alias("marker"), F.when(F.col("subject").isin("R1", "R2", "R3"), "Archaea;x").otherwise("Bacteria;y").alias("taxon"))
-    return fx("fx_markers").join(best, "marker", "left").select("marker", F.coalesce(F.element_at(F.split("taxon", ";"), 1), F.lit("Bacteria")).alias("domain"))
+    taxon = F.when(F.col("subject").isin("R1", "R2", "R3"), "Archaea;x").otherwise("Bacteria;y")
+    return W.marker_domain(fx("fx_markers"), fx("fx_hits").select(F.replace("query", F.lit("Q"), F.lit("M")).alias("marker"), taxon.alias("taxon"), "bitscore", "ord"))
 
 
 @query("first_link_per_item", "select marker, genome, n from (select *, row_number() over (partition by marker order by n desc, genome) as k from fx_links where n >= 3) where k = 1")
@@ -188,23 +216,30 @@ def _(fx):
     return A.best_hit_per_query(fx("fx_links").filter("n >= 3"), "marker", "n", "genome").select("marker", "genome", "n")
 
 
-MINI = "mk as (select distinct read_base, mate, ref_id as marker from fx_aln where side = 'marker'), mi as (select distinct read_base, mate, 'X' || (q % 30) as mini from fx_aln_pos where side = 'contig')"
+def _linked(sides, name):
+    """Reads of links with their alignments on both sides."""
+    left, right = sides
+    keys = ["mini", name, "read_base"]
+    a = left.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "pos", "cigar"))), ",").alias("mini_side"))
+    b = right.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "pos", "cigar"))), ",").alias("other_side"))
+    return a.join(b, keys)
 
 
-def _minis(fx):
-    return fx.sql("select distinct read_base, mate, concat('X', cast(q % 30 as string)) as mini from fx_aln_pos where side = 'contig'")
+def _linked_sql(name, mate):
+    each = lambda x: f"string_agg({x}.pos || ':' || {x}.cigar, ',' order by {x}.pos || ':' || {x}.cigar)"
+    return f"select m.ref_id as mini, o.ref_id as {name}, m.read_base, {each('m')} as mini_side, {each('o')} as other_side from pairs m join pairs o on o.read_base = m.read_base and {mate} = m.mate where m.side = 'mini' and o.side = '{name}' group by all"
 
 
-@query("link_reads_mini_contig", "select a.ref_id as contig, mini, count(distinct read_base) as n from (select distinct read_base, mate, ref_id from fx_aln where side = 'contig') a join mi using (read_base, mate) group by all", MINI)
+@query("link_reads_mini_contig", _linked_sql("contig", "o.mate"), BRIDGES)
 def _(fx):
-    c = fx("fx_aln").filter("side = 'contig'").select("read_base", "mate", F.col("ref_id").alias("contig")).distinct()
-    return c.join(_minis(fx), ["read_base", "mate"]).groupBy("contig", "mini").agg(F.countDistinct("read_base").alias("n"))
+    _, c, x = mini_pairs(fx)
+    return _linked(W.link_reads_mini(x, c, "contig"), "contig")
 
 
-@query("link_reads_mini_marker", "select marker, mini, count(distinct mk.read_base) as n from mk join mi on mi.read_base = mk.read_base and mi.mate = 3 - mk.mate group by all", MINI)
+@query("link_reads_mini_marker", _linked_sql("marker", "3 - o.mate"), BRIDGES)
 def _(fx):
-    m = fx("fx_aln").filter("side = 'marker'").select("read_base", (3 - F.col("mate")).alias("mate"), F.col("ref_id").alias("marker")).distinct()
-    return m.join(_minis(fx), ["read_base", "mate"]).groupBy("marker", "mini").agg(F.countDistinct("read_base").alias("n"))
+    m, _, x = mini_pairs(fx)
+    return _linked(W.link_reads_mini(x, m, "marker", opposite_mate=True), "marker")
 
 
 TO_MINI = "mm as (select marker, 'X' || (n % 17) as mini, n from fx_links), mg as (select 'X' || k as mini, 'G' || (k * 7 % 40) as genome from (select distinct n % 17 as k from fx_links))"
@@ -214,43 +249,43 @@ TO_MINI = "mm as (select marker, 'X' || (n % 17) as mini, n from fx_links), mg a
 def _(fx):
     mm = fx("fx_links").select("marker", F.concat(F.lit("X"), (F.col("n") % 17).cast("string")).alias("mini"), "n")
     mg = fx("fx_links").select((F.col("n") % 17).alias("k")).distinct().select(F.concat(F.lit("X"), F.col("k").cast("string")).alias("mini"), F.concat(F.lit("G"), (F.col("k") * 7 % 40).cast("string")).alias("genome"))
-    return mm.join(mg, "mini").groupBy("marker", "genome").agg(F.sum("n").alias("n"))
+    return W.links_with_bridge(mm, mg)
 
 
-@query("union_rounds", "select marker, genome, n, 'Rd1' as round from fx_links where n >= 9 union all select marker, genome, n, 'Rd2' from fx_links where n between 3 and 8")
+@query("union_rounds", "select marker, genome, n, 'Rd1' as round from fx_links where n >= 60 union all select marker, genome, n, 'Rd2' from fx_links where n between 3 and 59")
 def _(fx):
     k = fx("fx_links")
-    return k.filter("n >= 9").withColumn("round", F.lit("Rd1")).unionByName(k.filter("n between 3 and 8").withColumn("round", F.lit("Rd2")))
+    return W.union_rounds(Rd1=k.filter("n >= 60"), Rd2=k.filter("n between 3 and 59"))
 
 
 @query("union_flanking_reads", "select read_base from fx_aln where side = 'marker' and pos <= 50 union select read_base from fx_aln where side = 'contig' and pos <= 50")
 def _(fx):
-    a = fx("fx_aln").filter("pos <= 50")
-    return a.filter("side = 'marker'").select("read_base").union(a.filter("side = 'contig'").select("read_base")).distinct()
+    a = fx("fx_aln")
+    return W.union_flanking_reads(a.filter("side = 'marker'"), a.filter("side = 'contig'"))
 
 
 @query("unrecovered", "select marker from fx_markers where marker not in (select marker from fx_links where n >= 9)")
 def _(fx):
-    return fx("fx_markers").select("marker").join(fx("fx_links").filter("n >= 9").select("marker"), "marker", "left_anti")
+    return W.unrecovered(fx("fx_markers"), fx("fx_links").filter("n >= 9"), "marker")
 
 
-@query("gained_genomes", "select distinct genome from fx_links where n >= 9 and genome not in (select genome from fx_contigs where ref_len >= 2000)")
+@query("gained_genomes", "select distinct genome from fx_links where n >= 9 and genome not in (select genome from fx_contigs join fx_features using (contig) where feature = '16S_rRNA' and r - l + 1 >= 69)")
 def _(fx):
-    return fx("fx_links").filter("n >= 9").select("genome").distinct().join(fx("fx_contigs").filter("ref_len >= 2000").select("genome").distinct(), "genome", "left_anti")
+    return W.gained_genomes(fx("fx_links").filter("n >= 9"), fx("fx_contigs"), fx("fx_features").filter("feature = '16S_rRNA'"), 69)
 
 
 @query("edge_totals", "select 'marker-contig' as level, marker as a, contig as b, count(distinct read_base) as n from links group by all union all select 'contig-genome', contig, genome, count(distinct read_base) from links group by all", LINKS)
 def _(fx):
-    k = rd1(fx)[0]
-    up = k.groupBy(F.col("marker").alias("a"), F.col("contig").alias("b")).agg(F.countDistinct("read_base").alias("n")).withColumn("level", F.lit("marker-contig"))
-    down = k.groupBy(F.col("contig").alias("a"), F.col("genome").alias("b")).agg(F.countDistinct("read_base").alias("n")).withColumn("level", F.lit("contig-genome"))
-    return up.unionByName(down).select("level", "a", "b", "n")
+    return W.edge_totals(cut(rd1(fx)[0], "links"))
 
 
-@query("links_by_contig", "select marker, genome, contig, count(distinct read_base) filter (where read_base % 2 = 0) as rd1, count(distinct read_base) filter (where read_base % 2 = 1) as rd2 from links group by all", LINKS)
+@query("links_by_contig", """select marker, genome, contig, cast(sum(rd1) as bigint) as rd1, cast(sum(rd2) as bigint) as rd2 from (
+  select marker, contig, l.reads as rd1, 0 as rd2 from l join r using (marker, contig) where l.reads >= 9 union all select marker, contig, 0, l.reads from l join r using (marker, contig) where l.reads between 3 and 12)
+join fx_contigs using (contig) join (select distinct marker, genome from fx_links where n >= 30) using (marker, genome) group by all""", STATS)
 def _(fx):
-    rd = lambda r: F.countDistinct(F.when(F.col("read_base") % 2 == r, F.col("read_base")))
-    return rd1(fx)[0].groupBy("marker", "genome", "contig").agg(rd(0).alias("rd1"), rd(1).alias("rd2"))
+    a, b = hits(fx)
+    n = cut(L.link_qc_rd1(a, b, ["marker", "contig"]).select("marker", "contig", F.col("reads_l").alias("n")), "links")
+    return W.links_by_contig(fx("fx_links").filter("n >= 30"), fx("fx_contigs"), rd1=n.filter("n >= 9"), rd2=n.filter("n between 3 and 12"))
 
 
 @query("sort_links", "select row_number() over (order by n desc, marker, genome) as place, marker, genome, n from fx_links")
@@ -271,8 +306,7 @@ def _(fx):
 @query("paired_clip_combine", "select coalesce(a.marker, b.marker) as marker, coalesce(a.genome, b.genome) as genome, coalesce(a.n, 0) as paired, coalesce(b.n, 0) as clipped from (select * from fx_links where n % 3 <> 0) a full join (select * from fx_links where n % 2 = 0) b on a.marker = b.marker and a.genome = b.genome where coalesce(a.n, 0) > 0")
 def _(fx):
     k = fx("fx_links")
-    a, b = k.filter("n % 3 <> 0").withColumnRenamed("n", "paired"), k.filter("n % 2 = 0").withColumnRenamed("n", "clipped")
-    return a.join(b, ["marker", "genome"], "full_outer").fillna(0, ["paired", "clipped"]).filter("paired > 0")
+    return W.paired_clip_combine(k.filter("n % 3 <> 0"), k.filter("n % 2 = 0"))
 
 
 @query("gap_fill_stats", """select marker, genome, cast(sum(m.n) as bigint) as marker_n, cast(sum(c.n) as bigint) as contig_n from m join c using (mini) join peaks using (mini)
@@ -282,18 +316,9 @@ mini_c as (select 'X' || (l_partkey % 25) as mini, 'G' || (l_orderkey % 15) as g
 m as (select *, max(n) over (partition by marker) as own from mini_m), c as (select *, max(n) over (partition by genome) as own from mini_c),
 peaks as (select mini, max(m.n) as mt, max(c.n) as ct from m join c using (mini) group by 1)""")
 def _(fx):
-    from pyspark.sql.window import Window
-
     li = fx.table("lineitem").withColumn("mini", F.concat(F.lit("X"), (F.col("l_partkey") % 25).cast("string")))
-
-    def counted(name, prefix, col, mod):
-        g = li.groupBy("mini", F.concat(F.lit(prefix), (F.col(col) % mod).cast("string")).alias(name)).agg(F.count("*").alias("n")).filter("n >= 3")
-        g = g.withColumn("own", F.max("n").over(Window.partitionBy(name))).withColumn("top", F.max("n").over(Window.partitionBy("mini")))
-        return g.filter((F.col("n") >= F.col("top") * 0.5) & (F.col("n") >= F.col("own") * 0.5)).select("mini", name, F.col("n").alias(f"{name}_n"), F.col("top").alias(f"{name}_top"))
-
-    both = counted("marker", "M", "l_suppkey", 20).join(counted("genome", "G", "l_orderkey", 15), "mini")
-    both = both.filter(F.least("marker_top", "genome_top") / F.greatest("marker_top", "genome_top") >= 0.3)
-    return both.groupBy("marker", "genome").agg(F.sum("marker_n").alias("marker_n"), F.sum("genome_n").alias("contig_n"))
+    counted = lambda name, prefix, col, mod: li.groupBy("mini", F.concat(F.lit(prefix), (F.col(col) % mod).cast("string")).alias(name)).agg(F.count("*").alias("n"))
+    return W.gap_fill_stats(counted("marker", "M", "l_suppkey", 20), counted("genome", "G", "l_orderkey", 15))
 
 
 @query("sink_qc_tables", f"select {COLS}, {SHORT} and ({ENDS[0]} or l.matched >= 750) and ({ENDS[1]} or r.matched >= 750) as passed from {JOINED} where l.reads >= 3", STATS)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as C
 from ..functions import sequence as S
+from ..operators import sequences as Q
 from ..operators import pairs as P
 from ..sources import readers as R
 from .registry import query
@@ -93,36 +94,32 @@ def _(fx):
 union all select seq_id, 'l', substr(seq, 1, 20 + seq_id % 40) from fx_seq where length(seq) >= 2 * (20 + seq_id % 40)
 union all select seq_id, 'r', substr(seq, length(seq) - (20 + seq_id % 40) + 1) from fx_seq where length(seq) >= 2 * (20 + seq_id % 40)""")
 def _(fx):
-    k = (20 + F.col("seq_id") % 40).cast("int")
-    whole = F.array(F.struct(F.lit("").alias("side"), F.col("seq").alias("seq")))
-    ends = F.array(F.struct(F.lit("l").alias("side"), F.left("seq", k).alias("seq")), F.struct(F.lit("r").alias("side"), F.right("seq", k).alias("seq")))
-    return fx("fx_seq").select("seq_id", F.explode(F.when(F.length("seq") < 2 * k, whole).otherwise(ends)).alias("e")).select("seq_id", "e.side", "e.seq")
+    return Q.contig_ends(fx("fx_seq"), 20 + F.col("seq_id") % 40)
 
 
-@query("trim_terminal_feature", """select c.contig, case when f.l - 1 <= 100 then f.r + 1 when c.ref_len - f.r <= 100 then 1 else 1 end as kept_from,
-  case when f.l - 1 <= 100 then c.ref_len when c.ref_len - f.r <= 100 then f.l - 1 else c.ref_len end as kept_to
-from fx_contigs c join (select contig, min_by(struct_pack(l := l, r := r), (least(l, 100000), r)) as s, min(l) as l0 from fx_features where feature = '16S_rRNA' group by contig) g using (contig)
-cross join lateral (select g.s.l as l, g.s.r as r) f""")
+@query("trim_terminal_feature", """select contig, case when at_left then r + 1 else 1 end as kept_from, case when at_left then ref_len else l end as kept_to
+from (select *, row_number() over (partition by contig order by gap, l, r) as k
+      from (select *, l - 1 <= 100 as at_left, case when l - 1 <= 100 then l - 1 when ref_len - r - 1 <= 100 then ref_len - r - 1 end as gap
+            from fx_features join fx_contigs using (contig) where feature = '16S_rRNA') where gap is not null) where k = 1""")
 def _(fx):
-    f = fx("fx_features").filter("feature = '16S_rRNA'").groupBy("contig").agg(F.min(F.struct("l", "r")).alias("f"))
-    l, r, n = F.col("f.l"), F.col("f.r"), F.col("ref_len")
-    left, right = l - 1 <= 100, n - r <= 100
-    return fx("fx_contigs").join(f, "contig").select("contig", F.when(left, r + 1).otherwise(1).alias("kept_from"), F.when(~left & right, l - 1).otherwise(n).alias("kept_to"))
+    return Q.trim_terminal_feature(fx("fx_contigs"), fx("fx_features").filter("feature = '16S_rRNA'"))
 
 
 @query("linked_end", """select ref_id, cast(median(pos) as double) as mid, case when median(pos) <= max(ref_len) / 3.0 then 'left' when median(pos) >= max(ref_len) * 2 / 3.0 then 'right' else 'middle' end as linked_end
 from fx_aln where side = 'marker' group by ref_id""")
 def _(fx):
-    mid, n = F.percentile("pos", 0.5), F.max("ref_len")
-    where = F.when(mid <= n / 3, "left").when(mid >= n * 2 / 3, "right").otherwise("middle")
-    return fx("fx_aln").filter("side = 'marker'").groupBy("ref_id").agg(mid.alias("mid"), where.alias("linked_end"))
+    return Q.linked_end(fx("fx_aln").filter("side = 'marker'"))
 
 
-@query("join_sequences", "select a.seq_id, a.seq || repeat('N', 50) || reverse(translate(b.seq, 'ACGTacgt', 'TGCAtgca')) as joined, length(a.seq) as junction from fx_seq a join fx_seq b on b.seq_id = a.seq_id + 1")
+RC = "reverse(translate({}, 'ACGTacgt', 'TGCAtgca'))"
+
+
+@query("join_sequences", f"select a.seq_id, case when a.seq_id % 3 = 0 then {RC.format('a.seq')} else a.seq end || repeat('N', 50) || case when a.seq_id % 2 = 0 then {RC.format('b.seq')} else b.seq end as joined, length(a.seq) as junction from fx_seq a join fx_seq b on b.seq_id = a.seq_id + 1")
 def _(fx):
     s = fx("fx_seq")
-    b = s.select((F.col("seq_id") - 1).alias("seq_id"), S.reverse_complement(F.col("seq")).alias("rc"))
-    return s.join(b, "seq_id").select("seq_id", F.concat("seq", F.repeat(F.lit("N"), F.lit(50)), "rc").alias("joined"), F.length("seq").cast("long").alias("junction"))
+    a = s.select("seq_id", F.col("seq").alias("left"), F.when(F.col("seq_id") % 3 == 0, "left").otherwise("right").alias("end_l"), F.when(F.col("seq_id") % 2 == 0, "right").otherwise("left").alias("end_r"))
+    pairs = a.join(s.select((F.col("seq_id") - 1).alias("seq_id"), F.col("seq").alias("right")), "seq_id")
+    return Q.join_sequences(pairs, "end_l", "end_r").select("seq_id", "joined", "junction")
 
 
 TAXON = "'d__' || n_regionkey || '; p__' || n_name || ';c__' || c_custkey"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.cigar import percent
 from ..operators import assign as A
 from ..operators import tables as T
 from .registry import query
@@ -61,22 +60,20 @@ def _(fx):
     return T.spearman(one(F.col("l_orderkey") % 3 != 0), one(F.col("l_orderkey") % 3 != 1), "l_partkey", "v").withColumn("rho", F.round("rho", 8))
 
 
-@query("mann_whitney_u", "select n1, n2, u, round((u - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12), 6) as z from (select count(*) filter (where s = 1) as n1, count(*) filter (where s = 0) as n2, sum(case when s = 1 then r else 0 end) - count(*) filter (where s = 1) * (count(*) filter (where s = 1) + 1) / 2 as u from (select s, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2 as r from (select cast(floor(l_quantity) as int) as v, case when l_linenumber <= 2 then 1 else 0 end as s from lineitem)))")
+@query("mann_whitney_u", "select n1, n2, u, round(z, 6) as z, round(t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z / 2), 6) as p from (select *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) as t from (select *, (u - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12) as z from (select count(*) filter (where s = 1) as n1, count(*) filter (where s = 0) as n2, sum(case when s = 1 then r else 0 end) - count(*) filter (where s = 1) * (count(*) filter (where s = 1) + 1) / 2 as u from (select s, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2 as r from (select cast(floor(l_quantity) as int) as v, case when l_linenumber <= 2 then 1 else 0 end as s from lineitem)))))")
 def _(fx):
     li = fx.table("lineitem").withColumn("v", F.floor("l_quantity").cast("int"))
-    return T.mann_whitney_u(li.filter("l_linenumber <= 2"), li.filter("l_linenumber > 2"), "v").withColumn("z", F.round("z", 6))
+    return T.mann_whitney_u(li.filter("l_linenumber <= 2"), li.filter("l_linenumber > 2"), "v").withColumns({"z": F.round("z", 6), "p": F.round("p", 6)})
 
 
-@query("histogram_filtered", "select floor(iden / 0.5) * 0.5 as bin, count(*) as n from fx_hits where aln_len >= 500 group by 1")
+@query("histogram_filtered", f"select floor(iden / 0.5) * 0.5 as bin, count(*) as n, {pct('sum(count(*) filter (where iden >= 98)) over ()', 'sum(count(*)) over ()')} as high_pct from fx_hits where aln_len >= 500 group by 1")
 def _(fx):
-    return T.histogram_filtered(fx("fx_hits"), "iden", "aln_len", 500, 0.5)
+    return T.histogram_filtered(fx("fx_hits"), "iden", "aln_len", 500, 0.5, 98)
 
 
 @query("insert_size_share", f"select cutoff, cast(count(*) filter (where v >= cutoff) as bigint) as n, {pct('count(*) filter (where v >= cutoff)', 'count(*)')} as share from (select l_quantity * 5 as v from lineitem), (values (50), (100), (150), (200)) c(cutoff) group by cutoff")
 def _(fx):
-    v = fx.table("lineitem").select((F.col("l_quantity") * 5).alias("v"), F.explode(F.array(*(F.lit(c) for c in (50, 100, 150, 200)))).alias("cutoff"))
-    n = F.sum((F.col("v") >= F.col("cutoff")).cast("int"))
-    return v.groupBy("cutoff").agg(n.alias("n"), percent(n, F.count("*")).alias("share"))
+    return T.insert_size_share(fx.table("lineitem"), F.col("l_quantity") * 5, [50, 100, 150, 200])
 
 
 @query("feature_index", "select genome || '_16S_' || row_number() over (partition by genome order by contig, l, r) as name, contig, l, r, r - l + 1 as len from fx_features join fx_contigs using (contig) where feature = '16S_rRNA'")
@@ -87,8 +84,7 @@ def _(fx):
 
 @query("feature_count_per_genome", "select genome, count(f.l) as n from fx_contigs c left join (select * from fx_features where feature = '16S_rRNA' and l > 200) f using (contig) group by 1")
 def _(fx):
-    f = fx("fx_features").filter("feature = '16S_rRNA' and l > 200").groupBy("contig").agg(F.count("*").alias("k"))
-    return fx("fx_contigs").join(f, "contig", "left").groupBy("genome").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
+    return T.feature_count_per_genome(fx("fx_contigs"), fx("fx_features").filter("feature = '16S_rRNA' and l > 200"))
 
 
 @query("one_per_taxon", "select n_regionkey, n_nationkey, n_name from (select *, row_number() over (partition by n_regionkey order by n_nationkey) as k from nation) where k = 1")
@@ -104,7 +100,10 @@ def _(fx):
 KMERS = "km as (select distinct seq_id, substr(seq, i, 8) as kmer from (select *, unnest(range(1, length(seq) - 6)) as i from fx_seq))"
 
 
-@query("kmer_similarity_join", "select a.seq_id as a, b.seq_id as b, count(*) * 1.0 / (max(na.n) + max(nb.n) - count(*)) as sim from km a join km b on a.kmer = b.kmer and a.seq_id < b.seq_id join (select seq_id, count(*) as n from km group by 1) na on na.seq_id = a.seq_id join (select seq_id, count(*) as n from km group by 1) nb on nb.seq_id = b.seq_id group by 1, 2 having count(*) * 1.0 / (max(na.n) + max(nb.n) - count(*)) >= 0.1", KMERS)
+ONE_KMERS = KMERS.replace("from fx_seq", "from (select min(seq_id) as seq_id, seq from fx_seq group by seq)")
+
+
+@query("kmer_similarity_join", "select a.seq_id as a, b.seq_id as b, count(*) * 1.0 / (max(na.n) + max(nb.n) - count(*)) as sim from km a join km b on a.kmer = b.kmer and a.seq_id < b.seq_id join (select seq_id, count(*) as n from km group by 1) na on na.seq_id = a.seq_id join (select seq_id, count(*) as n from km group by 1) nb on nb.seq_id = b.seq_id group by 1, 2 having count(*) * 1.0 / (max(na.n) + max(nb.n) - count(*)) >= 0.1", ONE_KMERS)
 def _(fx):
     return T.kmer_similarity_join(fx("fx_seq"), "seq_id", "seq", 8, 0.1)
 
@@ -118,16 +117,16 @@ def _(fx):
 @query("similarity_cluster")
 def _(fx):
     s = fx("fx_seq")
-    sim = T.kmer_similarity_join(s, "seq_id", "seq", 8, 0.1)
-    return A.similarity_cluster(s.select(F.col("seq_id").alias("id"), F.length("seq").cast("long").alias("size")), sim, 0.1)
+    of = T.sequence_classes(s, "seq_id", "seq")
+    first = s.join(of.select(F.col("representative").alias("seq_id")).distinct(), "seq_id", "left_semi")
+    found = A.similarity_cluster(first.select(F.col("seq_id").alias("id"), F.length("seq").cast("long").alias("size")), T.kmer_similarity_join(s, "seq_id", "seq", 8, 0.1), 0.1)
+    return of.join(found, F.col("representative").cast("string") == F.col("id")).select(F.col("seq_id").cast("string").alias("id"), "centroid")
 
 
 @query("spurious_share", f"select l_linenumber as rate, {pct('count(*) filter (where not good)', 'count(*)')} as share, count(*) as n from (select l_linenumber, l_orderkey, max(case when l_discount >= 0.05 and l_tax >= 0.02 then 1 else 0 end) = 1 as good from lineitem group by 1, 2) group by 1")
 def _(fx):
-    li = fx.table("lineitem")
-    q = li.groupBy("l_linenumber", "l_orderkey").agg(F.max(((F.col("l_discount") >= 0.05) & (F.col("l_tax") >= 0.02)).cast("int")).alias("good"))
-    n = F.count("*")
-    return q.groupBy(F.col("l_linenumber").alias("rate")).agg(percent(F.sum(1 - F.col("good")), n).alias("share"), n.alias("n"))
+    out = T.spurious_share(fx.table("lineitem"), "l_linenumber", "l_orderkey", (F.col("l_discount") >= 0.05) & (F.col("l_tax") >= 0.02))
+    return out.withColumnRenamed("l_linenumber", "rate")
 
 
 @query("msa_sparse_column_filter", """select seq_id from rws where seq_id not in (select c.seq_id from cells c join (select w from cells where full_c group by w having count(*) < (select count(*) from rws) * 0.1) s using (w) where c.full_c)""",

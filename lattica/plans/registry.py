@@ -8,7 +8,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .fixtures import Inputs, with_fixtures
+from .fixtures import Inputs, in_duckdb, with_fixtures
 
 FLAGSHIP = "link_counts"
 MODULES = ["q_scalar", "q_links", "q_depth", "q_tables", "q_assess"]
@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None, ctes: str = ""):
     def put(f: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
         if name in _found:
             raise ValueError(f"{name} is registered twice")
-        _found[name] = (f, sql and with_fixtures(sql, ctes))
+        _found[name] = (f, sql and in_duckdb(with_fixtures(sql, ctes)))
         return f
 
     return put

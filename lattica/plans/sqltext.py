@@ -24,7 +24,7 @@ def mid_clip(c: str, pos: str, ref_len: str, ops: str = "MIXmix=") -> str:
 
 
 ALN = f"""aln as (
-  select *, {mismatch('cigar')} as bad, {op_len('cigar')} as aligned, {both_clipped('cigar')} as bothc, {mid_clip('cigar', 'pos', 'ref_len')} as midc,
+  select read_base, mate, side, ref_id, ref_len, pos, cigar, {mismatch('cigar')} as bad, {op_len('cigar')} as aligned, {both_clipped('cigar')} as bothc, {mid_clip('cigar', 'pos', 'ref_len')} as midc,
     least(pos - 1, ref_len - pos - {op_len('cigar')} + 1) as near, regexp_matches(cigar, '[Ss]') as clipped
   from fx_aln
 )"""
@@ -35,7 +35,7 @@ PAIRS = f"""{ALN}, mins as (
 ), hits as (
   select side, read_base, mate, ref_id, count(distinct pos) > 1 as several from aln group by all
 ), judged as (
-  select a.*, not h.several and not bothc and bad <= 2 and aligned >= 45 and not midc and (a.side = 'contig' or bad <= ref_min) as fine
+  select a.*, not h.several and not bothc and bad <= 2 and aligned >= 45 and not midc and (a.side <> 'marker' or bad <= ref_min) as fine
   from aln a join mins m using (side, read_base, mate) join hits h using (side, read_base, mate, ref_id)
 ), good as (
   select distinct side, read_base, ref_id, mate, pos, cigar, ref_len, aligned, near, clipped from judged j
@@ -80,3 +80,50 @@ STATS = f"{LINKS}, {side('l', 'marker')}, {side('r', 'contig')}"
 JOINED = "l join r using (marker, contig)"
 COLS = "marker, contig, " + ", ".join(f"{s}.{c} as {c}_{s}" for s in "lr" for c in ("reads", "cigars", "short_pct", "end_num", "end_pct", "clip_pct", "matched", "matched_pct"))
 SHORT = "(l.short_pct < (case when l.cigars < 100 then 85 else 75 end) and r.short_pct < (case when l.cigars < 100 then 85 else 75 end))"
+
+# both rounds: pairs of three sides (markers, contigs, bridges), then what the first round leaves free
+PAIRS3 = PAIRS.replace("from fx_aln", "from (select read_base, mate, side, ref_id, ref_len, pos, cigar from fx_aln union all select read_base, mate, 'mini' as side, ref_id, ref_len, pos, cigar from fx_minis)")
+
+
+def bridge_side(name: str, other: str, which: str) -> str:
+    """Statistics of one side (l: bridge, r: other) of the links of bridges and `other` (a side's name)."""
+    mate = "3 - o.mate" if other == "marker" else "o.mate"
+    end_num = "cast(count(*) filter (where near <= 10) as bigint)"
+    return f"""{name}_hits as (
+  select m.ref_id as mini, o.ref_id as other, m.read_base, {which}.pos, {which}.aligned, {which}.near, {which}.clipped, {which}.ref_len
+  from (select * from pairs where side = 'mini') m join (select * from pairs where side = '{other}') o on o.read_base = m.read_base and {mate} = m.mate
+), {name}_pos as (
+  select mini, other, count(distinct x) as matched from (select mini, other, unnest(range(pos, pos + aligned)) as x from {name}_hits) group by all
+), {name}_st as (
+  select mini, other, count(distinct read_base) as reads, count(*) as cigars, {pct('count(*) filter (where aligned <= 75)', 'count(*)')} as short_pct,
+    {end_num} as end_num, {pct(end_num, 'count(*)')} as end_pct, {pct('count(*) filter (where clipped)', 'count(*)')} as clip_pct, max(ref_len) as ref_len
+  from {name}_hits group by all
+), {name} as (
+  select s.* exclude (ref_len), p.matched, {pct('p.matched', 's.ref_len')} as matched_pct from {name}_st s join {name}_pos p using (mini, other)
+)"""
+
+
+BRIDGES = f"{PAIRS3}, {bridge_side('cl', 'contig', 'm')}, {bridge_side('cr', 'contig', 'o')}, {bridge_side('ml', 'marker', 'm')}, {bridge_side('mr', 'marker', 'o')}"
+
+
+def bridge_cols(a: str, b: str, name: str) -> str:
+    return f"mini, other as {name}, " + ", ".join(f"{t}.{c} as {c}_{s}" for t, s in ((a, "l"), (b, "r")) for c in ("reads", "cigars", "short_pct", "end_num", "end_pct", "clip_pct", "matched", "matched_pct"))
+
+
+def bridge_short(a: str, b: str) -> str:
+    return f"({a}.short_pct < (case when {a}.cigars < 100 then 85 else 75 end) and {b}.short_pct < (case when {a}.cigars < 100 then 85 else 75 end))"
+
+
+def bridge_end(x: str, pct_at_least: int) -> str:
+    return f"({x}.end_num > 0 and {x}.end_pct >= {pct_at_least})"
+
+
+TO_CONTIG = f"{bridge_short('cl', 'cr')} and not (cl.cigars > 15 and abs(cl.clip_pct - cr.clip_pct) > 50) and ({bridge_end('cl', 5)} or cl.matched >= 300 or cl.matched_pct >= 50) and {bridge_end('cr', 20)}"
+TO_MARKER = f"{bridge_short('ml', 'mr')} and ({bridge_end('ml', 5)} or ml.matched >= 300 or ml.matched_pct >= 50) and ({bridge_end('mr', 5)} or mr.matched >= 300 or mr.matched_pct >= 50)"
+ROUND2 = f"""{BRIDGES}, mini_genome as (
+  select mini, genome, cast(sum(cl.reads) as bigint) as n from cl join cr using (mini, other) join fx_contigs c on c.contig = other where cl.reads >= 3 and {TO_CONTIG} group by all
+), bridge as (
+  select mini, genome from (select *, max(n) over (partition by genome) as best from (select *, row_number() over (partition by mini order by n desc, genome) as k from mini_genome where n >= 3) where k = 1) where n >= best * 0.8
+), mini_marker as (
+  select mini, other as marker, ml.reads as n from ml join mr using (mini, other) where ml.reads >= 3 and {TO_MARKER}
+)"""

@@ -101,7 +101,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     sizes = local.groupBy("f", "b").agg(F.count("*").alias("n"))
     before = sizes.withColumn("start", F.sum("n").over(Window.partitionBy("f").orderBy("b")) - F.col("n")).drop("n")
     lines = local.join(before, ["f", "b"]).withColumn("k", F.col("k") + F.col("start"))
-    r = lines.groupBy("f", F.floor(F.col("k") / 4).alias("r")).pivot("part", [0, 1, 3]).agg(F.first("value")) if "part" in lines.columns else lines.withColumn("part", F.col("k") % 4).groupBy("f", F.floor(F.col("k") / 4).alias("r")).pivot("part", [0, 1, 3]).agg(F.first("value"))
+    r = lines.withColumn("part", F.col("k") % 4).groupBy("f", F.floor(F.col("k") / 4).alias("r")).pivot("part", [0, 1, 3]).agg(F.first("value"))
     return r.select(F.regexp_extract("0", r"^@(\S*)", 1).alias("id"), F.col("1").alias("seq"), F.col("3").alias("qual"))
 
 
@@ -215,3 +215,62 @@ def write_links_tsv(links: DataFrame, path: str) -> None:
 
 def read_provided_cn(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="genome string, n double")
+
+
+# ---------------------------------------------------------------- tables that links are held against
+
+
+def _columns(spark: SparkSession, path: str, sep: str, at: dict[str, int], skip: str | None = None) -> DataFrame:
+    """Columns by their places in a separated text file without quoting; lines that begin with `skip` (a header) are left out."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    if skip:
+        lines = lines.filter(~F.startswith("value", F.lit(skip)))
+    cells = F.split("value", sep, -1)
+    return lines.select(*(F.trim(F.get(cells, F.lit(i))).alias(name) for name, i in at.items()))
+
+
+def read_genome_clusters(spark: SparkSession, path: str) -> DataFrame:
+    """genome, cluster of a table of clustered genome files (CSV: file, cluster); the file's extension goes."""
+    out = _columns(spark, path, ",", {"genome": 0, "cluster": 1}, "genome,")
+    return out.withColumn("genome", F.regexp_replace("genome", r"\.[^.]*$", ""))
+
+
+def read_genome_taxonomy(spark: SparkSession, path: str) -> DataFrame:
+    """genome, taxon, closest of a classification table (TSV: genome, taxonomy, ..., closest reference in the eighth column)."""
+    return _columns(spark, path, "\t", {"genome": 0, "taxon": 1, "closest": 7}, "user_genome\t")
+
+
+def read_marker_taxonomy(spark: SparkSession, path: str) -> DataFrame:
+    """marker, iden, aln_len, taxon (TSV: marker, hit, identity, aligned length, taxonomy with notes in brackets behind it)."""
+    out = _columns(spark, path, "\t", {"marker": 0, "iden": 2, "aln_len": 3, "taxon": 4})
+    return out.select("marker", F.col("iden").try_cast("double").alias("iden"), F.col("aln_len").try_cast("int").alias("aln_len"), F.substring_index("taxon", " [", 1).alias("taxon"))
+
+
+def read_completeness(spark: SparkSession, path: str) -> DataFrame:
+    """genome, completeness of a quality table (CSV)."""
+    return _columns(spark, path, ",", {"genome": 0, "completeness": 1}).select("genome", F.col("completeness").try_cast("double").alias("completeness"))
+
+
+def read_genome_depth(spark: SparkSession, path: str) -> DataFrame:
+    """genome, depth (TSV: genome, length, mean depth)."""
+    return _columns(spark, path, "\t", {"genome": 0, "depth": 2}).select("genome", F.col("depth").try_cast("double").alias("depth"))
+
+
+def read_genome_markers(spark: SparkSession, path: str) -> DataFrame:
+    """genome, marker_len of a table of own markers (TSV: genome, marker, length)."""
+    return _columns(spark, path, "\t", {"genome": 0, "marker_len": 2}, "Genome\t16S").select("genome", F.col("marker_len").try_cast("int").alias("marker_len"))
+
+
+def read_gene_to_genome(spark: SparkSession, path: str) -> DataFrame:
+    """genome, gene (TSV: genome, genes separated by commas), a row for each gene."""
+    out = _columns(spark, path, "\t", {"genome": 0, "genes": 1})
+    return out.select("genome", F.explode(F.filter(F.split("genes", ","), lambda g: F.trim(g) != "")).alias("gene")).select("genome", F.trim("gene").alias("gene"))
+
+
+def write_lines(df: DataFrame, path: str, sep: str, cols: list[str], header: str | None = None) -> None:
+    """Columns as separated text, null as empty; with a header each file begins with it."""
+    out = df.select(F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols)).alias(header or "value"))
+    if header is None:
+        out.write.text(path)
+    else:
+        out.write.option("header", True).option("quote", "\u0000").option("sep", "\u0001").csv(path)
