@@ -10,8 +10,13 @@ rises by one as long as a window exceeds its capacity.
 A unit is one bounded chunk of a sorted partition, so no task holds more than one unit whatever the group sizes;
 sequence_id is (task's partition << 32) + a running number.  Each id of a document lies in one piece.
 
+Remainders are cut to pieces of `piece` tokens because small pieces are what differencing evens out; the price is that a document
+of some hundred tokens lies in several sequences.  `piece` is a parameter: with the window's size a remainder stays whole.
+
 Null text counts as empty (only the end token).  Repeated rows are packed as often as they come; a null id
-is packed like any other.  Other columns are ignored.
+is packed like any other.  Very long texts are tokenised whole and handed on in frames of about a million tokens.  Pieces of equal
+length are taken in the order of their keys' hashes.  An empty table gives no sequences.  `tokenise` ignores other columns; `pack`
+carries them along, but for columns named sequence_id and offset, which it replaces by its own.
 """
 
 from __future__ import annotations
