@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.groups import cut, shared_dir
 
-__all__ = ["cut", "distinct_sample", "fold", "fresh", "partitions", "shared_dir", "table"]
+__all__ = ["cut", "distinct_sample", "fold", "fresh", "partitions", "shared_dir", "table", "wide_rows"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def wide_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets the session hand rows to Python `rows` at a time at most (Spark's own default is 10,000): rows that hold whole texts or
+    sets of hashes are wide, and a batch of them is held by the executor and by its Python worker at once."""
+    if int(spark.conf.get(BATCH)) > rows:
+        spark.conf.set(BATCH, rows)
+
+
 def fold(id_col: str | Column, buckets: int) -> Column:
     """crc32 of the id as text, modulo buckets; a null id counts as empty text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import wide_rows
+
 BLOCK = 256  # samples in a frame
 SEEK_FRAMES = 8  # frames between seek points
 SLICE = 4 << 20  # bytes of samples handled at once
@@ -550,18 +552,21 @@ def pcm_blocks(pcm: Column, block_samples: int = 4096) -> Column:
 
 def encode_flac(df: DataFrame, payload_col: str, out_col: str = "media") -> DataFrame:
     """df with a FLAC stream of each binary payload in out_col (a column of that name is replaced)."""
+    wide_rows(df.sparkSession)
     return df.withColumn(out_col, flac_stream(F.col(payload_col)))
 
 
 def decode_flac(df: DataFrame, media_col: str, id_cols: list[str], block_samples: int = 4096) -> DataFrame:
     """PCM blocks of each stream: id_cols, error, blocks array<struct<sample_offset, n_samples, pcm>>,
     in order of sample_offset.  Other columns of df are left out, so that their names cannot clash."""
+    wide_rows(df.sparkSession)
     out = df.select(*(F.col(c) for c in id_cols), flac_samples(F.col(media_col)).alias("__decoded"))
     return out.select(*id_cols, F.col("__decoded.error").alias("error"), pcm_blocks(F.col("__decoded.pcm"), block_samples).alias("blocks"))
 
 
 def store_and_read(df: DataFrame, payload_col: str, id_cols: list[str], block_samples: int = 4096) -> DataFrame:
     """id_cols, media, error, pcm (what was read back, whole), blocks (the same, cut): encode_flac and decode_flac in one pass."""
+    wide_rows(df.sparkSession)
     out = df.select(*(F.col(c) for c in id_cols), flac_stored_and_read(F.col(payload_col)).alias("__both"))
     return out.select(*id_cols, F.col("__both.media").alias("media"), F.col("__both.error").alias("error"), F.col("__both.pcm").alias("pcm"), pcm_blocks(F.col("__both.pcm"), block_samples).alias("blocks"))
 

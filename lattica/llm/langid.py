@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import wide_rows
 from .hashing import encode, trigrams
 
 
@@ -114,6 +115,7 @@ def fit_languages(rows: DataFrame, text_col: str = "text", lang_col: str = "lang
 
 def language_mixture(text: Column, model: LanguageModel, spark) -> Column:
     """struct<lang, score, languages array<struct<lang, share>>> of a text."""
+    wide_rows(spark)
     shared = spark.sparkContext.broadcast(model)  # 2^bits x 4 bytes for each language, 512 MB at the most_languages bound
 
     part = T.StructType().add("lang", T.StringType()).add("share", T.DoubleType())

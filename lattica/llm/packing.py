@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import wide_rows
 from .hashing import encode
 
 
@@ -99,6 +100,7 @@ def tokenise(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                     rows, size = [], 0
             yield pd.DataFrame(rows, columns=columns).astype({"id": pdf["id"].dtype})
 
+    wide_rows(docs.sparkSession)
     columns = ["id", "start", "length", "ids", "doc_tokens"]
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import distinct_sample
+from .common import distinct_sample, wide_rows
 from .hashing import encode
 
 LABELLERS = ["symbols", "capitals", "bars", "word_length", "repeats", "sentences", "short_words", "stutter"]
@@ -133,6 +133,8 @@ def _text(col: str | Column) -> Column:
 
 
 def fit_quality(docs: DataFrame, text_col: str = "text", train_rows: int = 4000, steps: int = 300) -> QualityModel:
+    wide_rows(docs.sparkSession)
+
     @F.pandas_udf(T.IntegerType())
     def pattern_of(texts: pd.Series) -> pd.Series:
         return pd.Series([pattern(encode(t)) for t in texts], dtype="int32")

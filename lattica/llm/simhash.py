@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, wide_rows
 
 CHUNK = 1 << 16  # shingles whose bits are counted at once
 
@@ -303,6 +303,7 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, extra: dict[str, Column] | None = None) -> DataFrame:
     """id_col, fp (long), component_id, group: one row for each row of docs, and columns of `extra`."""
+    wide_rows(docs.sparkSession)
     rows = cut(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("fp"), *(c.alias(n) for n, c in (extra or {}).items())), "fingerprints")
     links = near_links(rows.select("fp").distinct(), radius)
     return _name_groups(rows, links, id_col, list(extra or {}))
@@ -343,6 +344,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     any size and no rule depends on the size.  Equal sets are one node."""
     if not 0.8 <= least_jaccard <= 1:
         raise ValueError("least_jaccard must be 0.8 to 1")
+    wide_rows(docs.sparkSession)
     words = [f"w{i}" for i in range(WORDS)]
     kind = T.StructType().add("node", T.LongType()).add("hashes", T.ArrayType(T.LongType())).add("parts", T.ArrayType(T.LongType()))
     for w in words:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, distinct_sample
+from .common import cut, distinct_sample, wide_rows
 from .hashing import encode, slices, words
 
 BITS = 20
@@ -99,6 +99,7 @@ def train(buckets: np.ndarray, n: int, who: np.ndarray, feature: np.ndarray, y:
 
 def fit_toxicity(rows: DataFrame, text_col: str = "text", label_col: str = "toxic", train_rows: int = 20_000, terms: int = 2048, rank: int = 6, least_docs: int = 4) -> FactorizationMachine:
     """A machine fitted on rows (text, label 0/1)."""
+    wide_rows(rows.sparkSession)
     rows = rows.filter(F.col(label_col).isNotNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("y"))
     rows = cut(distinct_sample(rows, "text", train_rows, 7, ["y"]), "taught")
 
@@ -150,6 +151,7 @@ def fit_toxicity(rows: DataFrame, text_col: str = "text", label_col: str = "toxi
 
 def toxicity_score(text: Column, model: FactorizationMachine, spark) -> Column:
     """The machine's probability that the label is 1."""
+    wide_rows(spark)
     shared = spark.sparkContext.broadcast(model)  # `terms` x (rank + 2) numbers
 
     @F.pandas_udf(T.DoubleType())
