@@ -160,7 +160,7 @@ def _(fx):
     return L.mean_identity(fx("fx_ident"), fx("fx_links"), "genome", "marker")
 
 
-BEST = """best as (select genome, marker from (select *, rank() over (partition by genome order by n desc) as k from fx_links where n >= 3) where k = 1),
+BEST = """best as (select genome, marker from (select *, rank() over (partition by genome order by n desc) as k from (select marker, genome, cast(floor(n / 60.0) * 60 as bigint) as n from fx_links) where n >= 3) where k = 1),
 bad as (select x.genome from best x join best y on x.genome = y.genome and x.marker < y.marker left join fx_ident i on i.a = least(x.marker, y.marker) and i.b = greatest(x.marker, y.marker) group by 1 having min(coalesce(i.iden, 0)) <= 99),
 tied as (select distinct marker from best where genome in (select genome from bad))"""
 
@@ -168,7 +168,8 @@ tied as (select distinct marker from best where genome in (select genome from ba
 @query("ambiguous_best", """select 'genome' as kind, genome as id from bad union all select 'best', marker from tied
 union all select distinct 'all', id from (select a as m, b as id from fx_ident where iden >= 99 union all select b, a from fx_ident where iden >= 99) where m in (select marker from tied)""", BEST)
 def _(fx):
-    return A.ambiguous_best(fx("fx_links"), fx("fx_ident"))
+    rounded = fx("fx_links").withColumn("n", (F.floor(F.col("n") / 60) * 60).cast("long"))  # so that counts tie
+    return A.ambiguous_best(rounded, fx("fx_ident"))
 
 
 @query("greedy_assign")
