@@ -1,8 +1,8 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are grouped by length: sorted by falling norm (ties by id) over range partitions, and every `block_rows` of a
-partition are a block.  The number of its block is written with each vector, so blocks are data: however many
-partitions Spark makes, the table of blocks (largest norm of each) says which there are.  The `block_rows`
+Vectors are grouped by length: sorted by falling norm (ties by id) over range partitions, and every `block_rows` in that
+order are a block.  Each vector's place in the order is written with it, so blocks are data: however many
+partitions Spark makes, they are the same, and the table of blocks (largest norm of each) says which there are.  The `block_rows`
 longest vectors (a fixed bound, so they may be broadcast) give each query a first bound b: its k-th best score
 there.  A query of norm |q| needs only blocks whose largest norm is b / |q| or more.  Queries are grouped by that need,
 and pairs of (query group, block) are formed from the two small tables before any vector is copied.
@@ -93,12 +93,18 @@ def search_block(cid: np.ndarray, c: np.ndarray, qid: np.ndarray, q: np.ndarray,
 
 
 def _numbered(df: DataFrame, parts: int, order: list, rows: int, name: str) -> DataFrame:
-    """df, written with a long column `name`: runs of `rows` rows in the given order get one number, and numbers follow the order.
+    """df, written with its place in the given order, and with a long column `name`: every `rows` rows have one number.
 
-    The number is that of the range partition (upper bits) and of the run in it, and it is stored, not asked for again."""
+    Rows are dealt by range and sorted; what earlier partitions hold is added to a row's place in its own, so numbers do not depend on
+    how many partitions Spark makes."""
     at = F.monotonically_increasing_id()  # partition << 33 | row in it
-    number = F.shiftright(at, 33) * (1 << 33) + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / rows)
-    return cut(df.repartitionByRange(max(1, parts), *order).sortWithinPartitions(*order).withColumn(name, number), name)
+    dealt = cut(df.repartitionByRange(max(1, parts), *order).sortWithinPartitions(*order).withColumn("__at", at), name)
+    sizes = dealt.groupBy(F.shiftright("__at", 33).alias("part")).count().orderBy("part").collect()  # a row for each partition
+    before = [sum(r["count"] for r in sizes[:i]) for i in range(len(sizes))]
+    starts = df.sparkSession.createDataFrame([(r["part"], n) for r, n in zip(sizes, before, strict=True)], "__part long, __before long")
+    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = dealt.join(F.broadcast(starts), F.shiftright("__at", 33) == F.col("__part"))
+    return dealt.select(*df.columns, F.floor(place / rows).alias(name))
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 4096, query_rows: int = 2048) -> DataFrame:
@@ -127,9 +133,10 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, block_rows: int
     asked = _numbered(asked, min(most, -(-n_queries // query_rows)), [F.asc("need"), F.asc("qid")], query_rows, "group")
     dealt = _numbered(candidates, min(most, -(-n // block_rows)), [F.desc("norm2"), F.asc("id")], block_rows, "block")
 
-    # blocks by falling norm; a group of queries meets those of the first partitions that reach its least need
-    blocks = dealt.groupBy("block").agg(F.max("norm2").alias("top")).withColumn("part", F.shiftright("block", 33))
-    tops = [(r["part"], r["top"]) for r in blocks.groupBy("part").agg(F.max("top").alias("top")).collect()]  # at most `most` rows
+    # blocks by falling norm; a group of queries meets those of the first runs of blocks that reach its least need
+    step = max(1, -(-n // (block_rows * most)))  # blocks that are one entry of the table on the driver
+    blocks = dealt.groupBy("block").agg(F.max("norm2").alias("top")).withColumn("part", F.floor(F.col("block") / step))
+    tops = [(r["part"], r["top"]) for r in blocks.groupBy("part").agg(F.max("top").alias("top")).collect()]  # at most `most` rows and one
     groups = asked.groupBy("group").agg(F.min("need").alias("need"))
     near = F.filter(F.array(*(F.struct(F.lit(p).cast("long").alias("part"), F.lit(t).alias("top")) for p, t in tops)), lambda x: x["top"] >= F.col("need")) if tops else F.array().cast("array<struct<part:long,top:double>>")
     pairs = groups.select("group", "need", F.explode(near).alias("at")).select("group", "need", F.col("at.part").alias("part")).join(blocks, "part").filter("top >= need")
