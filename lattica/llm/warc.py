@@ -76,32 +76,44 @@ def read_entities(text: Column) -> Column:
         char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
         return F.when(c["point"].isNull(), F.concat(F.lit("&"), c["part"])).otherwise(F.concat(char, F.substr(c["part"], c["n"] + 2)))
 
-    parts = F.split(text, "&", -1)
-    rest = F.transform(F.transform(F.transform(F.slice(parts, F.lit(2), F.size(parts)), named), numbered), read)
-    return F.when(F.instr(text, "&") > 0, F.concat(F.element_at(parts, 1), F.array_join(rest, ""))).otherwise(text)
+    def joined(parts: Column) -> Column:
+        rest = F.transform(F.transform(F.transform(F.slice(parts, F.lit(2), F.size(parts)), named), numbered), read)
+        return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
 
+    # a lambda's argument is split once, where a column that is named three times would be split three times
+    return F.when(F.instr(text, "&") > 0, F.element_at(F.transform(F.array(F.split(text, "&", -1)), joined), 1)).otherwise(text)
 
-HIDDEN = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
-BLOCK_END = r"(?i)<br[^>]*>|</(p|h1|h2|h3|h4|h5|h6|li|div|title|tr|ul|ol|nav|article|footer|header|section)>"
+
+HIDDEN = r"(?is)<(?:!--.*?-->|script[^>]*>.*?</script>|style[^>]*>.*?</style>)"
+BLOCK_END = r"(?i)<(?:br[^>]*>|/(?:p|h1|h2|h3|h4|h5|h6|li|div|title|tr|ul|ol|nav|article|footer|header|section)>)"
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 LINK = rf"(?i)<a{SPACE}([^>]*?[ \t\n\x0B\f\r\"'])?href{SPACE}*={SPACE}*(\"[^\"]*\"|'[^']*'|[^ \t\n\x0B\f\r\"'>]+)"
 
 
+def without_tags(html: Column) -> Column:
+    """Comments, scripts and styles go, block ends become line ends, other tags spaces."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), BLOCK_END, "\n"), "<[^>]*>", " ")
+
+
+def without_gaps(text: Column) -> Column:
+    """Runs of blanks become one space and runs of line ends one.  A single space is no match: most are."""
+    t = F.regexp_replace(text, r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ")
+    return F.btrim(F.regexp_replace(t, r" \n[ \n]*|\n[ \n]+", "\n"), F.lit(" \n"))
+
+
 def plain_text(html: Column) -> Column:
-    """Text of a page: comments, scripts and styles go, block ends become line ends, character references are read."""
-    t = F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), BLOCK_END, "\n")
-    t = read_entities(F.regexp_replace(t, r"<[^>]*>", " "))
-    t = F.regexp_replace(t, r"[ \t\x0B\f\r]+", " ")
-    return F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    """Text of a page, with its character references read."""
+    return without_gaps(read_entities(without_tags(html)))
 
 
 def page_title(html: Column) -> Column:
-    return read_entities(F.trim(F.regexp_replace(F.regexp_extract(html, TITLE, 1), SPACE + "+", " ")))
+    """The title as it stands in the page, on one line."""
+    return F.trim(F.regexp_replace(F.regexp_extract(html, TITLE, 1), SPACE + "+", " "))
 
 
 def page_links(html: Column) -> Column:
-    """Targets of links, in whatever quotes, in their order."""
-    return F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(2)), lambda v: read_entities(F.regexp_replace(v, r"^[\"']|[\"']$", "")))
+    """Targets of links as they stand in the page, in whatever quotes, in their order."""
+    return F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(2)), lambda v: F.when(F.left(v, F.lit(1)).isin("\"", "'"), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v))
 
 
 def header_lines(head: Column) -> Column:
@@ -137,11 +149,13 @@ def derive(records: DataFrame, id_cols: list[str]) -> DataFrame:
     r = parse_responses(records, id_cols)
     source_type = F.trim(F.regexp_extract("http_head", r"(?i)\nContent-Type:([^\r\n]*)", 1))
     status = F.regexp_extract("http_head", r"^HTTP/[0-9.]+ ([0-9]+)", 1)
-    r = r.withColumn("text", plain_text(F.col("body"))).withColumn("links", page_links(F.col("body")))
+    # in steps, each column of which is named several times by the next one and computed once
+    r = r.withColumns({"text": without_tags(F.col("body")), "title": page_title(F.col("body")), "links": page_links(F.col("body"))})
+    r = r.withColumns({"text": without_gaps(read_entities(F.col("text"))), "title": read_entities(F.col("title")), "links": F.transform("links", read_entities)})
     more = [F.col("headers").alias("warc_headers")] if "headers" in r.columns else []
     meta = F.to_json(F.struct(
         F.coalesce("target_uri", F.lit("")).alias("url"), status.alias("status"), source_type.alias("content_type"), header_lines(F.col("http_head")).alias("http_headers"), *more,
-        page_title(F.col("body")).alias("title"), F.size("links").alias("n_links"), F.col("links"), F.col("body_bytes"), F.octet_length("text").alias("text_bytes"),
+        F.col("title"), F.size("links").alias("n_links"), F.col("links"), F.col("body_bytes"), F.octet_length("text").alias("text_bytes"),
     ))
     pair = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/json").alias("content_type"), meta.alias("block")),
