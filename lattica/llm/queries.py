@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, langid, mixing, packing, quality, secrets, simhash, topk, toxicity, warc
+from . import flac, langid, merkle, mixing, packing, quality, secrets, simhash, topk, toxicity, warc
 from .common import cut, fold, table
+from .merkle_sql import merkle_sql
 from .mixing_sql import mixing_sql
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -108,7 +109,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_flac, op2_simhash, op3_langid, op4_warc, op5_toxicity, op6_secrets, op7_packing, op8_topk, op9_mixing, op10_quality)}
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a leaf; half of the ids are read back with their line breaks deleted."""
+    docs = table(spark, sf_dir, "documents")
+    digest = lambda text: merkle.h(*(merkle.field(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")), merkle.field(text))
+    tampered = F.col("doc_id").isNotNull() & (fold("doc_id", 2) == 0) & F.contains("text", F.lit("\n"))
+    leaf = digest(F.col("text"))
+    rows = docs.select("doc_id", "source", leaf.alias("leaf"), F.when(tampered, digest(F.replace("text", F.lit("\n"), F.lit("")))).alias("other"))
+    out = merkle.manifest(rows.withColumn("seen", F.coalesce("other", "leaf")), "source", "doc_id", "leaf", "seen")
+    return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_flac, op2_simhash, op3_langid, op4_warc, op5_toxicity, op6_secrets, op7_packing, op8_topk, op9_mixing, op10_quality, op12_merkle)
+}
+
 
 def _warc_sql() -> str:
     """Derivatives of pages in DuckDB's dialect."""
@@ -164,6 +179,7 @@ from r"""
 SQL: dict[str, str] = {
     "op4_warc": _warc_sql(),
     "op9_mixing": mixing_sql(),
+    "op12_merkle": merkle_sql(),
     "op8_topk": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
