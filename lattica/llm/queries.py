@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, langid, merkle, mixing, packing, quality, secrets, simhash, topk, toxicity, warc
+from . import flac, langid, merkle, mixing, packing, quality, secrets, simhash, topk, toxicity, warc, whitening
 from .common import cut, fold, table
 from .merkle_sql import merkle_sql
 from .mixing_sql import mixing_sql
@@ -109,6 +109,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality(docs))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.integer_rows(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    fit = whitening.fit_whitening(rows)
+    white = whitening.whiten(rows, fit)
+    k = min(8, len(fit.values))
+    explained = F.array(*(F.lit(float(v) / fit.trace) for v in fit.values[:k])).cast("array<double>")
+    out = white.select(F.col("key").alias("vec_id"), F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return out.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(fit.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, "at").alias("explained"), F.lit(whitening.identity_error(white, k)).alias("identity_error"),
+    )
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a leaf; half of the ids are read back with their line breaks deleted."""
     docs = table(spark, sf_dir, "documents")
@@ -121,7 +134,7 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_flac, op2_simhash, op3_langid, op4_warc, op5_toxicity, op6_secrets, op7_packing, op8_topk, op9_mixing, op10_quality, op12_merkle)
+    f.__name__: f for f in (op1_flac, op2_simhash, op3_langid, op4_warc, op5_toxicity, op6_secrets, op7_packing, op8_topk, op9_mixing, op10_quality, op11_whitening, op12_merkle)
 }
 
 
