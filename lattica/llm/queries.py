@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, langid, merkle, mixing, packing, quality, secrets, simhash, topk, toxicity, warc, whitening
+from . import flac, htmltext, langid, merkle, mixing, packing, quality, secrets, simhash, topk, toxicity, warc, whitening
 from .common import cut, fold, table
 from .merkle_sql import merkle_sql
 from .mixing_sql import mixing_sql
@@ -133,8 +133,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", htmltext.extract_text("html", spark).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_flac, op2_simhash, op3_langid, op4_warc, op5_toxicity, op6_secrets, op7_packing, op8_topk, op9_mixing, op10_quality, op11_whitening, op12_merkle)
+    f.__name__: f for f in (op1_flac, op2_simhash, op3_langid, op4_warc, op5_toxicity, op6_secrets, op7_packing, op8_topk, op9_mixing, op10_quality, op11_whitening, op12_merkle, op13_html)
 }
 
 
