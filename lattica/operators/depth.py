@@ -2,78 +2,152 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import cigar as C
 from ..functions.cigar import percent
+from .groups import cut
+
+
+TILE = 100_000  # positions of a reference that one task's window holds
+
+
+def depth_runs(aln: DataFrame, refs: DataFrame, tile: int = TILE) -> DataFrame:
+    """ref_id, start, end, depth: runs of one depth that cover each position of each reference once, zeros included.
+
+    A reference is cut into tiles and an alignment at their borders (insertions aside, at the reference's end too), so each tile is summed by
+    itself: a piece adds one at its start and takes one behind its end.  Sums over positions come first, so a running sum sees one row a position at
+    most, however deep it is, and a long reference is many tasks.  Runs end with their tile."""
+    spans = aln.filter(F.col("cigar").isNotNull() & (F.col("cigar") != "*"))
+    if "ref_len" not in aln.columns:
+        spans = spans.join(refs.select("ref_id", "ref_len"), "ref_id")
+    last = F.least(F.col("pos") + C.aligned_length(F.col("cigar"), include_ins=False) - 1, F.col("ref_len"))
+    spans = spans.select("ref_id", F.col("ref_len").cast("int").alias("ref_len"), F.greatest(F.col("pos"), F.lit(1)).cast("int").alias("l"), last.cast("int").alias("r")).filter("l <= r")
+    tile_of = lambda p: F.floor((p - 1) / tile).cast("int")
+    pieces = spans.select("ref_id", "ref_len", "l", "r", F.explode(F.sequence(tile_of(F.col("l")), tile_of(F.col("r")))).alias("t"))
+    border = lambda t: ((t + 1) * tile).cast("int")
+    end = F.least(F.col("r"), border(F.col("t")))
+    ends = F.array(F.struct(F.greatest(F.col("l"), border(F.col("t") - 1) + 1).alias("pos"), F.lit(1).alias("d")), F.when(end < F.least(border(F.col("t")), F.col("ref_len")), F.struct((end + 1).alias("pos"), F.lit(-1).alias("d"))))
+    events = pieces.select("ref_id", "ref_len", "t", F.explode(F.array_compact(ends)).alias("e")).select("ref_id", "ref_len", "t", "e.pos", "e.d")
+    # every tile has its start, whatever is aligned to it
+    tiles = refs.select("ref_id", F.col("ref_len").cast("int").alias("ref_len"), F.explode(F.sequence(F.lit(0), tile_of(F.col("ref_len")))).alias("t"))
+    events = events.unionByName(tiles.select("*", (border(F.col("t") - 1) + 1).alias("pos"), F.lit(0).alias("d")))
+    sums = events.groupBy("ref_id", "ref_len", "t", "pos").agg(F.sum("d").alias("d"))
+    w = Window.partitionBy("ref_id", "t").orderBy("pos")
+    return sums.select("ref_id", F.col("pos").alias("start"), F.coalesce(F.lead("pos").over(w) - 1, F.least(border(F.col("t")), F.col("ref_len"))).alias("end"), F.sum("d").over(w).alias("depth"))
 
 
-def depth_by_base(aln: DataFrame, refs: DataFrame) -> DataFrame:
-    """ref_id, pos, depth for each position of each reference, zeros included.
+def depth_by_base(aln: DataFrame, refs: DataFrame, tile: int = TILE) -> DataFrame:
+    """ref_id, pos, depth for each position of each reference, zeros included: the runs of depth_runs, spread out where they are."""
+    return spread_runs(depth_runs(aln, refs, tile))
 
-    An alignment adds one at its start and takes one behind its end (insertions aside, cut at the reference's end); sums over
-    (reference, position) come first, so a running sum sees two rows a position at most, however deep it is."""
-    end = F.least(F.col("pos") + C.aligned_length(F.col("cigar"), include_ins=False), F.col("ref_len") + 1)
-    spans = aln.filter(F.col("cigar").isNotNull() & (F.col("cigar") != "*")).join(refs.select("ref_id", "ref_len"), "ref_id") if "ref_len" not in aln.columns else aln.filter(F.col("cigar").isNotNull() & (F.col("cigar") != "*"))
-    events = spans.select("ref_id", F.explode(F.array(F.struct(F.col("pos").cast("int").alias("pos"), F.lit(1).alias("d")), F.struct(end.cast("int").alias("pos"), F.lit(-1).alias("d")))).alias("e"))
-    sums = events.groupBy("ref_id", F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
-    grid = refs.select("ref_id", "ref_len", F.explode(F.sequence(F.lit(1), F.col("ref_len"))).alias("pos"))
-    run = Window.partitionBy("ref_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.join(sums, ["ref_id", "pos"], "left").select("ref_id", "pos", F.sum(F.coalesce("d", F.lit(0))).over(run).alias("depth"))
 
+def spread_runs(runs: DataFrame) -> DataFrame:
+    return runs.select("ref_id", F.explode(F.sequence("start", "end")).alias("pos"), "depth")
 
-def trimmed_mean_depth(depth: DataFrame, lengths: DataFrame, ends: int = 150, share: int = 25) -> DataFrame:
-    """Mean depth of each reference without its ends and without a share of the lowest and of the highest positions.
+
+def trimmed_mean_depth(depth: DataFrame, lengths: DataFrame, ends: int = 150, share: int = 25, tile: int = TILE) -> DataFrame:
+    """Mean depth of each reference without its ends and without a share of the lowest and of the highest positions.  depth: ref_id, pos,
+    depth, or the runs of depth_runs with the same tile.
 
     k = round(n * share / 100), half to even.  low_cut and high_cut are the k-th lowest and highest depths; by position, the first k
     positions at or below low_cut and the first k at or above high_cut go.  A position at both cuts
-    (they are equal) uses up both quotas."""
-    own = Window.partitionBy("ref_id")
-    d = depth.join(lengths.select("ref_id", "ref_len"), "ref_id").filter((F.col("pos") > ends) & (F.col("pos") <= F.col("ref_len") - ends))
-    d = d.withColumn("n", F.count("*").over(own)).withColumn("k", F.bround(F.col("n") * share / 100, 0).cast("int"))
-    d = d.withColumn("up", F.row_number().over(own.orderBy("depth", "pos"))).withColumn("down", F.row_number().over(own.orderBy(F.desc("depth"), "pos")))
-    d = d.withColumn("low_cut", F.max(F.when(F.col("up") == F.col("k"), F.col("depth"))).over(own)).withColumn("high_cut", F.max(F.when(F.col("down") == F.col("k"), F.col("depth"))).over(own))
-    low, high = F.col("depth") <= F.col("low_cut"), F.col("depth") >= F.col("high_cut")
-    run = own.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("lows", F.sum(low.cast("int")).over(run)).withColumn("highs", F.sum(high.cast("int")).over(run))
-    drop = F.coalesce((low & (F.col("lows") <= F.col("k"))) | (high & (F.col("highs") <= F.col("k"))), F.lit(False))
-    kept = F.when(~drop, F.col("depth"))
-    return d.groupBy("ref_id").agg(
-        F.max("low_cut").alias("low_cut"), F.max("high_cut").alias("high_cut"), F.count(kept).alias("counted"),
-        (F.floor((F.sum(kept) * 200 + F.count(kept)) / (F.count(kept) * 2)) / 100).alias("mean_depth"),
-    )
-
-
-def gc_bias_profile(depth: DataFrame, seqs: DataFrame, window: int = 100, ends: int = 500, min_len: int = 10_000, most_n: int = 4, tile: int = 1_000_000, mask: DataFrame | None = None) -> DataFrame:
+    (they are equal) uses up both quotas.
+
+    Nothing is sorted by depth or over a whole reference: positions are counted by (reference, tile, depth); the cuts come from the counts, and
+    counts of low and high positions carried from tile to tile say where the quotas end.  Only the tiles in which one ends, two for a reference at
+    most, are read by position; for the others the counts are enough."""
+    runs = depth if "start" in depth.columns else depth.select("ref_id", F.col("pos").alias("start"), F.col("pos").alias("end"), "depth")
+    runs = runs.withColumn("t", F.floor((F.col("start") - 1) / tile)).join(lengths.select("ref_id", "ref_len"), "ref_id")
+    runs = runs.select("ref_id", "t", "depth", F.greatest(F.col("start"), F.lit(ends + 1)).alias("start"), F.least(F.col("end"), F.col("ref_len") - ends).alias("end")).filter(F.col("start") <= F.col("end"))
+    counts = cut(runs.groupBy("ref_id", "t", "depth").agg(F.sum(F.col("end") - F.col("start") + 1).alias("c")), "depth-counts")
+    own = Window.partitionBy("ref_id").orderBy("depth")
+    by_depth = counts.groupBy("ref_id", "depth").agg(F.sum("c").alias("c")).withColumns({"n": F.sum("c").over(Window.partitionBy("ref_id")), "up": F.sum("c").over(own)})
+    k = F.bround(F.col("n") * share / 100, 0).cast("long")
+    reaches = F.when((k > 0) & (F.col("up") >= k), F.col("depth")), F.when((k > 0) & (F.col("n") - F.col("up") + F.col("c") >= k), F.col("depth"))
+    cuts = by_depth.groupBy("ref_id").agg(F.max(k).alias("k"), F.min(reaches[0]).alias("low_cut"), F.max(reaches[1]).alias("high_cut"))
+
+    low, high = F.coalesce(F.col("depth") <= F.col("low_cut"), F.lit(False)), F.coalesce(F.col("depth") >= F.col("high_cut"), F.lit(False))
+    judged = counts.join(cuts, "ref_id").withColumns({"low": low, "high": high})
+    tiles = judged.groupBy("ref_id", "t").agg(F.first("k").alias("k"), F.first("low_cut").alias("low_cut"), F.first("high_cut").alias("high_cut"), *(F.sum(F.when(F.col(x), F.col("c")).otherwise(0)).alias(f"{x}s") for x in ("low", "high")))
+    run = Window.partitionBy("ref_id").orderBy("t")
+    tiles = tiles.withColumns({f"{x}s_before": F.sum(f"{x}s").over(run) - F.col(f"{x}s") for x in ("low", "high")})
+    ends_here = lambda x: (F.col(f"{x}s_before") < F.col("k")) & (F.col(f"{x}s_before") + F.col(f"{x}s") > F.col("k"))
+    tiles = cut(tiles.withColumn("split", ends_here("low") | ends_here("high")), "depth-tiles")
+
+    # whole tiles: a quota takes all of its positions or none
+    whole = judged.select("ref_id", "t", "depth", "c", "low", "high").join(tiles.filter("not split"), ["ref_id", "t"])
+    gone = (F.col("low") & (F.col("lows_before") < F.col("k"))) | (F.col("high") & (F.col("highs_before") < F.col("k")))
+    whole = whole.filter(~gone).groupBy("ref_id").agg(F.sum("c").alias("counted"), F.sum(F.col("c") * F.col("depth")).alias("total"))
+    w = Window.partitionBy("ref_id", "t").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    part = runs.join(tiles.filter("split").drop("lows", "highs"), ["ref_id", "t"]).withColumn("pos", F.explode(F.sequence("start", "end")))
+    part = part.withColumns({"lows": F.sum(low.cast("int")).over(w) + F.col("lows_before"), "highs": F.sum(high.cast("int")).over(w) + F.col("highs_before")})
+    gone = (low & (F.col("lows") <= F.col("k"))) | (high & (F.col("highs") <= F.col("k")))
+    part = part.filter(~gone).groupBy("ref_id").agg(F.count("*").alias("counted"), F.sum("depth").alias("total"))
+    sums = whole.unionByName(part).groupBy("ref_id").agg(F.sum("counted").alias("counted"), F.sum("total").alias("total"))
+    n = F.col("counted")
+    return cuts.join(sums, "ref_id", "left").select("ref_id", "low_cut", "high_cut", F.coalesce(n, F.lit(0)).alias("counted"), (F.floor((F.col("total") * 200 + n) / (n * 2)) / 100).alias("mean_depth"))
+
+
+def gc_bias_profile(depth: DataFrame, seqs: DataFrame, window: int = 100, ends: int = 500, min_len: int = 10_000, most_n: int = 4, tile: int = TILE, mask: DataFrame | None = None) -> DataFrame:
     """genome, gc, cov, n, prop: windows of each genome by GC percentage.  seqs: genome, ref_id, seq.
 
-    A sequence is cut into tiles that overlap by a window, so that a long contig is several tasks; within a tile a
-    sliding frame gives each window's depth, GC and unknown bases.  Windows that start or end in a position of `mask` (contig, pos:
-    see feature_mask_positions) are left out."""
+    A sequence is cut into tiles that overlap by a window, so that a long contig is several tasks.  A tile meets its depths once, and prefix
+    sums over its bases give the depth, GC and unknown bases of all of its windows in a few passes over arrays; what leaves it is a row for each GC
+    percentage.  Windows that start or end in `mask` (contig and pos, or contig, l and r: see feature_mask_spans) are left out."""
     s = seqs.filter(F.length("seq") >= min_len).select("genome", "ref_id", F.length("seq").alias("len"), "seq")
     # tiles are cut before rows multiply, so that no row carries the whole sequence
     tiles = F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / tile).cast("int")), lambda t: F.struct(t.alias("t"), F.substring(F.col("seq"), t * tile + 1, F.lit(tile + window - 1)).alias("seq")))
     s = s.select("genome", "ref_id", "len", F.explode(tiles).alias("c")).select("genome", "ref_id", "len", "c.t", "c.seq")
-    b = s.select("genome", "ref_id", "len", "t", F.posexplode(F.split("seq", "")).alias("i", "base")).filter("base <> ''")
-    b = b.select("genome", "ref_id", "len", "t", (F.col("t") * tile + F.col("i") + 1).alias("pos"), "base")
-    b = b.join(depth.select("ref_id", "pos", "depth"), ["ref_id", "pos"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
-    if mask is not None:
-        m = mask.select(F.col("contig").alias("ref_id"), F.col("pos").cast("int").alias("pos"), F.lit(1).alias("masked")).distinct()
-        b = b.join(m, ["ref_id", "pos"], "left")
-    return gc_bias_windows(b, window, ends, most_n, tile)
-
-
-def gc_bias_windows(bases: DataFrame, window: int, ends: int, most_n: int, tile: int = 1_000_000) -> DataFrame:
-    """bases: genome, ref_id, len, t, pos, base, depth, and masked (1 or null) if there is a mask."""
-    w = Window.partitionBy("ref_id", "t").orderBy("pos").rowsBetween(0, window - 1)
-    b = bases.withColumns({"full": F.count("*").over(w), "gc": F.sum(F.upper("base").isin("G", "C").cast("int")).over(w), "unknown": F.sum((F.upper("base") == "N").cast("int")).over(w), "sum": F.sum("depth").over(w)})
-    inside = (F.col("full") == window) & (F.col("unknown") <= most_n) & (F.col("pos") > ends) & (F.col("pos") + window - 1 <= F.col("len") - ends) & (F.col("pos") <= (F.col("t") + 1) * tile)
-    if "masked" in bases.columns:
-        b = b.withColumn("last", F.last("masked").over(w))
-        inside = inside & F.col("masked").isNull() & F.col("last").isNull()
-    k = b.filter(inside).groupBy("genome", F.floor(F.col("gc") * 100 / window).cast("int").alias("gc")).agg(F.sum("sum").alias("s"), F.count("*").alias("n"))
+    # what a tile holds: positions and their depths, ends of masked spans; a position near its tile's start is in the tile before as well
+    tile_of = lambda p: F.floor((p - 1) / tile).cast("int")
+    reach = lambda l, r: F.explode(F.sequence(F.greatest(tile_of(l - (window - 1)), F.lit(0)), tile_of(r))).alias("t")
+    pairs = lambda a, b, of: F.collect_list(F.struct(F.col(a).alias("a"), F.col(b).alias("b"))).alias(of)
+    split = lambda of, a, b: (F.col(f"{of}.a").alias(a), F.col(f"{of}.b").alias(b))
+    deep = depth.select("ref_id", F.col("pos").cast("int").alias("pos"), F.col("depth").cast("long").alias("depth"), reach(F.col("pos"), F.col("pos")))
+    deep = deep.groupBy("ref_id", "t").agg(pairs("pos", "depth", "d")).select("ref_id", "t", *split("d", "pos", "depth"))
+    s = s.join(deep, ["ref_id", "t"], "left")
+    if mask is None:
+        s = s.withColumns({"l": F.lit(None).cast("array<int>"), "r": F.lit(None).cast("array<int>")})
+    else:
+        at = (F.col("pos"), F.col("pos")) if "pos" in mask.columns else (F.col("l"), F.col("r"))
+        m = mask.select(F.col("contig").alias("ref_id"), at[0].cast("int").alias("l"), at[1].cast("int").alias("r")).select("*", reach(F.col("l"), F.col("r")))
+        s = s.join(m.groupBy("ref_id", "t").agg(pairs("l", "r", "m")).select("ref_id", "t", *split("m", "l", "r")), ["ref_id", "t"], "left")
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = lambda v: (c := np.concatenate([[0], np.cumsum(v)]))[window:] - c[:-window]
+        for b in batches:
+            genomes, percents, depths = [], [], []
+            for genome, length, t, seq, at, d, left, right in b[["genome", "len", "t", "seq", "pos", "depth", "l", "r"]].itertuples(index=False):
+                n, first = len(seq) - window + 1, int(t) * tile + 1
+                if n < 1:
+                    continue
+                base = np.frombuffer(seq.upper().encode("ascii", "replace"), np.uint8)
+                deep, masked = np.zeros(len(seq), np.int64), np.zeros(len(seq), bool)
+                if at is not None:
+                    fine = (at >= first) & (at < first + len(seq))
+                    deep[at[fine] - first] = d[fine]
+                for x, y in zip(left, right, strict=True) if left is not None else ():
+                    masked[max(x - first, 0) : max(y - first + 1, 0)] = True
+                pos = first + np.arange(n)
+                inside = (sums(base == 78) <= most_n) & (pos > ends) & (pos + window - 1 <= length - ends) & (pos < first + tile) & ~masked[:n] & ~masked[window - 1 :]
+                percents.append(sums((base == 71) | (base == 67))[inside] * 100 // window)
+                depths.append(sums(deep)[inside])
+                genomes.append(np.full(len(percents[-1]), len(genomes)))
+            if genomes:
+                own = pd.DataFrame({"at": np.concatenate(genomes), "gc": np.concatenate(percents), "s": np.concatenate(depths)})
+                own["genome"] = b["genome"].to_numpy()[[i for i, seq in enumerate(b["seq"]) if len(seq) >= window]][own["at"]]
+                yield own.groupby(["genome", "gc"], as_index=False, dropna=False).agg(s=("s", "sum"), n=("s", "size"))
+
+    kind = seqs.schema["genome"].dataType.simpleString()
+    parts = s.mapInPandas(windows, f"genome {kind}, gc int, s long, n long")
+    k = parts.groupBy("genome", "gc").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     total = F.sum("n").over(Window.partitionBy("genome"))
     return k.select("genome", "gc", (F.col("s") / (F.col("n") * window)).alias("cov"), "n", (F.floor(F.col("n") * 10000 / total + 0.5) / 10000).alias("prop"))
 
@@ -99,19 +173,39 @@ def gc_normalised_depth(markers: DataFrame, profile: DataFrame) -> DataFrame:
     return m.select("marker", "genome", "depth", (F.col("depth") / F.nullif(ratio, F.lit(0.0))).alias("depth_norm"))
 
 
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """contig, l, r: the union of closed intervals, touching ones joined, by a running maximum of their ends."""
+    w = Window.partitionBy("contig").orderBy("l", "r")
+    s = spans.select("contig", "l", "r").withColumn("reach", F.max("r").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    s = s.withColumn("island", F.sum(F.coalesce((F.col("l") > F.col("reach") + 1).cast("int"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return s.groupBy("contig", "island").agg(F.min("l").alias("l"), F.max("r").alias("r")).drop("island")
+
+
 def depth_in_features(depth: DataFrame, features: DataFrame, bin_size: int = 1000) -> DataFrame:
-    """depth rows within a feature (contig, l, r), once each: an equi-join on bins of positions, then the range."""
-    bins = F.explode(F.sequence(F.floor(F.col("l") / bin_size), F.floor(F.col("r") / bin_size)))
-    f = features.select(F.col("contig").alias("__c"), "l", "r", bins.alias("__b"))
-    d = depth.withColumn("__b", F.floor(F.col("pos") / bin_size))
-    hit = (F.col("ref_id") == F.col("__c")) & (d["__b"] == f["__b"]) & F.col("pos").between(F.col("l"), F.col("r"))
-    return d.join(f, hit, "left_semi").drop("__b")
+    """depth rows within a feature (contig, l, r), once each.
+
+    Features are united, and a span is indexed by bins of the narrowest width bin_size * 8 ** i that is not shorter than itself: two rows at most,
+    however long it is.  A position looks into one bin of each width that occurs, so the join is an equi-join on (contig, width, bin), then the range."""
+    level = F.greatest(F.ceil(F.log2((F.col("r") - F.col("l") + 1) / bin_size) / 3), F.lit(0)).cast("int")
+    spans = merged_spans(features).filter("l <= r").withColumn("level", level)
+    at = lambda p, i: F.floor(p / (bin_size * F.pow(F.lit(8), i)))
+    bins = spans.select(F.col("contig").alias("__c"), "l", "r", F.col("level").alias("__i"), F.explode(F.array_distinct(F.array(at(F.col("l"), F.col("level")), at(F.col("r"), F.col("level"))))).alias("__b"))
+    levels = sorted(r[0] for r in spans.select("level").distinct().collect())  # widths that occur: a dozen at most
+    if not levels:
+        return depth.limit(0)
+    d = depth.withColumn("__l", F.explode(F.array(*map(F.lit, levels)))).withColumn("__b", at(F.col("pos"), F.col("__l")))
+    hit = (F.col("ref_id") == F.col("__c")) & (F.col("__l") == F.col("__i")) & (d["__b"] == bins["__b"]) & F.col("pos").between(F.col("l"), F.col("r"))
+    return d.join(bins, hit, "left_semi").drop("__b", "__l")
+
+
+def feature_mask_spans(features: DataFrame, before: int = 100) -> DataFrame:
+    """contig, l, r: the union of spans from `before` in front of a feature (1 at least) to its end."""
+    return merged_spans(features.select("contig", F.greatest(F.lit(1), F.col("l") - before).alias("l"), "r").filter("l <= r"))
 
 
 def feature_mask_positions(features: DataFrame, before: int = 100) -> DataFrame:
-    """(contig, pos) from `before` in front of a feature to its end, 1 at least."""
-    at = F.explode(F.sequence(F.greatest(F.lit(1), F.col("l") - before), F.col("r")))
-    return features.select("contig", at.alias("pos")).distinct()
+    """(contig, pos): the positions of feature_mask_spans.  The spans do not overlap, so positions need no distinct."""
+    return feature_mask_spans(features, before).select("contig", F.explode(F.sequence("l", "r")).alias("pos"))
 
 
 def top_n_mean_depth(depth: DataFrame, n: int = 13) -> DataFrame:
@@ -176,7 +270,7 @@ def copy_numbers(
     between them (optimal_copy_number)."""
 
     def side(a: DataFrame, name: str) -> DataFrame:
-        depth = depth_by_base(a, refs)
+        depth = spread_runs(cut(depth_runs(a, refs), "depth"))  # read three times
         mean = trimmed_mean_depth(depth, refs, ends, share).select("ref_id", F.col("mean_depth").alias("depth"))
         ratio = var_con_coverage(depth, regions).select("ref_id", "ratio")
         out = links.join(markers, "marker").join(profile.select("genome", "gc_genome").distinct(), "genome").join(mean, F.col("marker") == F.col("ref_id")).drop("ref_id")

@@ -185,11 +185,24 @@ def recruit_reads(reads: DataFrame, refs: DataFrame, key: str, seq: str, k: int,
 
 
 def msa_sparse_column_filter(rows: DataFrame, key: str, seq: str, window: int = 25, least: float = 0.01) -> DataFrame:
-    """Aligned rows without those that fill a sparse stretch: a window of columns in which under a share of `least` of all rows
-    have a letter; rows with one there go."""
+    """Aligned rows without those that fill a sparse stretch.  A window of columns, at every start that leaves it whole, is sparse if under a share of
+    `least` of all rows (as a percentage of three decimals) have a letter in it; rows with a letter in a sparse window go.
+
+    A row's letters make islands, which gaps of `window` columns or more part; an island from a to b is in the windows that start at
+    a - window + 1 to b.  So a row is a few intervals of starts, not a row for each window: their ends are counted by column, a running
+    sum over columns (as many as the alignment is wide) gives the rows in each window, and sparse starts are joined to spans again."""
+    at = F.filter(F.transform(F.split(seq, ""), lambda c, i: F.when((c != "-") & (c != ""), i + 1)), lambda i: i.isNotNull())
+    last = F.length(seq) - window + 1
+    firsts = F.filter(F.transform("__at", lambda p, i: F.when((i == 0) | (p - F.coalesce(F.get("__at", i - 1), F.lit(0)) > window), p)), lambda p: p.isNotNull())
+    lasts = F.filter(F.transform("__at", lambda p, i: F.when((i == F.size("__at") - 1) | (F.coalesce(F.get("__at", i + 1), F.lit(0)) - p > window), p)), lambda p: p.isNotNull())
+    spans = F.filter(F.zip_with(firsts, lasts, lambda a, b: F.struct(F.greatest(a - window + 1, F.lit(1)).alias("l"), F.least(b, last).alias("r"))), lambda x: x["l"] <= x["r"])
+    found = rows.select(key, last.alias("__last"), at.alias("__at"), seq).select(key, F.explode(spans).alias("s")).select(key, "s.l", "s.r")
+    events = found.select(F.explode(F.array(F.struct(F.col("l").alias("at"), F.lit(1).alias("d")), F.struct((F.col("r") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e"))
+    events = events.groupBy("e.at").agg(F.sum("e.d").alias("d"))
+    columns = Window.partitionBy(F.lit(0)).orderBy("at")  # over columns, not rows
+    runs = events.select("at", F.sum("d").over(columns).alias("n"), (F.lead("at").over(columns) - 1).alias("to"))
     total = rows.agg(F.count("*").alias("total"))
-    starts = F.sequence(F.lit(1), F.length(seq), F.lit(window))
-    cells = rows.select(key, F.explode(F.transform(starts, lambda i: F.struct(i.alias("w"), F.substring(F.col(seq), i, F.lit(window)).alias("s")))).alias("c")).select(key, "c.w", F.col("c.s").rlike("[^-]").alias("full"))
-    filled = cells.filter("full")
-    sparse = filled.groupBy("w").agg(F.count("*").alias("n")).join(F.broadcast(total)).filter(F.col("n") < F.col("total") * least).select("w")
-    return rows.join(filled.join(sparse, "w", "left_semi").select(key).distinct(), key, "left_anti")
+    sparse = runs.join(F.broadcast(total)).filter((F.col("n") > 0) & (F.floor((F.col("n") * 200_000 + F.col("total")) / (F.col("total") * 2)) < least * 100_000))
+    spots = sparse.agg(F.collect_list(F.struct("at", "to")).alias("__spots"))  # one row, bounded by the width of the alignment
+    bad = found.join(F.broadcast(spots)).filter(F.exists("__spots", lambda x: (x["at"] <= F.col("r")) & (F.col("l") <= x["to"])))
+    return rows.join(bad.select(key).distinct(), key, "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import depth as D
 from ..operators import regions as G
+from ..operators.groups import cut
 from .registry import query
 from .sqltext import op_len, pct
 
@@ -15,13 +16,12 @@ BY_BASE = f"{REFS}, grid as (select ref_id, ref_len, unnest(range(1, ref_len + 1
 
 def marker_depth(fx):
     a = fx("fx_aln").filter("side = 'marker'")
-    refs = a.select("ref_id", "ref_len").distinct()
-    return D.depth_by_base(a, refs), refs
+    return D.depth_by_base(a, a.select("ref_id", "ref_len").distinct())
 
 
 @query("depth_by_base", "select ref_id, cast(pos as int) as pos, depth from dep", BY_BASE)
 def _(fx):
-    return marker_depth(fx)[0]
+    return marker_depth(fx)
 
 
 TRIM = f"""{BY_BASE}, inner_d as (select *, count(*) over (partition by ref_id) as n from dep where pos > 150 and pos <= ref_len - 150),
@@ -32,8 +32,9 @@ runs as (select *, count(*) filter (where depth <= low_cut) over (partition by r
 
 @query("trimmed_mean_depth", "select ref_id, max(low_cut) as low_cut, max(high_cut) as high_cut, count(*) filter (where not dropped) as counted, floor((sum(depth) filter (where not dropped) * 200 + count(*) filter (where not dropped)) / (2 * count(*) filter (where not dropped))) / 100 as mean_depth from (select *, coalesce((depth <= low_cut and lows <= k) or (depth >= high_cut and highs <= k), false) as dropped from runs) group by ref_id", TRIM)
 def _(fx):
-    d, refs = marker_depth(fx)
-    return D.trimmed_mean_depth(d, refs)
+    a = fx("fx_aln").filter("side = 'marker'")
+    refs = cut(a.select("ref_id", "ref_len").distinct(), "refs")
+    return D.trimmed_mean_depth(cut(D.depth_runs(a, refs), "depth"), refs)
 
 
 # sequences of one genome each, and one base per position with the depth of a derived track
@@ -48,7 +49,7 @@ def profile(fx):
     s = fx("fx_seq").select((F.col("seq_id") % 20).alias("genome"), F.concat(F.lit("S"), F.col("seq_id").cast("string")).alias("ref_id"), "seq", "seq_id")
     depth = s.select("ref_id", "seq_id", F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("pos")).select("ref_id", "pos", ((F.col("seq_id") * 13 + F.col("pos") * 7) % 60).alias("depth"))
     found = s.filter(F.length("seq") > 100).select(F.col("ref_id").alias("contig"), (40 + F.col("seq_id") % 7).cast("int").alias("l"), (45 + F.col("seq_id") % 7).cast("int").alias("r"))
-    return D.gc_bias_profile(depth, s.drop("seq_id"), window=20, ends=5, min_len=50, mask=D.feature_mask_positions(found, 10))
+    return D.gc_bias_profile(depth, s.drop("seq_id"), window=20, ends=5, min_len=50, mask=D.feature_mask_spans(found, 10))
 
 
 @query("gc_bias_profile", "select genome, gc, cov, n, floor(n * 10000 / sum(n) over (partition by genome) + 0.5) / 10000 as prop from prof", BASES)
@@ -200,5 +201,5 @@ def _(fx):
     links = fx("fx_links").filter("n >= 30").select("marker", (F.substring("genome", 2, 9).cast("int") % 20).alias("genome")).distinct()
     markers = fx("fx_markers").select("marker", (40 + n % 3 * 5 + 0.25).alias("gc_marker"))
     regions = positions(fx).select(F.concat(F.lit("M"), F.col("seq_id").cast("string")).alias("ref_id"), "kind", "pos")
-    out = D.copy_numbers(a, a, a.select("ref_id", "ref_len").distinct(), regions, markers, profile(fx).withColumn("gc_genome", F.lit(44.75)), links)
+    out = D.copy_numbers(a, a, cut(a.select("ref_id", "ref_len").distinct(), "refs"), regions, markers, cut(profile(fx), "profile").withColumn("gc_genome", F.lit(44.75)), links)
     return out.withColumns({c: F.round(c, 6) for c in ("best_depth", "genome_depth", "copies")})
