@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.cigar import percent
+from ..functions.sequence import reverse_complement
 from .groups import cut
 
 
@@ -47,23 +52,27 @@ def linear_fit(df: DataFrame, y: str, x: str) -> DataFrame:
     return df.agg(c("regr_slope").alias("slope"), c("regr_intercept").alias("intercept"), c("regr_r2").alias("r2"))
 
 
-def average_rank(df: DataFrame, col: str, name: str) -> DataFrame:
-    """df with the average rank of col (ties share theirs).  Ranks come from counts of distinct values, which
-    partial aggregation shrinks first, and their running sum by ranges: no single task sorts all rows."""
-    counts = df.groupBy(col).agg(F.count("*").alias("__c"))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def running_counts(counts: DataFrame, col: str, n: str, name: str) -> DataFrame:
+    """counts (a row for each distinct value of col) with the sum of n before it, by ranges of col: no single task sorts all values."""
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # written once: the bounds of ranges come from samples and may differ from run to run
-    parts = cut(counts.repartitionByRange(n, col).withColumn("__p", F.spark_partition_id()), "ranks")
-    sums = {r["__p"]: r["s"] for r in parts.groupBy("__p").agg(F.sum("__c").alias("s")).collect()}  # a row for each partition
+    dealt = cut(counts.repartitionByRange(parts, col).withColumn("__p", F.spark_partition_id()), "ranks")
+    sums = {r["__p"]: r["s"] for r in dealt.groupBy("__p").agg(F.sum(n).alias("s")).collect()}  # a row for each partition
     before, at = {}, 0
     for p in sorted(sums):
         before[p] = at
         at += sums[p]
     if not before:
-        return df.withColumn(name, F.lit(0.0))
-    base = F.element_at(F.create_map(*(x for p, b in before.items() for x in (F.lit(p), F.lit(float(b))))), F.col("__p"))
-    run = F.sum("__c").over(Window.partitionBy("__p").orderBy(col))
-    ranks = parts.select(F.col(col).alias("__v"), (base + run - (F.col("__c") - 1) / 2).alias(name))
+        return counts.withColumn(name, F.lit(0).cast("long"))
+    base = F.element_at(F.create_map(*(x for p, b in before.items() for x in (F.lit(p), F.lit(b).cast("long")))), F.col("__p"))
+    return dealt.withColumn(name, base + F.sum(n).over(Window.partitionBy("__p").orderBy(col)) - F.col(n)).drop("__p")
+
+
+def average_rank(df: DataFrame, col: str, name: str) -> DataFrame:
+    """df with the average rank of col (ties share theirs).  Ranks come from counts of distinct values, which
+    partial aggregation shrinks first, and their running sum by ranges."""
+    counts = running_counts(df.groupBy(col).agg(F.count("*").alias("__c")), col, "__c", "__before")
+    ranks = counts.select(F.col(col).alias("__v"), (F.col("__before") + (F.col("__c") + 1) / 2).alias(name))
     return df.join(ranks, df[col] == ranks["__v"]).drop("__v")
 
 
@@ -82,12 +91,20 @@ def normal_tail(z: Column) -> Column:
 
 
 def mann_whitney_u(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """u of the first sample, z of its normal approximation (without tie correction) and its two-sided p-value."""
-    both = a.select(F.col(value).alias("v"), F.lit(1).alias("s")).unionByName(b.select(F.col(value).alias("v"), F.lit(0).alias("s")))
-    r = average_rank(both, "v", "r").agg(F.sum("s").alias("n1"), F.sum(1 - F.col("s")).alias("n2"), F.sum(F.when(F.col("s") == 1, F.col("r")).otherwise(0.0)).alias("sum"))
-    r = r.select("n1", "n2", (F.col("sum") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"))
-    r = r.withColumn("z", (F.col("u") - F.col("n1") * F.col("n2") / 2) / F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12))
-    return r.withColumn("p", normal_tail(F.col("z")))
+    """n1, n2, u of the first sample, z of its normal approximation and the two-sided p-value.
+
+    The variance is corrected for ties, the difference from the mean is drawn in by a half (continuity).  Both samples are counted by distinct value first, so
+    ranks and ties come from counts; without any spread p is 1."""
+    one = lambda df, x, y: df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c")).filter("v is not null").select("v", (F.col("c") * x).alias("x"), (F.col("c") * y).alias("y"))
+    counts = one(a, 1, 0).unionByName(one(b, 0, 1)).groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    ranked = running_counts(counts.withColumn("t", F.col("x") + F.col("y")), "v", "t", "before")
+    t = F.col("t").cast("double")
+    r = ranked.agg(F.coalesce(F.sum("x"), F.lit(0)).alias("n1"), F.coalesce(F.sum("y"), F.lit(0)).alias("n2"), F.sum(F.col("x") * (F.col("before") + (t + 1) / 2)).alias("sum"), F.sum(t * t * t - t).alias("ties"))
+    n1, n2, n = F.col("n1"), F.col("n2"), F.col("n1") + F.col("n2")
+    r = r.withColumn("u", F.col("sum") - n1 * (n1 + 1) / 2)
+    off, spread = F.col("u") - n1 * n2 / 2, n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1)))
+    z = F.when(spread > 0, F.signum(off) * F.greatest(F.abs(off) - 0.5, F.lit(0.0)) / F.sqrt(spread)).otherwise(F.when((n1 > 0) & (n2 > 0), 0.0))
+    return r.select("n1", "n2", "u", z.alias("z")).withColumn("p", normal_tail(F.col("z")))
 
 
 def histogram_filtered(df: DataFrame, value: str, confidence: str, least: float, width: float, high: float = 90.0) -> DataFrame:
@@ -145,11 +162,17 @@ def well_assigned(hits: DataFrame, ref: str = "ref_id", read: str = "read_base")
 # ---------------------------------------------------------------- k-mers
 
 
-def kmers(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
-    """(key, kmer), distinct within a row."""
+def canonical_kmers(seq: Column, k: int) -> Column:
+    """Distinct hashes of a sequence's k-mers, each the lesser of itself and its reverse complement, so that both strands agree."""
+    back = reverse_complement(seq)
     at = F.sequence(F.lit(1), F.length(seq) - k + 1)
-    each = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring(F.col(seq), i, F.lit(k)))))
-    return df.filter(F.length(seq) >= k).select(key, F.explode(each).alias("kmer"))
+    each = F.transform(at, lambda i: F.xxhash64(F.least(F.substring(seq, i, F.lit(k)), F.substring(back, F.length(seq) - k + 2 - i, F.lit(k)))))
+    return F.when(F.length(seq) >= k, F.array_distinct(each))
+
+
+def kmers(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
+    """(key, kmer), distinct within a row; both strands alike."""
+    return df.filter(F.length(seq) >= k).select(key, F.explode(canonical_kmers(F.col(seq), k)).alias("kmer"))
 
 
 def sequence_classes(df: DataFrame, key: str, seq: str) -> DataFrame:
@@ -158,30 +181,80 @@ def sequence_classes(df: DataFrame, key: str, seq: str) -> DataFrame:
     return df.select(key, F.xxhash64(seq).alias("__h"), seq).join(least, ["__h", seq]).select(key, "representative")
 
 
-def kmer_similarity_join(df: DataFrame, key: str, seq: str, k: int, least: float) -> DataFrame:
-    """(a, b, sim) with a < b: pairs of sequences whose k-mer sets have a Jaccard index of `least` or more.  Equal sequences are one,
+def kmer_similarity_join(df: DataFrame, key: str, seq: str, k: int, least: float, block: int = 512) -> DataFrame:
+    """(a, b, sim) with a < b: pairs of sequences whose sets of canonical k-mers have a Jaccard index of `least` or more, on either strand.  Equal sequences are one,
     named by their least key (sequence_classes says who belongs to it), so copies do not multiply.
 
     Prefix filtering: by rarest k-mer first, a set's first n - ceil(least * n) + 1 k-mers must meet one of the other's, so only
-    those are joined, and k-mers that everything holds stay out of the join.  The sizes of found pairs are then counted exactly."""
-    rows = kmers(df.groupBy(seq).agg(F.min(key).alias(key)), key, seq, k)
+    those are joined, and k-mers that everything holds stay out of the join.  Positional filtering: a pair's first common k-mer leaves room for one
+    more than the rest of either set; if that is too little for the index, the pair is dropped where it is found.  A k-mer in the prefixes of
+    more than `block` sequences is dealt to pairs of blocks of about that size, so no key of the join is larger, whatever a family of
+    near-equal sequences shares.  Pairs that are left are verified on their whole sets."""
+    sets = cut(df.groupBy(seq).agg(F.min(key).alias(key)).filter(F.length(seq) >= k).select(key, canonical_kmers(F.col(seq), k).alias("set")).withColumn("n", F.size("set")), "kmers")
+    rows = sets.select(key, "n", F.explode("set").alias("kmer"))
     seen = rows.groupBy("kmer").agg(F.count("*").alias("df")).filter("df > 1")
-    sized = rows.withColumn("n", F.count("*").over(Window.partitionBy(key)))
     # k-mers of one row only come first; they match nothing, so only their number matters
     order = Window.partitionBy(key).orderBy("df", "kmer")
-    ranked = sized.join(seen, "kmer").withColumn("shared", F.count("*").over(Window.partitionBy(key))).withColumn("i", F.row_number().over(order) + F.col("n") - F.col("shared"))
-    prefix = ranked.filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(key, "kmer", "n")
-    a, b = prefix.toDF("a", "kmer", "na"), prefix.toDF("b", "kmer", "nb")
-    found = a.join(b, "kmer").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least)).select("a", "b", "na", "nb").distinct()
-    mine = ranked.select(F.col(key), "kmer")
-    common = found.join(mine.toDF("a", "kmer"), "a").join(mine.toDF("b", "kmer"), ["b", "kmer"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    ranked = rows.join(seen, "kmer").withColumn("shared", F.count("*").over(Window.partitionBy(key))).withColumn("i", F.row_number().over(order) + F.col("n") - F.col("shared"))
+    blocks = F.ceil(F.col("df") / block).cast("int")
+    prefix = ranked.filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(F.col(key).alias("key"), "kmer", "n", "i", blocks.alias("blocks"), F.pmod(F.xxhash64(F.col(key)), blocks).cast("int").alias("own"))
+    prefix = cut(prefix, "prefixes")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = prefix.select(F.col("key").alias("a"), "kmer", F.col("own").alias("x"), every.alias("y"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    b = prefix.select(F.col("key").alias("b"), "kmer", every.alias("x"), F.col("own").alias("y"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    room = 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    fits = (F.least("na", "nb") >= F.greatest("na", "nb") * least) & (room * (1 + least) >= (F.col("na") + F.col("nb")) * least - 1e-9)
+    found = a.join(b, ["kmer", "x", "y"]).filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    of = lambda side: sets.select(F.col(key).alias(side), F.col("set").alias(f"set_{side}"), F.col("n").alias(f"n{side}"))
+    common = found.join(of("a"), "a").join(of("b"), "b").withColumn("c", F.size(F.array_intersect("set_a", "set_b")))
     return common.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("sim")).filter(F.col("sim") >= least)
 
 
-def recruit_reads(reads: DataFrame, refs: DataFrame, key: str, seq: str, k: int, least: int) -> DataFrame:
-    """(key, n): rows that share `least` k-mers or more with any of the references."""
+BLOOM_BITS, BLOOM_HASHES = 1 << 27, 4  # at most 16 MB are broadcast
+
+
+def bloom_filter(values: DataFrame, column: str, bits_each: int = 10, most_bits: int = BLOOM_BITS) -> Callable[[Column], Column] | None:
+    """A function that keeps, of an array of 64-bit hashes, those that `values` may hold (about one in a hundred of the others); None if the filter
+    would need more than most_bits.  Words of bits are joined where their hashes are; what reaches the driver has that bound."""
+    spark = values.sparkSession
+    n = values.agg(F.approx_count_distinct(column)).first()[0]
+    bits = (n * bits_each // 64 + 1) * 64
+    if bits > most_bits:
+        return None
+    low, high = F.col(column).bitwiseAND(0x7FFFFFFF), F.shiftrightunsigned(column, 33)
+    spots = F.explode(F.array(*((low + high * i) % bits for i in range(BLOOM_HASHES))))
+    words = values.select(spots.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("v")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(table.view(np.uint64))
+
+    @F.pandas_udf("array<long>")
+    def kept(arrays: pd.Series) -> pd.Series:
+        sizes = [0 if a is None else len(a) for a in arrays]
+        if not sum(sizes):
+            return pd.Series([[] for _ in sizes], dtype=object)
+        h = np.concatenate([a for a in arrays if a is not None]).astype(np.int64).view(np.uint64)
+        low, high, fine = h & np.uint64(0x7FFFFFFF), h >> np.uint64(33), np.ones(len(h), bool)
+        for i in range(BLOOM_HASHES):
+            p = (low + high * np.uint64(i)) % np.uint64(bits)
+            fine &= (shared.value[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+        cuts = np.cumsum(sizes)[:-1]
+        return pd.Series([v[f] for v, f in zip(np.split(h.view(np.int64), cuts), np.split(fine, cuts), strict=True)], dtype=object)
+
+    return kept
+
+
+def recruit_reads(reads: DataFrame, refs: DataFrame, key: str, seq: str, k: int, least: int, most_bits: int = BLOOM_BITS) -> DataFrame:
+    """(key, n): rows that share `least` canonical k-mers or more with any of the references, on either strand.
+
+    A Bloom filter of the references' k-mers goes to the reads, so that k-mers of unrelated reads are dropped where they are and never shuffled; so are reads
+    with fewer than `least` left.  An exact join decides on the rest.  References too many for the filter's bound meet the reads by the join alone."""
     known = kmers(refs, key, seq, k).select("kmer").distinct()
-    return kmers(reads, key, seq, k).join(known, "kmer", "left_semi").groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    may = bloom_filter(known, "kmer", most_bits=most_bits)
+    sets = reads.filter(F.length(seq) >= k).select(key, canonical_kmers(F.col(seq), k).alias("set"))
+    if may is not None:
+        sets = sets.select(key, may(F.col("set")).alias("set")).filter(F.size("set") >= least)
+    return sets.select(key, F.explode("set").alias("kmer")).join(known, "kmer", "left_semi").groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def msa_sparse_column_filter(rows: DataFrame, key: str, seq: str, window: int = 25, least: float = 0.01) -> DataFrame:

@@ -58,6 +58,8 @@ from (select concat('C', cast(p_partkey as string)) as ref_id, p_partkey as k, e
        else concat(substr(base, 1, 32), own, md5(own)) end, '0123456789abcdef', 'ACGTACGTACGTACGN') as seq
 from (select doc_id as seq_id, concat(md5(concat(cast(floor(doc_id / 4.0) as int), 'a')), md5(concat(cast(floor(doc_id / 4.0) as int), 'b')), md5(concat(cast(floor(doc_id / 4.0) as int), 'c'))) as base,
         md5(concat(cast(doc_id as string), 'own')) as own from documents) t""",
+    # the same, one sequence in eight read from the other strand
+    "fx_strands": """select seq_id, case when seq_id % 8 = 1 then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end as seq from fx_seq""",
     # seven-column BLAST-like hits between query and subject sequences
     "fx_hits": """select concat('Q', cast(cast(floor(l_orderkey / 50.0) as int) as string)) as query, concat('R', cast(l_partkey % 40 as string)) as subject,
   cast(95 + (l_partkey % 51) * 0.1 as double) as iden, cast(100 + (l_suppkey * 37 + l_orderkey) % 2000 as int) as aln_len,

@@ -60,7 +60,16 @@ def _(fx):
     return T.spearman(one(F.col("l_orderkey") % 3 != 0), one(F.col("l_orderkey") % 3 != 1), "l_partkey", "v").withColumn("rho", F.round("rho", 8))
 
 
-@query("mann_whitney_u", "select n1, n2, u, round(z, 6) as z, round(t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z / 2), 6) as p from (select *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) as t from (select *, (u - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12) as z from (select count(*) filter (where s = 1) as n1, count(*) filter (where s = 0) as n2, sum(case when s = 1 then r else 0 end) - count(*) filter (where s = 1) * (count(*) filter (where s = 1) + 1) / 2 as u from (select s, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2 as r from (select cast(floor(l_quantity) as int) as v, case when l_linenumber <= 2 then 1 else 0 end as s from lineitem)))))")
+TIED = """v as (select cast(floor(l_quantity) as int) as v, case when l_linenumber <= 2 then 1 else 0 end as s from lineitem),
+c as (select v, cast(count(*) filter (where s = 1) as double) as x, cast(count(*) as double) as t from v group by 1),
+r as (select *, sum(t) over (order by v) - t + (t + 1) / 2 as r from c),
+g as (select sum(x) as n1, sum(t) - sum(x) as n2, sum(t) as n, sum(x * r) as total, sum(t * t * t - t) as ties from r),
+m as (select *, total - n1 * (n1 + 1) / 2 as u from g),
+w as (select *, sign(u - n1 * n2 / 2) * greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))) as z from m),
+e as (select *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) as k from w)"""
+
+
+@query("mann_whitney_u", "select cast(n1 as bigint) as n1, cast(n2 as bigint) as n2, u, round(z, 6) as z, round(k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429)))) * exp(-z * z / 2), 6) as p from e", TIED)
 def _(fx):
     li = fx.table("lineitem").withColumn("v", F.floor("l_quantity").cast("int"))
     return T.mann_whitney_u(li.filter("l_linenumber <= 2"), li.filter("l_linenumber > 2"), "v").withColumns({"z": F.round("z", 6), "p": F.round("p", 6)})
@@ -97,26 +106,25 @@ def _(fx):
     return T.well_assigned(fx("fx_aln").filter("side = 'marker'"))
 
 
-KMERS = "km as (select distinct seq_id, substr(seq, i, 8) as kmer from (select *, unnest(range(1, length(seq) - 6)) as i from fx_seq))"
-
-
-ONE_KMERS = KMERS.replace("from fx_seq", "from (select min(seq_id) as seq_id, seq from fx_seq group by seq)")
+# a k-mer is the lesser of itself and its reverse complement
+KMERS = "km as (select distinct seq_id, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) as kmer from (select seq_id, substr(seq, i, 8) as kmer from (select *, unnest(range(1, length(seq) - 6)) as i from fx_strands)))"
+ONE_KMERS = KMERS.replace("from fx_strands", "from (select min(seq_id) as seq_id, seq from fx_strands group by seq)")
 
 
 @query("kmer_similarity_join", "select a.seq_id as a, b.seq_id as b, count(*) * 1.0 / (max(na.n) + max(nb.n) - count(*)) as sim from km a join km b on a.kmer = b.kmer and a.seq_id < b.seq_id join (select seq_id, count(*) as n from km group by 1) na on na.seq_id = a.seq_id join (select seq_id, count(*) as n from km group by 1) nb on nb.seq_id = b.seq_id group by 1, 2 having count(*) * 1.0 / (max(na.n) + max(nb.n) - count(*)) >= 0.1", ONE_KMERS)
 def _(fx):
-    return T.kmer_similarity_join(fx("fx_seq"), "seq_id", "seq", 8, 0.1)
+    return T.kmer_similarity_join(fx("fx_strands"), "seq_id", "seq", 8, 0.1)
 
 
 @query("recruit_reads", "select seq_id, count(*) as n from km where kmer in (select kmer from km where seq_id % 10 = 0) group by 1 having count(*) >= 3", KMERS)
 def _(fx):
-    s = fx("fx_seq")
+    s = fx("fx_strands")
     return T.recruit_reads(s, s.filter("seq_id % 10 = 0"), "seq_id", "seq", 8, 3)
 
 
 @query("similarity_cluster")
 def _(fx):
-    s = fx("fx_seq")
+    s = fx("fx_strands")
     of = T.sequence_classes(s, "seq_id", "seq")
     first = s.join(of.select(F.col("representative").alias("seq_id")).distinct(), "seq_id", "left_semi")
     found = A.similarity_cluster(first.select(F.col("seq_id").alias("id"), F.length("seq").cast("long").alias("size")), T.kmer_similarity_join(s, "seq_id", "seq", 8, 0.1), 0.1)
