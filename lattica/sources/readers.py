@@ -6,6 +6,7 @@ driver.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.groups import cut, shared_dir
+from .fastq import FastqSource, list_files
 
 
 def stored(df: DataFrame, write: Callable[[DataFrame, str], None], name: str) -> str:
@@ -91,18 +93,10 @@ def write_genome_dir(df: DataFrame, path: str) -> None:
     df.select("genome", F.concat(F.lit(">"), "id", F.lit("\n"), "seq").alias("value")).write.partitionBy("genome").text(path)
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """id, seq, qual.  Records are four lines; `@` may begin a quality line, so lines are counted within their file
-    rather than split at it, and the four of a record meet by (file, number)."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), "value").filter("value <> ''")
-    # line numbers: within a split by running id, then what earlier splits of the file hold
-    w = Window.partitionBy("f", "b").orderBy("i")
-    local = raw.withColumn("k", F.row_number().over(w) - 1)
-    sizes = local.groupBy("f", "b").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("start", F.sum("n").over(Window.partitionBy("f").orderBy("b")) - F.col("n")).drop("n")
-    lines = local.join(before, ["f", "b"]).withColumn("k", F.col("k") + F.col("start"))
-    r = lines.withColumn("part", F.col("k") % 4).groupBy("f", F.floor(F.col("k") / 4).alias("r")).pivot("part", [0, 1, 3]).agg(F.first("value"))
-    return r.select(F.regexp_extract("0", r"^@(\S*)", 1).alias("id"), F.col("1").alias("seq"), F.col("3").alias("qual"))
+def read_fastq(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
+    """id, seq, qual of the four-line records of a file, folder or glob, in one pass: byte ranges of split_bytes are tasks (see fastq)."""
+    spark.dataSource.register(FastqSource)
+    return spark.read.format(FastqSource.name()).option("files", json.dumps(list_files(spark, path))).option("split", split_bytes).load()
 
 
 def write_fastq(df: DataFrame, path: str) -> None:
