@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from .common import cut, partitions
 
-ARITY, DEEP = 3, 4
+ARITY, DEEP = 3, 3
 
 
 def h(*parts: Column) -> Column:
