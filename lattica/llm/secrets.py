@@ -27,6 +27,7 @@ with equal starts come by kind; repeated rows are judged each; an empty table gi
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,25 +50,80 @@ CELLS64 = [0 if c in "aeiou" else 1 if c in "tnshrdl" else 2 if c.islower() else
 CELLS32 = [0 if c in "AEIOU" else 1 if c in "TNSHRDL" else 2 if c.isupper() else 3 for c in BASE64[:26] + "234567"]
 SHARES = {16: [1 / 16] * 16, 32: [CELLS32.count(i) / 32 for i in range(4)], 64: [CELLS64.count(i) / 64 for i in range(6)]}
 NONE = "array<struct<start:int,kind:int,end:int>>"
+TOKENS = "array<struct<start:int,kind:int,end:int,token:string>>"
+CHUNK = 4096  # characters; a piece of a text is cut out of these, as finding a place in a text reads all before it
 
 
-def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 1) -> Column:
-    """array<struct<start, kind, end>> of the matches whose group has `least` characters or more.
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
-    Text between the matches (split) and the matches alternate; a fold over their lengths gives positions."""
+
+def running(values: Column, combine: Callable[[Column, Column], Column], least: int) -> Column:
+    """Running combination (a sum or a maximum) of an array of integers.
+
+    An array that grows by one is copied by every step, so the array is cut into about sqrt(n) blocks of sqrt(n): each is combined by itself, then the
+    last values of the blocks, and these go into the blocks behind them.  n ** 1.5 copies in all, a second or so for 100,000."""
+
+    def plain(part: Column) -> Column:
+        step = lambda out, x: F.concat(out, F.array(combine(x, F.coalesce(F.get(out, F.size(out) - 1), F.lit(least)))))
+        return F.aggregate(part, F.array().cast("array<int>"), step)
+
+    def blocks(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int")
+        parts = let(width, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / w).cast("int")), lambda i: plain(F.slice(v, i * w + 1, w))))
+        before = lambda tops, i: F.when(i > 0, F.get(tops, i - 1)).otherwise(least)
+        joined = lambda p, tops: F.transform(p, lambda part, i: let(before(tops, i), lambda top: F.transform(part, lambda x: combine(x, top))))
+        return let(parts, lambda p: let(plain(F.transform(p, lambda part: F.element_at(part, -1))), lambda tops: F.flatten(joined(p, tops))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, blocks(v)).otherwise(v))
+
+
+def _sums(values: Column) -> Column:
+    return running(values, lambda a, b: a + b, 0)
+
+
+def _tops(values: Column, least: int = 0) -> Column:
+    return running(values, lambda a, b: F.greatest(a, b), least)
+
+
+def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 1, token: bool = False) -> Column:
+    """array<struct<start, kind, end>> (and the token) of the matches whose group has `least` characters or more.
+
+    Text between the matches (split) and the matches alternate; the running sum of their lengths gives positions."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    between = F.split(text, pattern, -1)
-    cells = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"), values.alias("value"))
-    cells = F.transform(cells, lambda c: F.struct(F.length(c["gap"]).alias("gap"), F.length(c["hit"]).alias("hit"), F.length(c["value"]).alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(NONE).alias("out"))
+    own = lambda c: [c["hit"].alias("token")] if token else []
+
+    def sized(hits: Column) -> Column:
+        cells = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(hits)).alias("gap"), hits.alias("hit"), (values if group else hits).alias("value"))
+        return F.transform(cells, lambda c: F.struct(F.length(c["gap"]).alias("gap"), F.length(c["hit"]).alias("n"), F.length(c["value"]).alias("value"), *own(c)))
+
+    def placed(cells: Column) -> Column:
+        ends = _sums(F.transform(cells, lambda c: c["gap"] + c["n"]))
+        more = lambda c: [c["token"].alias("token")] if token else []
+        each = F.zip_with(cells, ends, lambda c, end: F.when(c["value"] >= least, F.struct((end - c["n"]).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), *more(c))))
+        return F.filter(each, lambda x: x.isNotNull())
+
+    out = let(let(found, sized), placed)
+    return F.when(F.regexp_instr(text, F.lit(pattern)) > 0, out).otherwise(F.array().cast(TOKENS if token else NONE))
+
+
+def free_of(candidates: Column, base: Column) -> Column:
+    """The candidates that no base span touches.  Both are merged by start; the furthest end of the base spans so far and the start of the next one
+    decide, so the work is that of sorting."""
+    far = (1 << 31) - 1
+    one = lambda s, kind, token: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), token.alias("token"))
+    merged = F.array_sort(F.concat(F.transform(base, lambda b: one(b, 0, F.lit(""))), F.transform(candidates, lambda c: one(c, 1, c["token"]))))
 
-    def step(acc: Column, c: Column) -> Column:
-        begin = acc["at"] + c["gap"]
-        one = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + c["hit"]).alias("end")))
-        return F.struct((begin + c["hit"]).alias("at"), F.when(c["value"] >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def apart(m: Column) -> Column:
+        reach = _tops(F.transform(m, lambda x: F.when(x["kind"] == 0, x["end"]).otherwise(0)))
+        ahead = F.reverse(_tops(F.reverse(F.transform(m, lambda x: F.when(x["kind"] == 0, -x["start"]).otherwise(-far))), -far))
+        both = F.arrays_zip(m.alias("c"), reach.alias("reach"), ahead.alias("ahead"))
+        kept = F.filter(both, lambda x: (x["c"]["kind"] == 1) & (x["reach"] <= x["c"]["start"]) & (-x["ahead"] >= x["c"]["end"]))
+        return F.transform(kept, lambda x: F.struct(x["c"]["start"].alias("start"), F.lit(3).alias("kind"), x["c"]["end"].alias("end"), x["c"]["token"].alias("token")))
 
-    return F.when(F.regexp_instr(text, F.lit(pattern)) > 0, F.aggregate(cells, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(NONE))
+    return F.when((F.size(base) > 0) & (F.size(candidates) > 0), let(merged, apart)).otherwise(candidates)
 
 
 # ---------------------------------------------------------------- the battery
@@ -179,8 +235,8 @@ def findings(docs: DataFrame, text_col: str, keep: list[str]) -> tuple[DataFrame
     t = F.col(text)
     hits = F.concat(spans(t, ASSIGN, 0, 2, 6), spans(t, ACCESS, 1), spans(t, HEX, 2))
     out = out.select(*keep, text, F.array_sort(hits).alias(base))
-    free = F.filter(spans(F.col(text), CANDIDATE, 3), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
-    tokens = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.substring(F.col(text), c["start"] + 1, c["end"] - c["start"]).alias("token")))
+    out = out.withColumn(tried, spans(F.col(text), CANDIDATE, 3, token=True))
+    tokens = free_of(F.col(tried), F.col(base))
     bins = F.transform(battery(decoys(F.col(text))), lambda c: F.struct(c["size"].alias("size"), _bin(c["p"]).alias("bin")))
     return cut(out.select(*keep, base, battery(tokens).alias(tried), bins.alias(ordinary)), "secrets"), base, tried, ordinary
 
@@ -237,14 +293,25 @@ def redact(docs: DataFrame, text_col: str = "text", fdr: float = 0.05, mark: str
     """docs with every span of the text replaced by the mark (overlapping spans by one); other columns and
     texts without spans stay as they are."""
     found, base, tried, ordinary = findings(docs, text_col, docs.columns)
-    where = all_spans(base, tried, reported_to(found, tried, ordinary, fdr))
-    text, start = F.col(text_col), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    name = fresh(docs, "spans")
+    out = found.withColumn(name, all_spans(base, tried, reported_to(found, tried, ordinary, fdr)))
+    text, where = F.col(text_col), F.col(name)
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+    def piece(chunks: Column, a: Column, b: Column) -> Column:
+        """Characters a to b (exclusive, from 0) of the text."""
+        first = lambda k: F.greatest(a - k * CHUNK, F.lit(0))
+        parts = F.transform(F.sequence(F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int")), lambda k: F.substring(F.get(chunks, k), first(k) + 1, F.least(b - k * CHUNK, F.lit(CHUNK)) - first(k)))
+        return F.when(b > a, F.array_join(parts, "")).otherwise("")
 
-    cleaned = F.aggregate(where, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    name = fresh(docs, "spans")
-    out = found.withColumn(name, F.size(where) > 0)
-    return out.select(*(F.when(F.col(name), cleaned).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    def cleaned(chunks: Column) -> Column:
+        tops = _tops(F.transform(where, lambda s: s["end"]))
+
+        def joined(ends: Column) -> Column:
+            before = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+            each = F.transform(where, lambda s, i: let(before(i), lambda at: F.when(s["start"] >= at, F.concat(piece(chunks, at, s["start"]), F.lit(mark))).otherwise("")))
+            return F.concat(F.array_join(each, ""), piece(chunks, F.element_at(ends, -1), F.length(text)))
+
+        return let(tops, joined)
+
+    new = F.when(F.size(where) > 0, let(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CHUNK), F.lit(0)), cleaned)).otherwise(text)
+    return out.select(*(new.alias(c) if c == text_col else F.col(c) for c in docs.columns))

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -145,3 +146,42 @@ def test_query_digest(spark, sf):
     for r in op6_secrets(spark, sf).collect():
         base = plain_base(texts[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+
+
+def long_dump(n):
+    """A text of n hex keys and, between them, short values, words and random tokens."""
+    rng = random.Random(n)
+    parts = []
+    for i in range(n):
+        parts.append(f"{rng.getrandbits(128):032x}" + (f' token = "x{i:06d}é"' if i % 50 == 0 else "") + (" " + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=30)) if i % 100 == 7 else ""))
+    return "\n".join(parts)
+
+
+def test_work_follows_the_number_of_spans(spark):
+    """A hundred thousand spans in one text: seconds, not hours; every key is found and redacted."""
+    text = long_dump(100_000)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got = S.scan(df).collect()[0]
+    assert [(s["start"], s["kind"], s["end"]) for s in got["base"]] == plain_base(text)
+    clean = S.redact(df).collect()[0]["text"]
+    assert time.time() - began < 150
+    at, out = 0, []
+    for s in got["spans"]:
+        if s["start"] >= at:
+            out += [text[at : s["start"]], "[secret]"]
+        at = max(at, s["end"])
+    assert clean == "".join(out) + text[at:] and len(got["spans"]) > len(got["base"]) > 100_000
+
+
+def test_running_and_free_spans_against_loops(spark):
+    rng = random.Random(6)
+    for n in (0, 1, 2, 3, 10, 101, 1000):
+        v = [rng.randint(-50, 90) for _ in range(n)]
+        a, b = spark.createDataFrame([(v,)], "v array<int>").select(S._sums(S.F.col("v")), S._tops(S.F.col("v"), -99)).first()
+        assert a == [sum(v[: i + 1]) for i in range(n)] and b == [max(v[: i + 1]) for i in range(n)]
+        spot = lambda: (s := rng.randint(0, 3 * n), s + rng.randint(1, 9))
+        base, tried = sorted(spot() for _ in range(n // 4)), sorted(spot() for _ in range(n))
+        df = spark.createDataFrame([([(x, 2, y) for x, y in base], [(x, 3, y, str(x)) for x, y in tried])], f"b {S.NONE}, c {S.TOKENS}")
+        got = df.select(S.free_of(S.F.col("c"), S.F.col("b"))).first()[0]
+        assert sorted((r["start"], r["end"]) for r in got) == [(x, y) for x, y in tried if not any(p < y and q > x for p, q in base)]
