@@ -118,7 +118,7 @@ def mix_plan(docs: DataFrame, source: Column, key: Column, tokens: Column, repea
     plan = plan.withColumn("room", F.when((F.col("room") > 0) & (F.col("room") < F.col("tokens")), F.col("room")))
     plan = cut(plan.select("source", "block", "weight", "quota", "epochs", "room"), "plan")
     # one block of each source at most has room for a part of its documents.  Its cut is found among sums of 2^20 cells of keys, and
-    # only the documents of the cell in which the room ends are sorted
+    # only the keys of the cell in which the room ends are sorted, each with the sum of its documents (repeated rows share one)
     part = plan.filter("room is not null").select(F.col("source").alias("s"), F.col("block").alias("b"), "room")
     inside = slim.join(part, slim.source.eqNullSafe(part.s) & (slim.block == part.b)).withColumn("cell", F.shiftright("key", 40))
     cells = inside.groupBy("s", "b", "room", "cell").agg(F.sum("tokens").alias("tokens"), F.max("key").alias("key"))
@@ -126,7 +126,8 @@ def mix_plan(docs: DataFrame, source: Column, key: Column, tokens: Column, repea
     whole = cells.filter("upto <= room").select("s", "b", "key")
     edge = cells.filter("upto > room and upto - tokens <= room").select(F.col("s").alias("es"), F.col("b").alias("eb"), F.col("cell").alias("ec"), (F.col("upto") - F.col("tokens")).alias("before"))
     ended = inside.join(edge, inside.s.eqNullSafe(edge.es) & (inside.b == edge.eb) & (inside.cell == edge.ec))
-    upto = F.col("before") + F.sum("tokens").over(Window.partitionBy("s", "b").orderBy("key"))  # equal keys together
+    ended = ended.groupBy("s", "b", "room", "before", "key").agg(F.sum("tokens").alias("tokens"))
+    upto = F.col("before") + F.sum("tokens").over(Window.partitionBy("s", "b").orderBy("key"))
     cuts = ended.withColumn("upto", upto).filter("upto <= room").select("s", "b", "key").unionByName(whole).groupBy("s", "b").agg(F.max("key").alias("cut"))
     return cut(plan.join(cuts, plan.source.eqNullSafe(cuts.s) & (plan.block == cuts.b), "left").select("source", "block", "weight", "quota", "epochs", "cut"), "plan")
 
