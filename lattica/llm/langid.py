@@ -7,7 +7,8 @@ must earn its place.  The prediction is the language with the largest share of t
 is that share.
 
 The model is fitted on about `language_rows` distinct texts of each language (a parameter), those with the least hashes; a
-language with fewer is learned whole, so none is lost for being rare.  The driver gathers languages x 2^bits counts; more than
+language with fewer is learned whole, so none is lost for being rare.  The driver gathers one row of packed counts for each language, 128 KB at
+2^15 buckets, and every worker holds the table of their logarithms, as large: 64 MB at 512 languages.  More than
 `most_languages` labels (a column that holds no languages) are an error, not a cut.
 
 Rows with null text or without a letter get `und`, score 0 and an empty mixture, as does everything when
@@ -78,7 +79,7 @@ def has_letter(text: str) -> bool:
     return any(unicodedata.category(ch)[0] == "L" for ch in text)
 
 
-def fit_languages(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", language_rows: int = 5000, most_languages: int = 4096, bits: int = 15) -> LanguageModel:
+def fit_languages(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", language_rows: int = 5000, most_languages: int = 512, bits: int = 15) -> LanguageModel:
     """A model of the rows whose text and language are not null."""
     rows = rows.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.withColumn("turn", F.xxhash64("text", F.lit(7)))
@@ -105,18 +106,27 @@ def fit_languages(rows: DataFrame, text_col: str = "text", lang_col: str = "lang
             at = np.nonzero(own)[0]
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": own[at]})
 
-    got = rows.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(set(got["lang"]))
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lang, at, n in pdf[["lang", "at", "n"]].itertuples(index=False):
+                own = np.zeros(1 << bits, np.float32)
+                own[at] = n
+                yield pd.DataFrame({"lang": [lang], "counts": [own.tobytes()]})
+
+    got = rows.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    got = got.groupBy("lang").agg(F.collect_list(F.struct(F.col("bucket").alias("at"), "n")).alias("c"))  # 2^bits cells at most
+    got = got.select("lang", "c.at", "c.n").mapInPandas(packed, "lang string, counts binary").toPandas().sort_values("lang")
+    languages = list(got["lang"])
     table = np.full((1 << bits, len(languages)), 0.5, np.float32)
-    column = pd.Index(languages).get_indexer(got["lang"]) if languages else []
-    np.add.at(table, (got["bucket"].to_numpy(np.int64), column), got["n"].to_numpy(np.float32))
+    for i, counts in enumerate(got["counts"]):
+        table[:, i] += np.frombuffer(counts, np.float32)
     return LanguageModel(languages, bits, np.log(table / table.sum(0, dtype=np.float64)).astype(np.float32) if languages else np.zeros((1 << bits, 0), np.float32))
 
 
 def language_mixture(text: Column, model: LanguageModel, spark) -> Column:
     """struct<lang, score, languages array<struct<lang, share>>> of a text."""
     wide_rows(spark)
-    shared = spark.sparkContext.broadcast(model)  # 2^bits x 4 bytes for each language, 512 MB at the most_languages bound
+    shared = spark.sparkContext.broadcast(model)  # 2^bits x 4 bytes for each language, 64 MB at the most_languages bound
 
     part = T.StructType().add("lang", T.StringType()).add("share", T.DoubleType())
 
