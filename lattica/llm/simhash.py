@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.groups import components
 from .common import cut, wide_rows
 
 CHUNK = 1 << 16  # shingles whose bits are counted at once
@@ -272,35 +273,6 @@ def near_links(fps: DataFrame, radius: int = 2, split_above: int = 512) -> DataF
     return small.unionByName(_link_shards(large, ["shard", "cell", "bits"], radius)).distinct()
 
 
-# ---------------------------------------------------------------- groups
-
-
-def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the least node that is reachable over links (a, b), for every node of a link.
-
-    Large-star and small-star steps, written after each round; ends when a round changes nothing.
-    Neighbours are never gathered: minima are partial aggregates, and the join on a hub is one that Spark
-    can split."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    before = None
-    for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        small = small.select(F.greatest("e.v", "e.m").alias("u"), F.least("e.v", "e.m").alias("v")).filter("u <> v").distinct()
-        edges = cut(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("the groups did not settle")
-    return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, extra: dict[str, Column] | None = None) -> DataFrame:
     """id_col, fp (long), component_id, group: one row for each row of docs, and columns of `extra`."""
     wide_rows(docs.sparkSession)
@@ -379,7 +351,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sizes = cells.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
     facts = rows.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), *(F.first(w).alias(w) for w in words))
     dealt = block_pairs(cells.join(sizes, "shard"), "shard", F.when(F.col("n") > split_above, F.ceil(F.col("n") * 2 / split_above)).otherwise(1))
-    near = connected(cut(_in_groups(dealt.join(facts, "node"), "shard", ["size", *words], _near).distinct(), "near"))
+    near = components(cut(_in_groups(dealt.join(facts, "node"), "shard", ["size", *words], _near).distinct(), "near")).withColumnRenamed("component", "root")
 
     # one row stands for each set, so copies of a text go no further than their fingerprint
     member = cut(near.join(facts, "node").select("node", "root", "row", "size"), "members")
@@ -519,7 +491,7 @@ def _name_groups(rows: DataFrame, links: DataFrame, id_col: str, more: list[str]
     """id_col, fp, component_id, group (a number that no other group has) and more.  Only linked keys look up their group's name;
     the keys of a large group do so in SALTS tasks."""
     keys = rows.groupBy(F.col(key).alias("key")).agg(F.min("id").alias("least"))
-    named = cut(keys.join(connected(links), F.col("key") == F.col("node"), "left").select("key", "least", "root"), "named")
+    named = cut(keys.join(components(links).withColumnRenamed("component", "root"), F.col("key") == F.col("node"), "left").select("key", "least", "root"), "named")
     linked = named.filter("root is not null").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
     names = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
     parts = linked.join(names, ["root", "salt"]).select(F.col("key").alias(key), "component_id", F.col("root").alias("group"))

@@ -74,7 +74,7 @@ def test_links_connect_what_all_pairs_connect(spark, radius):
     rows = [(i, v) for i, v in enumerate(values)]
     want = {v: c for (_, v), (_, c) in zip(rows, plain_groups(rows, lambda a, b: (a ^ b).bit_count() <= radius), strict=True)}
     for split in (512, 4):  # with and without hot shards
-        groups = {r["node"]: r["root"] for r in S.connected(S.near_links(fps, radius, split_above=split)).collect()}
+        groups = {r["node"]: r["component"] for r in S.components(S.near_links(fps, radius, split_above=split)).collect()}
         got = {}
         for v in values:
             s = int(np.uint64(v).astype(np.int64))
