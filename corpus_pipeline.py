@@ -1,7 +1,8 @@
 """From documents to packed training sequences: toxicity, near duplicates, secrets, mixing, packing.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written
-as Parquet and read again as the next one's docs.  All but the last return the columns of documents.
+as Parquet and read again as the next one's docs.  All but the last return the columns of documents.  A stage begins by deleting the
+intermediates of the one before, whose output is stored by then.
 
 Stages keep rows with a null id or text unless they say otherwise; an empty table gives an empty result.  Very long texts are handled
 whole in every stage.  Repeated rows are judged each by toxicity and secrets, become one among near copies, and are repeated together
@@ -11,12 +12,15 @@ Further columns of documents are carried along, whatever their names; only packi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import mixing, packing, secrets, simhash, toxicity
 from lattica.llm.common import cut, fresh
 from lattica.llm.queries import labelled, tokenizer_path
+from lattica.operators.groups import release, written
 
 THRESHOLD = 0.3  # toxicity from which a document is rejected
 
@@ -63,7 +67,24 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, ["doc_id", "start", "ids_crc32"])
 
 
+_left: list[str] = []  # intermediates of the stage before
+
+
+def freeing(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, which first deletes what the stage before it wrote for its own use: its docs are that stage's stored output."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _left)
+        before = set(written())
+        out = stage(spark, docs, sf_dir)
+        _left[:] = [p for p in written() if p not in before]
+        return out
+
+    return run_stage
+
+
 STAGES = [("toxicity", toxic_out), ("near duplicates", one_of_each), ("secrets", secrets_out), ("mixing", mixed), ("packing", packed)]
+STAGES = [(name, freeing(stage)) for name, stage in STAGES]
 
 ORACLE_SQL = None  # a fitted model, groups and packing have no SQL; tests hold stages against plain versions
 

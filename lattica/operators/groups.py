@@ -24,16 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes the intermediates that this process has written, and says how many.  For when the results that are read from
-    them are stored: frames are lazy, so only the caller knows."""
+def written() -> list[str]:
+    """The intermediates that this process has written and not released."""
+    return list(_written)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Deletes intermediates that this process has written (all of them, or those of `paths`), and says how many.  For when the results that
+    are read from them are stored: frames are lazy, so only the caller knows."""
     jvm = spark.sparkContext._jvm
-    for path in _written:
+    gone = written() if paths is None else [p for p in paths if p in _written]
+    for path in gone:
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    n = len(_written)
-    _written.clear()
-    return n
+        _written.remove(path)
+    return len(gone)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
