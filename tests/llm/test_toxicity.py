@@ -1,4 +1,6 @@
+import math
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -77,3 +79,115 @@ def test_sample_is_bounded_when_half_the_rows_are_one_text(spark):
     finally:
         X.cut = keep
     assert taught[0].count() == 300 and taught[0].distinct().count() == 300
+
+
+# ---------------------------------------------------------------- plain versions, in loops
+
+
+def plain_terms(text):
+    """Buckets of the words and of the beginnings of longer words of a text."""
+    out, mask = set(), (1 << 64) - 1
+
+    def bucket(b, salt):
+        v = sum((c + 1) * pow(0x100000001B3, i, 1 << 64) for i, c in enumerate(b)) & mask ^ salt
+        v ^= v >> 29
+        v = v * 0x9E3779B97F4A7C15 & mask
+        return (v ^ v >> 32) >> 64 - X.BITS
+
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+    for word in bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in lower).split():
+        out.add(bucket(word, 0))
+        out |= {bucket(word[:n], n * 0x2545F4914F6CDD1D & mask) for n in X.PREFIXES if len(word) > n}
+    return out
+
+
+def plain_selection(rows, terms, least_docs):
+    size = [sum(y == k for _, y in rows) for k in (0, 1)]
+    seen = {}
+    for text, y in rows:
+        for b in plain_terms(text):
+            seen.setdefault(b, [0, 0])[y] += 1
+    chi = {}
+    for b, (n0, n1) in seen.items():
+        if n0 + n1 >= least_docs:
+            want = (n0 + n1) * size[1] / sum(size)
+            chi[b] = (n1 - want) ** 2 / want + (n0 - (n0 + n1 - want)) ** 2 / (n0 + n1 - want)
+    return sorted(b for b in sorted(chi, key=lambda b: (-chi[b], b))[:terms] if chi[b] > 15)
+
+
+def plain_logit(own, bias, w, v):
+    return bias + sum(w[i] for i in own) + sum(v[i][f] * v[j][f] for i in own for j in own if i < j for f in range(len(v[i])))
+
+
+def plain_training(rows, size, rank, epochs, rate=0.05, decay=3e-4):
+    """rows: (features, label).  Adam on the mean log loss, every derivative written out."""
+    n, base = len(rows), (sum(y for _, y in rows) + 0.5) / (len(rows) + 1)
+    p = [math.log(base / (1 - base)), *[0.0] * size, *np.random.default_rng(5).normal(0, 0.05, size * rank).tolist()]
+    m, s = [0.0] * len(p), [0.0] * len(p)
+    at = lambda i, f: 1 + size + i * rank + f
+    for step in range(1, epochs + 1):
+        g = [0.0, *(decay * x / 10 for x in p[1:])]
+        for own, y in rows:
+            z = plain_logit(own, p[0], p[1 : 1 + size], [[p[at(i, f)] for f in range(rank)] for i in range(size)])
+            e = (1 / (1 + math.exp(-z)) - y) / n
+            g[0] += e
+            for i in own:
+                g[1 + i] += e
+                for f in range(rank):
+                    g[at(i, f)] += e * sum(p[at(j, f)] for j in own if j != i)
+        for k in range(len(p)):
+            m[k], s[k] = 0.9 * m[k] + 0.1 * g[k], 0.999 * s[k] + 0.001 * g[k] ** 2
+            p[k] -= rate * (m[k] / (1 - 0.9**step)) / (math.sqrt(s[k] / (1 - 0.999**step)) + 1e-9)
+    return p
+
+
+def small_corpus(seed):
+    rng = random.Random(seed)
+    filler = [f"{a}{b}" for a in ("plain", "words", "étude", "go") for b in ("", "s", "ing", "fully")]
+    rows = []
+    for i in range(160):
+        words = [rng.choice(filler) for _ in range(rng.randint(2, 9))]
+        toxic = int(rng.random() < 0.4)
+        words += rng.choices(["dolts", "Doltish", "gnomes"], k=2) if toxic or rng.random() < 0.1 else []
+        rng.shuffle(words)
+        rows.append((f"{' '.join(words)}, n{i}", toxic))
+    return rows
+
+
+def test_selection_against_plain_loops(spark):
+    rows = small_corpus(3)
+    for terms in (2048, 3):
+        model = X.fit_toxicity(spark.createDataFrame(rows + rows[:40] + [("left out", None)], "text string, toxic int"), terms=terms)
+        assert model.buckets.tolist() == plain_selection(rows, terms, 4) and 0 < len(model.buckets) <= terms
+
+
+def test_training_steps_against_plain_loops():
+    rng = random.Random(8)
+    rows = [(sorted(rng.sample(range(7), rng.randint(0, 5))), rng.randint(0, 1)) for _ in range(25)]
+    who = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
+    fm = X.train(np.arange(7), len(rows), who, np.array([i for f, _ in rows for i in f]), np.array([y for _, y in rows], float), rank=3, epochs=6)
+    want = plain_training(rows, 7, 3, 6)
+    assert np.allclose([fm.bias, *fm.weights, *fm.factors.ravel()], want, rtol=1e-9, atol=1e-12)
+
+
+def test_query_against_plain_loops(spark, tmp_path):
+    """Labels of the learning fold, terms, all training steps and scores of the query on a small table."""
+    from lattica.llm import queries as Q
+
+    texts = [t for t, _ in small_corpus(5)]
+    toxic = dict(enumerate(y for _, y in small_corpus(5)))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, y) for i, y in toxic.items() if i % 5], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    learned = [(texts[i], y) for i, y in toxic.items() if i % 5 and zlib.crc32(str(i).encode()) % 4 != 2]
+    buckets = plain_selection(learned, 2048, 4)
+    place = {b: k for k, b in enumerate(buckets)}
+    own = lambda t: sorted(place[b] for b in plain_terms(t) if b in place)
+    size = len(buckets)
+    p = plain_training([(own(t), y) for t, y in learned], size, 6, 250)
+    v = [[p[1 + size + i * 6 + f] for f in range(6)] for i in range(size)]
+    got = {r["doc_id"]: r for r in Q.op5_toxicity(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) and size > 3
+    for i, t in enumerate(texts):
+        score = 1 / (1 + math.exp(-plain_logit(own(t), p[0], p[1 : 1 + size], v)))
+        assert abs(got[i]["score"] - score) < 1e-6 and got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
