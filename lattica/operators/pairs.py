@@ -32,15 +32,18 @@ def multi_hit_refs(aln: DataFrame) -> DataFrame:
 def _summary(aln: DataFrame, mismatch_cutoff: float, min_aligned: int, use_ref_min: bool, aligned_pct: float | None) -> DataFrame:
     """One row per (read_base, ref_id): whether each mate has it, and whether a mate spoils it.
 
-    CIGARs are read once, into lengths, and all else is windows over read_base, so it takes one shuffle."""
+    CIGARs are read once, into lengths, and all else is windows over read_base, so it takes one shuffle.  Rows are sorted once, by (read, reference, mate): the
+    windows that follow, here and in qualify_pairs, divide by beginnings of that order."""
     cigar, pos, length = F.col("cigar"), F.col("pos"), F.col("ref_len")
-    read, hit = Window.partitionBy("read_base", "mate"), Window.partitionBy("read_base", "mate", "ref_id")
+    read, hit = Window.partitionBy("read_base"), Window.partitionBy("read_base", "ref_id", "mate")
     a = mapped(aln).withColumns({"aligned": C.aligned_length(cigar), "wrong": C.op_length(cigar, "IXDixd"), "left_clip": C.left_clipped(cigar), "right_clip": C.right_clipped(cigar), "clip": C.has_clip(cigar), "both_clip": C.both_ends_clipped(cigar)})
     if aligned_pct is not None:
         a = a.filter(F.col("aligned") * 100 >= (F.col("aligned") + C.clipped_length(cigar)) * aligned_pct)
     a = a.repartition("read_base").withColumn("bad", C.percent(F.col("wrong"), F.col("aligned")))
-    a = a.withColumn("ref_min", F.coalesce(F.min(F.when(F.col("aligned") >= min_aligned, F.col("bad"))).over(read), F.min("bad").over(read)))
     a = a.withColumn("several", F.min("pos").over(hit) != F.max("pos").over(hit))
+    if use_ref_min:  # of each mate, over long alignments if it has any
+        least = lambda m: F.coalesce(*(F.min(F.when((F.col("mate") == m) & c, F.col("bad"))).over(read) for c in (F.col("aligned") >= min_aligned, F.lit(True))))
+        a = a.withColumns({"least_1": least(1), "least_2": least(2)}).withColumn("ref_min", F.when(F.col("mate") == 1, F.col("least_1")).otherwise(F.col("least_2")))
     middle = F.col("clip") & ~(F.col("left_clip") & (pos == 1)) & ~(F.col("right_clip") & (pos + F.col("aligned") - 1 == length))
     fine = ~F.col("several") & ~F.col("both_clip") & (F.col("bad") <= mismatch_cutoff) & (F.col("aligned") >= min_aligned) & ~middle
     if use_ref_min:
