@@ -30,6 +30,29 @@ def test_differencing_gives_near_equal_windows():
     assert abs(sums[0] - sums[1]) <= best + 2
 
 
+def plain_differencing(sizes, k):
+    """Karmarkar-Karp as it is told: k sums in falling order for each partial partition; the two with the widest spread (ties: the older ones)
+    are merged, the largest sum with the smallest one."""
+    parts = [(i, [s] + [0] * (k - 1)) for i, s in enumerate(sizes)]
+    turn = len(sizes)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-(p[1][0] - p[1][-1]), p[0]))
+        (_, a), (_, b), *parts = parts
+        parts.append((turn, sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True)))
+        turn += 1
+    return parts[0][1] if parts else [0] * k
+
+
+def test_differencing_against_its_plain_form():
+    rng = random.Random(11)
+    for n, k in ((1, 1), (1, 4), (3, 5), (5, 2), (20, 2), (30, 3), (60, 7), (150, 20), (40, 40), (41, 40), (90, 1)):
+        for top in (3, 128):
+            sizes = [rng.randint(1, top) for _ in range(n)]
+            window, sums = K.karmarkar_karp(sizes, k)
+            assert sorted(sums.tolist(), reverse=True) == plain_differencing(sizes, k)
+            assert np.bincount(window, sizes, k).tolist() == sums.tolist()
+
+
 def test_windows_rise_until_nothing_exceeds_the_capacity():
     for sizes in ([600] * 7, [1000, 30, 30], [128] * 9, [1], []):
         window, sums = K.pack_unit(sizes, 1024)
