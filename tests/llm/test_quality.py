@@ -49,6 +49,15 @@ def test_sample_is_bounded_when_half_the_table_is_one_text(spark):
         got = [r["text"] for r in distinct_sample(docs, "text", 400, seed).collect()]
         assert len(got) == len(set(got)) == 400
     assert distinct_sample(docs, "text", 10_000, 1).count() == 3001
+
+
+def test_sample_of_nearly_all_texts(spark):
+    """A table with somewhat more texts than the limit, up to a fifth: the bound on hashes lies beyond the longs."""
+    from lattica.llm.common import distinct_sample
+
+    docs = spark.range(3000).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    for most in (2000, 2500, 2600, 2800, 2950):
+        assert distinct_sample(docs, "text", most, 7).distinct().count() == most
     model = Q.fit_quality(docs.withColumnRenamed("text", "body"), text_col="body", train_rows=100)
     assert len(model.weights) == 1 << Q.BITS
 
