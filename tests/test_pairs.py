@@ -72,3 +72,21 @@ def test_samples_keep_mates_and_nest(spark):
     assert ten < forty and all((b, 3 - m) in ten for b, m in ten) and 100 < len(ten) / 2 < 300
     by_rate = P.sample_rates(reads, [10, 40]).groupBy("rate").count().collect()
     assert {r["rate"]: r["count"] for r in by_rate} == {10.0: len(ten), 40.0: len(forty)}
+
+
+def test_filter_names_a_made_cigar_once(spark):
+    """A CIGAR that is made by a long expression stands once in the filter on mapped rows, which Spark moves below it."""
+    made = spark.range(5).select(F.concat(F.col("id").cast("string"), F.lit("=")).alias("cigar"))
+    filters = [x for x in P.mapped(made)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert sum(x.count("concat(") for x in filters) == 1
+    rows = spark.createDataFrame([("*",), (None,), ("",), ("5=",)], "cigar string")
+    assert sorted(r["cigar"] for r in P.mapped(rows).collect()) == ["", "5="]
+
+
+def test_clips_are_read_once_and_no_cast_fails(spark):
+    rows = [(1, "12S30="), (1, "7s30=9S"), (2, "30="), (3, "30=4S"), (3, "2S30=8S"), (4, "*"), (4, None)]
+    out = P.min_max_clip(spark.createDataFrame(rows, "read_base long, cigar string"))
+    assert {tuple(r) for r in out.collect()} == {(1, 7, 12), (2, 0, 0), (3, 2, 8)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 2
+    assert "concat(0, regexp_extract" in plan  # a number before the cast, also where there is no clip
