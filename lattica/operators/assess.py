@@ -74,8 +74,13 @@ def taxon_rank_accuracy(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def expected_copy_number(genomes: DataFrame, refs: DataFrame) -> DataFrame:
-    """Mean copy number over the references of a genome's clusters.  genomes: genome, cluster; refs: cluster, copies."""
-    return genomes.distinct().join(refs, "cluster").groupBy("genome").agg(F.avg("copies").alias("copies"))
+    """Mean copy number over the references of a genome's clusters.  genomes: genome, cluster; refs: cluster, copies.
+
+    References are summed by cluster before they meet the genomes, so a genome has a row for each of its clusters, not for each reference."""
+    known = F.col("copies").isNotNull()
+    sums = refs.groupBy("cluster").agg(F.sum("copies").alias("s"), F.count_if(known).alias("n"))
+    mean = F.sum("s") / F.nullif(F.sum("n"), F.lit(0))
+    return genomes.distinct().join(sums, "cluster").groupBy("genome").agg(mean.alias("copies"))
 
 
 def genomes_with_marker(genomes: DataFrame, markers: DataFrame) -> DataFrame:
