@@ -41,6 +41,11 @@ def flank_filter(spans: DataFrame) -> DataFrame:
     return s.select("seq_id", "ref_len", "ord", "kind", F.when(~F.col("__alone"), F.col("l")).alias("l"), F.when(~F.col("__alone"), F.col("r")).alias("r"))
 
 
+def region_spans(spans: DataFrame) -> DataFrame:
+    """seq_id, kind, l, r of the regions that are left."""
+    return spans.filter("l is not null and r is not null").select("seq_id", "kind", "l", "r")
+
+
 def region_positions(spans: DataFrame, compat: bool = False) -> DataFrame:
     """seq_id, kind, pos of the regions that are left.  compat: positions one lower, as in results that count from zero here and
     from one in depths."""

@@ -149,3 +149,63 @@ def test_a_straddling_stretch_is_sparse(spark):
     df = spark.createDataFrame(rows, "id long, seq string")
     assert 199 not in {r["id"] for r in T.msa_sparse_column_filter(df, "id", "seq").collect()}
     assert T.msa_sparse_column_filter(df.limit(0), "id", "seq").count() == 0
+
+
+def shown(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_coverage_of_regions_as_spans_and_as_positions(spark):
+    """Spans that cross bins and overlap, runs and positions, a null depth: as by positions; no side is broadcast, however small Spark takes it for."""
+    rng = random.Random(3)
+    spans = [(r, rng.choice("vc"), l := rng.randint(1, 2990), l + rng.randint(0, 1500)) for r in "ab" for _ in range(6)] + [("c", "v", 5, 9), ("a", "v", 9, 8)]
+    depths = [(r, p, rng.choice([None, *range(9)])) for r in "abd" for p in range(1, 4000) if rng.random() < 0.9]
+    by = {(r, p): d for r, p, d in depths}
+    want = {}
+    for r in "ab":
+        of = {k: [d for q, kind, l, e in spans if q == r and kind == k for p in range(l, e + 1) if (d := by.get((r, p))) is not None] for k in "vc"}
+        want[r] = tuple(round(sum(x) / len(x), 9) if x else None for x in (of["v"], of["c"]))
+    regions, depth = spark.createDataFrame(spans, "ref_id string, kind string, l int, r int"), spark.createDataFrame(depths, "ref_id string, pos int, depth int")
+    at = regions.filter("l <= r").select("ref_id", "kind", F.explode(F.sequence("l", "r")).alias("pos"))
+    runs = depth.select("ref_id", F.col("pos").alias("start"), F.col("pos").alias("end"), "depth")
+    for d, g in ((depth, regions), (depth, at), (runs, regions), (runs, at), (D.cut_spans(runs), regions)):
+        out = D.var_con_coverage(d, g)
+        assert {x["ref_id"]: tuple(None if v is None else round(v, 9) for v in (x["var"], x["con"])) for x in out.collect()} == want
+        assert "BroadcastHashJoin" not in shown(out)[1]
+
+
+def test_runs_across_words(spark):
+    rng = random.Random(5)
+    rows = [(k, p) for k in "ab" for p in range(-70, 300) if rng.random() < (0.5 if k == "a" else 0.95)] + [("c", 31), ("c", 32), ("d", 63), ("d", 0), ("e", -1), ("e", 0), ("f", None), ("a", None)] + [("g", p) for p in range(32, 96)] * 2
+    want = {}
+    for k in "abcdeg":
+        p, runs = sorted({p for q, p in rows if q == k and p is not None}), []
+        for x in p:
+            if runs and runs[-1][1] == x - 1:
+                runs[-1][1] = x
+            else:
+                runs.append([x, x])
+        want[k] = ",".join(f"{a}-{b}" for a, b in runs)
+    out = D.consecutive_runs(spark.createDataFrame(rows, "k string, pos int"), "k", "pos")
+    assert {r["k"]: r["runs"] for r in out.collect()} == want
+    assert "bit_or" in shown(out)[0]  # positions are reduced before they are shuffled
+
+
+def test_track_is_dealt_before_it_is_spread_out(spark, sf):
+    from lattica.plans.fixtures import Inputs
+    from lattica.plans.q_depth import track
+
+    fx = Inputs(spark, sf)
+    assert track(fx, 20).rdd.getNumPartitions() == fx.table("part").count() // 20
+    assert track(fx, 20).exceptAll(fx("fx_depth")).isEmpty() and track(fx, 20).count() == fx("fx_depth").count()
+
+
+def test_references_are_summed_before_they_meet_genomes(spark):
+    from lattica.operators import assess as S
+
+    genomes = [("g1", 1), ("g1", 2), ("g1", 1), ("g2", 2), ("g3", 3), ("g4", 4), ("g5", None)]
+    refs = [(1, 2), (1, 4), (2, 9), (2, None), (3, None), (5, 7), (None, 1)]
+    out = S.expected_copy_number(spark.createDataFrame(genomes, "genome string, cluster int"), spark.createDataFrame(refs, "cluster int, copies int"))
+    assert {r["genome"]: r["copies"] for r in out.collect()} == {"g1": 5.0, "g2": 9.0, "g3": None}
+    plan = shown(out)[0]
+    assert plan.index("Join") < plan.rindex("sum(")  # below the join, so printed after it
