@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -164,9 +164,8 @@ def well_assigned(hits: DataFrame, ref: str = "ref_id", read: str = "read_base")
 
 def canonical_kmers(seq: Column, k: int) -> Column:
     """Distinct hashes of a sequence's k-mers, each the lesser of itself and its reverse complement, so that both strands agree."""
-    back = reverse_complement(seq)
-    at = F.sequence(F.lit(1), F.length(seq) - k + 1)
-    each = F.transform(at, lambda i: F.xxhash64(F.least(F.substring(seq, i, F.lit(k)), F.substring(back, F.length(seq) - k + 2 - i, F.lit(k)))))
+    own = F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.substring(seq, i, F.lit(k)))
+    each = F.transform(own, lambda s: F.xxhash64(F.least(s, reverse_complement(s))))  # of the k-mer alone: a lambda's body is computed for each, with all that it names
     return F.when(F.length(seq) >= k, F.array_distinct(each))
 
 
@@ -181,16 +180,36 @@ def sequence_classes(df: DataFrame, key: str, seq: str) -> DataFrame:
     return df.select(key, F.xxhash64(seq).alias("__h"), seq).join(least, ["__h", seq]).select(key, "representative")
 
 
-def kmer_similarity_join(df: DataFrame, key: str, seq: str, k: int, least: float, block: int = 512) -> DataFrame:
+# pairs that meet at a k-mer are rows up to FEW_PAIRS; blocks have BLOCK_LETTERS letters at most
+FEW_PAIRS, FEWEST_BLOCKS, BLOCK_LETTERS = 10_000_000, 12, 1 << 24
+
+
+def kmer_similarity_join(df: DataFrame, key: str, seq: str, k: int, least: float, block: int = 512, few: int = FEW_PAIRS) -> DataFrame:
     """(a, b, sim) with a < b: pairs of sequences whose sets of canonical k-mers have a Jaccard index of `least` or more, on either strand.  Equal sequences are one,
     named by their least key (sequence_classes says who belongs to it), so copies do not multiply.
 
+    How many pairs meet at a k-mer says which way is taken; both are exact.  Up to `few` (or 64 a sequence): prefix filtering.  More, as with short k-mers,
+    which unrelated sequences share: no pair that only meets is written; blocks of sequences count what they have in common (_in_blocks)."""
+    one = df.filter(F.length(seq) >= k).groupBy(seq).agg(F.min(key).alias(key))
+    one = cut(one.select(key, seq, F.size(canonical_kmers(F.col(seq), k)).alias("n")), "sequences")
+    met = one.select(F.explode(canonical_kmers(F.col(seq), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("df"))
+    meetings = met.agg(F.sum(F.col("df") * (F.col("df") - 1) / 2)).first()[0] or 0
+    if meetings > few:
+        rows, letters = one.agg(F.count("*"), F.sum(F.length(seq))).first()
+        if meetings > 64 * rows:
+            return _in_blocks(one, key, seq, k, least, max(FEWEST_BLOCKS, -(-letters // BLOCK_LETTERS)))
+    return _by_prefix(one, key, seq, k, least, block)
+
+
+def _by_prefix(one: DataFrame, key: str, seq: str, k: int, least: float, block: int) -> DataFrame:
+    """Pairs by their rarest k-mers.
+
     Prefix filtering: by rarest k-mer first, a set's first n - ceil(least * n) + 1 k-mers must meet one of the other's, so only
     those are joined, and k-mers that everything holds stay out of the join.  Positional filtering: a pair's first common k-mer leaves room for one
     more than the rest of either set; if that is too little for the index, the pair is dropped where it is found.  A k-mer in the prefixes of
     more than `block` sequences is dealt to pairs of blocks of about that size, so no key of the join is larger, whatever a family of
     near-equal sequences shares.  Pairs that are left are verified on their whole sets."""
-    sets = cut(df.groupBy(seq).agg(F.min(key).alias(key)).filter(F.length(seq) >= k).select(key, canonical_kmers(F.col(seq), k).alias("set")).withColumn("n", F.size("set")), "kmers")
+    sets = cut(one.select(key, canonical_kmers(F.col(seq), k).alias("set"), "n"), "kmers")
     rows = sets.select(key, "n", F.explode("set").alias("kmer"))
     seen = rows.groupBy("kmer").agg(F.count("*").alias("df")).filter("df > 1")
     # k-mers of one row only come first; they match nothing, so only their number matters
@@ -210,6 +229,107 @@ def kmer_similarity_join(df: DataFrame, key: str, seq: str, k: int, least: float
     return common.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("sim")).filter(F.col("sim") >= least)
 
 
+def _strand_hashes(seqs: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each k-mer: the lesser of the 64-bit hashes of itself and its reverse complement, so hashes agree where canonical k-mers do."""
+    if not sum(map(len, seqs)) >= k:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    letters = np.frombuffer("".join(seqs).encode("utf-32-le"), np.uint32)
+    other = np.arange(128, dtype=np.uint32)
+    other[[ord(c) for c in "ACGTacgt"]] = [ord(c) for c in "TGCAtgca"]
+    back = np.where(letters < 128, other[np.minimum(letters, 127)], letters)
+    n, hashes = len(letters) - k + 1, []
+    for own, order in ((letters, range(k)), (back, range(k - 1, -1, -1))):
+        code = (own.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        code ^= code >> np.uint64(32)
+        h = np.zeros(n, np.uint64)
+        for j in order:
+            h *= np.uint64(0xD1342543DE82EF95)
+            h += code[j : j + n]
+        hashes.append(h ^ (h >> np.uint64(31)))
+    row = np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])
+    whole = row[:n] == row[k - 1 :]
+    return row[:n][whole], np.minimum(*hashes)[whole]
+
+
+def _hashes(seqs: list[str], k: int, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """_strand_hashes in steps, so that what it makes by the way stays small."""
+    parts = [_strand_hashes(seqs[i : i + step], k) for i in range(0, len(seqs), step)] or [_strand_hashes([], k)]
+    return np.concatenate([r + i * step for i, (r, _) in enumerate(parts)]), np.concatenate([h for _, h in parts])
+
+
+def _grouped(major: np.ndarray, minor: np.ndarray, n: int) -> tuple[list[int], np.ndarray]:
+    """The distinct minor numbers of each major number below n: where each one's begin, and all of them."""
+    both = np.sort(major.astype(np.uint64) << np.uint64(32) | minor.astype(np.uint64))
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    starts = np.searchsorted(both, np.arange(n + 1, dtype=np.uint64) << np.uint64(32))
+    return starts.tolist(), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _counted(index: pd.DataFrame, asks: pd.DataFrame | None, k: int, least: float) -> Iterator[pd.DataFrame]:
+    """(a, b, sim) between the sequences of two blocks (asks None: within one).  A sequence's k-mers name the lists of the sequences that hold them;
+    how often each stands in those lists is what it has in common."""
+    row, h = _hashes(index["seq"].tolist(), k)
+    known = np.unique(h)
+    starts, holders = _grouped(np.searchsorted(known, h), row, len(known))
+    within, asks = asks is None, index if asks is None else asks
+    row, h = _hashes(asks["seq"].tolist(), k)
+    spot = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+    held = known[spot] == h if len(known) else np.zeros(len(h), bool)
+    begins, ids = _grouped(row[held], spot[held], len(asks))
+    sizes, own, names, own_names = index["n"].to_numpy(np.int64), asks["n"].tolist(), index["key"].to_numpy(), asks["key"].to_numpy()
+    fewest, share, ready, found = int(sizes.min()) if len(sizes) else 0, least / (1 + least), 0, []
+    for i, n in enumerate(own):
+        lists = [holders[starts[j] : starts[j + 1]] for j in ids[begins[i] : begins[i + 1]].tolist()]
+        if not lists:
+            continue
+        common = np.bincount(np.concatenate(lists), minlength=len(sizes))
+        near = np.flatnonzero(common >= max(share * (n + fewest) - 1e-6, 1))
+        if within:
+            near = near[near > i]
+        sim = common[near] / (n + sizes[near] - common[near])
+        near, sim = near[sim >= least], sim[sim >= least]
+        if len(near):
+            found.append((np.repeat(own_names[i : i + 1], len(near)), names[near], sim))
+            ready += len(near)
+        if ready > 100_000:
+            yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(("a", "b", "sim"), zip(*found, strict=True), strict=True)})
+            ready, found = 0, []
+    if found:
+        yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(("a", "b", "sim"), zip(*found, strict=True), strict=True)})
+
+
+def _in_blocks(one: DataFrame, key: str, seq: str, k: int, least: float, blocks: int) -> DataFrame:
+    """Pairs by counting: sequences are dealt to blocks, and each two blocks (and each with itself) meet in one task, which holds their sequences and the lists of
+    one.  A sequence is shuffled once for each block, as letters, so what is written grows with the sequences as long as blocks hold fewer than BLOCK_LETTERS
+    letters; the work is a count for each k-mer that two sequences share, quadratic but without a row for it."""
+    own = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(blocks)).cast("int")
+    pair = lambda y: F.least("own", y) * blocks + F.greatest("own", y)
+    dealt = one.select(F.col(key).alias("key"), F.col(seq).alias("seq"), "n", own.alias("own")).select("key", "seq", "n", "own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("y"))
+    dealt = dealt.select(pair(F.col("y")).alias("pair"), (F.col("own") >= F.col("y")).alias("late"), "key", "seq", "n")
+    dealt = dealt.repartition(blocks * (blocks + 1) // 2, "pair").sortWithinPartitions("pair")
+
+    def meet(rows: pd.DataFrame, pair: int) -> Iterator[pd.DataFrame]:
+        late = rows["late"].to_numpy(bool)
+        return _counted(rows[late], None if pair // blocks == pair % blocks else rows[~late], k, least)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, at = [], None
+        for batch in batches:
+            for p, part in batch.groupby("pair", sort=False):
+                if held and p != at:
+                    yield from meet(pd.concat(held), at)
+                    held = []
+                at = p
+                held.append(part)
+        if held:
+            yield from meet(pd.concat(held), at)
+
+    kind = one.schema[key].dataType.simpleString()
+    found = dealt.mapInPandas(run, f"a {kind}, b {kind}, sim double")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").filter(F.col("sim") >= least)
+
+
 BLOOM_BITS, BLOOM_HASHES = 1 << 27, 4  # at most 16 MB are broadcast
 
 
