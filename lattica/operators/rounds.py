@@ -16,11 +16,12 @@ def link_reads_mini(minis: DataFrame, others: DataFrame, name: str, opposite_mat
     """(left, right): the alignments behind links of bridges and of markers or contigs, with mini, name, read_base, pos, cigar, ref_len.
 
     Both inputs are qualified pairs.  A contig and a bridge are linked by a mate that hits both, a marker and a bridge
-    (opposite_mate) by a mate that hits the one and its partner that hits the other."""
+    (opposite_mate) by a mate that hits the one and its partner that hits the other.  What they have in common is written once, for both sides.  Mates are
+    compared behind the join, which is by read alone, so pairs that qualify_pairs has dealt by read stay where they are."""
     mate = (3 - F.col("mate")) if opposite_mate else F.col("mate")
-    m = minis.select("read_base", "mate", F.col("ref_id").alias("mini"), *(F.col(c).alias(f"m_{c}") for c in ("pos", "cigar", "ref_len")))
-    o = others.select("read_base", mate.alias("mate"), F.col("ref_id").alias(name), *(F.col(c).alias(f"o_{c}") for c in ("pos", "cigar", "ref_len")))
-    both = m.join(o, ["read_base", "mate"])
+    m = minis.select("read_base", F.col("mate").alias("m_mate"), F.col("ref_id").alias("mini"), *(F.col(c).alias(f"m_{c}") for c in ("pos", "cigar", "ref_len")))
+    o = others.select("read_base", mate.alias("o_mate"), F.col("ref_id").alias(name), *(F.col(c).alias(f"o_{c}") for c in ("pos", "cigar", "ref_len")))
+    both = cut(m.join(o, "read_base").filter(F.col("m_mate") - F.col("o_mate") == 0).drop("m_mate", "o_mate"), "sides")  # no equality of columns: that would be a key
     side = lambda s: both.select("mini", name, "read_base", *(F.col(f"{s}_{c}").alias(c) for c in ("pos", "cigar", "ref_len")))
     return side("m"), side("o")
 
@@ -109,8 +110,7 @@ def clip_shares(left: DataFrame, right: DataFrame, contigs: DataFrame) -> DataFr
 def first_round(markers: DataFrame, contigs: DataFrame, genomes: DataFrame, min_reads: int = 3) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(by contig, by genome, left, right): counts of links that pass the quality rules, and the alignments behind all links.
     markers and contigs are qualified pairs; genomes: contig, genome."""
-    found = links.link_reads_rd1(markers, contigs, genomes)
-    left, right = (cut(x, "sides") for x in links.link_sides(found, markers, contigs))
+    left, right = links.link_sides(cut(links.link_reads_rd1(markers, contigs, genomes, hits=True), "sides"))
     passed = links.link_qc_rd1(left, right, ["marker", "contig"], min_reads).filter("passed")
     by_contig = cut(passed.select("marker", "contig", F.col("reads_l").alias("n")), "links")
     return by_contig, links.genome_link_counts(by_contig, genomes), left, right
