@@ -333,6 +333,28 @@ def _in_blocks(one: DataFrame, key: str, seq: str, k: int, least: float, blocks:
 BLOOM_BITS, BLOOM_HASHES = 1 << 27, 4  # at most 16 MB are broadcast
 
 
+def member_count(values: DataFrame, column: str, most_bits: int = BLOOM_BITS) -> Callable[[Column], Column] | None:
+    """A function that counts, of an array of 64-bit hashes, those that `values` (distinct) hold; None if all of them, 64 bits each, are more than most_bits.
+    What reaches the driver has that bound."""
+    most = most_bits // 64
+    found = values.select(column).limit(most + 1).toPandas()[column].to_numpy(np.int64)
+    if len(found) > most:
+        return None
+    shared = values.sparkSession.sparkContext.broadcast(np.sort(found))
+
+    @F.pandas_udf("long")
+    def count(arrays: pd.Series) -> pd.Series:
+        sizes = np.array([0 if a is None else len(a) for a in arrays], np.int64)
+        known = shared.value
+        if not sizes.sum() or not len(known):
+            return pd.Series(np.zeros(len(sizes), np.int64))
+        h = np.concatenate([a for a in arrays if a is not None]).astype(np.int64)
+        held = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+        return pd.Series(np.bincount(np.repeat(np.arange(len(sizes)), sizes), held, len(sizes)).astype(np.int64))
+
+    return count
+
+
 def bloom_filter(values: DataFrame, column: str, bits_each: int = 10, most_bits: int = BLOOM_BITS) -> Callable[[Column], Column] | None:
     """A function that keeps, of an array of 64-bit hashes, those that `values` may hold (about one in a hundred of the others); None if the filter
     would need more than most_bits.  Words of bits are joined where their hashes are; what reaches the driver has that bound."""
@@ -367,11 +389,15 @@ def bloom_filter(values: DataFrame, column: str, bits_each: int = 10, most_bits:
 def recruit_reads(reads: DataFrame, refs: DataFrame, key: str, seq: str, k: int, least: int, most_bits: int = BLOOM_BITS) -> DataFrame:
     """(key, n): rows that share `least` canonical k-mers or more with any of the references, on either strand.
 
-    A Bloom filter of the references' k-mers goes to the reads, so that k-mers of unrelated reads are dropped where they are and never shuffled; so are reads
-    with fewer than `least` left.  An exact join decides on the rest.  References too many for the filter's bound meet the reads by the join alone."""
-    known = kmers(refs, key, seq, k).select("kmer").distinct()
-    may = bloom_filter(known, "kmer", most_bits=most_bits)
+    References with few distinct k-mers (16 MB at most) go to the reads, which count their own, so no k-mer of a read is a row.  With more, a Bloom filter of them
+    goes, so that k-mers of unrelated reads are dropped where they are and never shuffled; so are reads with fewer than `least` left, and an exact join decides on
+    the rest.  References too many for the filter's bound meet the reads by the join alone."""
+    known = cut(kmers(refs, key, seq, k).select("kmer").distinct(), "references")
     sets = reads.filter(F.length(seq) >= k).select(key, canonical_kmers(F.col(seq), k).alias("set"))
+    count = member_count(known, "kmer", most_bits)
+    if count is not None:
+        return sets.select(key, count(F.col("set")).alias("n")).groupBy(key).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    may = bloom_filter(known, "kmer", most_bits=most_bits)
     if may is not None:
         sets = sets.select(key, may(F.col("set")).alias("set")).filter(F.size("set") >= least)
     return sets.select(key, F.explode("set").alias("kmer")).join(known, "kmer", "left_semi").groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
