@@ -182,23 +182,33 @@ def sequence_classes(df: DataFrame, key: str, seq: str) -> DataFrame:
 
 # pairs that meet at a k-mer are rows up to FEW_PAIRS; blocks have BLOCK_LETTERS letters at most
 FEW_PAIRS, FEWEST_BLOCKS, BLOCK_LETTERS = 10_000_000, 12, 1 << 24
+# a group of k-mers is dealt to FEWEST_PARTS parts or more, of about PART_KMERS k-mers; THREES are compared at once; beyond MOST_THREES a sequence blocks are
+# cheaper; about TRIED sequences say how many pairs share four, which only chooses the way
+FEWEST_PARTS, PART_KMERS, THREES, MOST_THREES, TRIED = 3, 1 << 24, 1 << 22, 20_000, 20_000
 
 
 def kmer_similarity_join(df: DataFrame, key: str, seq: str, k: int, least: float, block: int = 512, few: int = FEW_PAIRS) -> DataFrame:
     """(a, b, sim) with a < b: pairs of sequences whose sets of canonical k-mers have a Jaccard index of `least` or more, on either strand.  Equal sequences are one,
     named by their least key (sequence_classes says who belongs to it), so copies do not multiply.
 
-    How many pairs meet at a k-mer says which way is taken; both are exact.  Up to `few` (or 64 a sequence): prefix filtering.  More, as with short k-mers,
-    which unrelated sequences share: no pair that only meets is written; blocks of sequences count what they have in common (_in_blocks)."""
+    How many pairs meet at a k-mer says which way is taken; all are exact.  Up to `few` (or 64 a sequence): prefix filtering.  More, as with short k-mers,
+    which unrelated sequences share: pairs that share four k-mers of a group (_by_threes), as long as they are few as well; else no pair that only
+    meets is written, and blocks of sequences count what they have in common (_in_blocks)."""
     one = df.filter(F.length(seq) >= k).groupBy(seq).agg(F.min(key).alias(key))
-    one = cut(one.select(key, seq, F.size(canonical_kmers(F.col(seq), k)).alias("n")), "sequences")
+    one = cut(one.select(F.monotonically_increasing_id().alias("__id"), key, seq, F.size(canonical_kmers(F.col(seq), k)).alias("n")), "sequences")
     met = one.select(F.explode(canonical_kmers(F.col(seq), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("df"))
     meetings = met.agg(F.sum(F.col("df") * (F.col("df") - 1) / 2)).first()[0] or 0
     if meetings > few:
-        rows, letters = one.agg(F.count("*"), F.sum(F.length(seq))).first()
+        rows, letters, held, cubes, fewest = one.agg(F.count("*"), F.sum(F.length(seq)), F.sum("n"), F.sum(F.col("n").cast("double") ** 3), F.min("n")).first()
         if meetings > 64 * rows:
+            groups = min((_common(least, 2 * fewest) - 1) // 3, -(-held // (16 * rows)))  # of about 16 k-mers or more
+            if groups > 0 and cubes / (6 * groups**2) <= MOST_THREES * rows:
+                tried = one.filter(F.pmod(F.xxhash64("__id"), F.lit(-(-rows // TRIED))) == 0)
+                pairs = _near(tried, seq, k, groups, FEWEST_PARTS).count() * (-(-rows // TRIED)) ** 2
+                if pairs <= held:  # no more rows than k-mers
+                    return _by_threes(one, key, seq, k, least, groups, max(FEWEST_PARTS, -(-held // (groups * PART_KMERS))))
             return _in_blocks(one, key, seq, k, least, max(FEWEST_BLOCKS, -(-letters // BLOCK_LETTERS)))
-    return _by_prefix(one, key, seq, k, least, block)
+    return _by_prefix(one.drop("__id"), key, seq, k, least, block)
 
 
 def _by_prefix(one: DataFrame, key: str, seq: str, k: int, least: float, block: int) -> DataFrame:
@@ -299,6 +309,164 @@ def _counted(index: pd.DataFrame, asks: pd.DataFrame | None, k: int, least: floa
         yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(("a", "b", "sim"), zip(*found, strict=True), strict=True)})
 
 
+def _common(least: float, n: int) -> int:
+    """How many k-mers two sets of n together share at least, if their index is `least` or more."""
+    return int(np.ceil(least / (1 + least) * n - 1e-6))
+
+
+def _distinct(seqs: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """_hashes, once for each sequence; ordered by row and hash."""
+    row, h = _hashes(seqs, k)
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+    return row[new], h[new]
+
+
+def _dealt(ids: np.ndarray, seqs: list[str], k: int, groups: int, edges: np.ndarray) -> Iterator[tuple]:
+    """(part, ids, sizes, codes) for each part: the sequences' k-mers of a group as rising 16-bit codes, from the first one in the part's range on.  Sequences without
+    three more after that have no four there.  Different k-mers may have one code: what is shared stays shared."""
+    row, h = _distinct(seqs, k)
+    group, code = (h % np.uint64(groups)).astype(np.int64), (h // np.uint64(groups) >> np.uint64(20) & np.uint64(0xFFFF)).astype(np.uint16)
+    order = np.lexsort((code, row, group))
+    row, group, code = row[order], group[order], code[order]
+    place = np.arange(len(row))
+    starts = np.ones(len(row), bool)
+    starts[1:] = (row[1:] != row[:-1]) | (group[1:] != group[:-1])
+    ends = np.append(np.flatnonzero(starts)[1:], len(row))[np.cumsum(starts) - 1] if len(row) else place
+    bucket = np.searchsorted(edges, code, side="right") - 1
+    opens = starts.copy()
+    opens[1:] |= bucket[1:] != bucket[:-1]
+    first = np.flatnonzero(opens & (ends - place >= 4))
+    part = group[first] * len(edges) + bucket[first]
+    for p in np.unique(part).tolist():
+        at = first[part == p]
+        sizes = ends[at] - at
+        spots = np.repeat(at - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        yield p, ids[row[at]].astype(np.int64).tobytes(), sizes.astype(np.int32).tobytes(), code[spots].tobytes()
+
+
+def _sharing_four(sizes: np.ndarray, codes: np.ndarray, low: int, high: int) -> Iterator[np.ndarray]:
+    """Pairs of rows (lesser << 32 | greater) that share four codes or more, the least of them `low` to below `high`.
+
+    Of four shared codes, two threes have the first two in common; unrelated rows that share three codes have one.  Threes are made, sorted and compared THREES at a
+    time, by their least code and, where one code alone has more, by the next one too; so those two are compared in one turn, and who has one there is dropped."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    after = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes)) - 1
+    spots = np.flatnonzero((codes >= low) & (codes < high) & (after >= 3))
+    spots = spots[np.argsort(codes[spots], kind="stable")]
+    made = np.cumsum(after[spots] * (after[spots] - 1) // 2)
+    begins = np.flatnonzero(np.append(True, codes[spots][1:] != codes[spots][:-1])) if len(spots) else spots
+    ends, known, at = np.append(begins[1:], len(spots)), [], 0
+    while at < len(begins):
+        before = made[begins[at] - 1] if begins[at] else 0
+        upto = max(at + 1, int(np.searchsorted(made[ends - 1], before + THREES, side="right")))
+        own, turns = spots[begins[at] : ends[upto - 1]], -(-int(made[ends[upto - 1] - 1] - before) // (2 * THREES))
+        at = upto
+        for turn in range(turns):
+            known.append(_met(*_made_threes(own, row, after, codes, turn, turns)))
+            if sum(map(len, known)) > THREES:
+                known = [np.unique(np.concatenate(known))]
+                if len(known[0]) > THREES // 2:
+                    yield known[0]
+                    known = []
+    if known:
+        yield np.unique(np.concatenate(known))
+
+
+def _made_threes(own: np.ndarray, row: np.ndarray, after: np.ndarray, codes: np.ndarray, turn: int, turns: int) -> tuple[np.ndarray, np.ndarray]:
+    """(three, row), ordered by three: the codes at `own` with each two after them in their row, the nearer of which falls to this turn."""
+    threes, rows = [], []
+    for n in np.unique(after[own]).tolist():
+        second, third = np.triu_indices(n, 1)
+        alike = own[after[own] == n]
+        step = max(1, THREES // len(second))
+        for i in range(0, len(alike), step):
+            x = np.repeat(alike[i : i + step], len(second))
+            y, z = (alike[i : i + step, None] + 1 + second).ravel(), (alike[i : i + step, None] + 1 + third).ravel()
+            if turns > 1:
+                now = codes[y] % turns == turn
+                x, y, z = x[now], y[now], z[now]
+            threes.append(codes[x].astype(np.uint64) << np.uint64(32) | codes[y].astype(np.uint64) << np.uint64(16) | codes[z].astype(np.uint64))
+            rows.append(row[x])
+    threes, rows = np.concatenate(threes), np.concatenate(rows)
+    order = np.argsort(threes)
+    return threes[order], rows[order]
+
+
+def _met(threes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Pairs of rows that have two or more of these threes in common."""
+    ends = np.append(np.flatnonzero(threes[1:] != threes[:-1]) + 1, len(threes)) if len(threes) else np.empty(0, np.int64)
+    left = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(len(threes)) - 1  # of the same three, after each
+    some = np.flatnonzero(left)
+    total, both, counts = np.cumsum(left[some]), np.empty(0, np.int64), np.empty(0, np.int64)
+    for lo in range(0, int(total[-1]) if len(some) else 0, THREES):
+        i, j = np.searchsorted(total, [lo, lo + THREES], side="right")
+        part = some[i:j]
+        x = np.repeat(part, left[part])
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(left[part]) - left[part], left[part])
+        x, y = rows[x], rows[y]
+        now, n = np.unique((np.minimum(x, y) << 32 | np.maximum(x, y))[x != y], return_counts=True)  # one row may have a code twice
+        both, spot = np.unique(np.concatenate([both, now]), return_inverse=True)
+        counts = np.bincount(spot, np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
+    return both[counts > 1]
+
+
+def _near(one: DataFrame, seq: str, k: int, groups: int, parts: int) -> DataFrame:
+    """(a, b): all pairs of ids that share four k-mers of a group, and few others; a pair may have a row for each part.  k-mers are dealt to groups, and a group's threes to
+    parts by their least code, so that parts have about as many.  A sequence's k-mers are shuffled as codes, its threes never."""
+    edges = np.floor(65536 * (1 - (1 - np.arange(parts) / parts) ** (1 / 3))).astype(np.int64)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame(_dealt(b["id"].to_numpy(np.int64), b["seq"].tolist(), k, groups, edges), columns=["part", "ids", "sizes", "codes"])
+
+    def meet(held: list, part: int) -> Iterator[pd.DataFrame]:
+        ids, sizes, codes = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held, strict=True), (np.int64, np.int32, np.uint16), strict=True))
+        low = part % parts
+        for both in _sharing_four(sizes.astype(np.int64), codes, int(edges[low]), int(edges[low + 1]) if low + 1 < parts else 65536):
+            a, b = ids[both >> 32], ids[both & 0xFFFFFFFF]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, at = [], None
+        for batch in batches:
+            for p, *rest in batch.itertuples(index=False):
+                if held and p != at:
+                    yield from meet(held, at)
+                    held = []
+                at = p
+                held.append(rest)
+        if held:
+            yield from meet(held, at)
+
+    dealt = one.select(F.col("__id").alias("id"), F.col(seq).alias("seq")).mapInPandas(deal, "part int, ids binary, sizes binary, codes binary")
+    return dealt.repartitionById(groups * parts, F.col("part")).sortWithinPartitions("part").mapInPandas(run, "a long, b long")  # by hash, some tasks would get several parts
+
+
+def _by_threes(one: DataFrame, key: str, seq: str, k: int, least: float, groups: int, parts: int) -> DataFrame:
+    """Pairs by four k-mers of a group: of more than 3 * groups k-mers that two sequences share, dealt to `groups` groups, four are in one.  Unrelated sequences that share a
+    k-mer seldom share four of a group, so what is written grows with the sequences.  Pairs that are left are verified on their whole sets."""
+    near = cut(_near(one, seq, k, groups, parts).distinct(), "near")
+    of = lambda side: one.select(F.col("__id").alias(side), F.col(key).alias(f"key_{side}"), F.col(seq).alias(f"seq_{side}"), F.col("n").alias(f"n{side}"))
+    whole = near.join(of("a"), "a").join(of("b"), "b")
+
+    def common(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            (ra, ha), (rb, hb) = _distinct(t["seq_a"].tolist(), k), _distinct(t["seq_b"].tolist(), k)
+            row, h = np.concatenate([ra, rb]), np.concatenate([ha, hb])
+            order = np.lexsort((h, row))
+            row, h = row[order], h[order]
+            c = np.bincount(row[1:][(row[1:] == row[:-1]) & (h[1:] == h[:-1])], minlength=len(t))
+            sim = c / (t["na"].to_numpy(np.int64) + t["nb"].to_numpy(np.int64) - c)
+            yield pd.DataFrame({"a": t["key_a"], "b": t["key_b"], "sim": sim})[(sim >= least) & (c > 0)]
+
+    kind = one.schema[key].dataType.simpleString()
+    found = whole.select("key_a", "key_b", "seq_a", "seq_b", "na", "nb").mapInPandas(common, f"a {kind}, b {kind}, sim double")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
+
+
 def _in_blocks(one: DataFrame, key: str, seq: str, k: int, least: float, blocks: int) -> DataFrame:
     """Pairs by counting: sequences are dealt to blocks, and each two blocks (and each with itself) meet in one task, which holds their sequences and the lists of
     one.  A sequence is shuffled once for each block, as letters, so what is written grows with the sequences as long as blocks hold fewer than BLOCK_LETTERS

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assign as A
 from ..operators import tables as T
+from ..operators.groups import cut
 from .registry import query
 from .sqltext import pct
 
@@ -125,9 +126,9 @@ def _(fx):
 @query("similarity_cluster")
 def _(fx):
     s = fx("fx_strands")
-    of = T.sequence_classes(s, "seq_id", "seq")
-    first = s.join(of.select(F.col("representative").alias("seq_id")).distinct(), "seq_id", "left_semi")
-    found = A.similarity_cluster(first.select(F.col("seq_id").alias("id"), F.length("seq").cast("long").alias("size")), T.kmer_similarity_join(s, "seq_id", "seq", 8, 0.1), 0.1)
+    of = cut(T.sequence_classes(s, "seq_id", "seq"), "classes")  # read twice
+    sizes = s.select(F.col("seq_id").alias("id"), F.length("seq").cast("long").alias("size"))
+    found = A.similarity_cluster(sizes.join(of.filter("seq_id = representative").select(F.col("seq_id").alias("id")), "id", "left_semi"), T.kmer_similarity_join(s, "seq_id", "seq", 8, 0.1), 0.1)
     return of.join(found, F.col("representative").cast("string") == F.col("id")).select(F.col("seq_id").cast("string").alias("id"), "centroid")
 
 
