@@ -180,8 +180,9 @@ def sequence_classes(df: DataFrame, key: str, seq: str) -> DataFrame:
     return df.select(key, F.xxhash64(seq).alias("__h"), seq).join(least, ["__h", seq]).select(key, "representative")
 
 
-# pairs that meet at a k-mer are rows up to FEW_PAIRS; blocks have BLOCK_LETTERS letters at most
-FEW_PAIRS, FEWEST_BLOCKS, BLOCK_LETTERS = 10_000_000, 12, 1 << 24
+# pairs that meet at a k-mer are rows up to FEW_PAIRS; a block's index takes about BLOCK_BYTES and is made in steps of STEP_LETTERS letters; 1 << CELL_BITS
+# neighbours are counted together first
+FEW_PAIRS, FEWEST_BLOCKS, BLOCK_BYTES, STEP_LETTERS, CELL_BITS, TOGETHER = 10_000_000, 12, 1 << 28, 1 << 20, 3, 1 << 16
 
 
 def kmer_similarity_join(df: DataFrame, key: str, seq: str, k: int, least: float, block: int = 512, few: int = FEW_PAIRS) -> DataFrame:
@@ -190,14 +191,12 @@ def kmer_similarity_join(df: DataFrame, key: str, seq: str, k: int, least: float
 
     How many pairs meet at a k-mer says which way is taken; both are exact.  Up to `few` (or 64 a sequence): prefix filtering.  More, as with short k-mers,
     which unrelated sequences share: no pair that only meets is written; blocks of sequences count what they have in common (_in_blocks)."""
-    one = df.filter(F.length(seq) >= k).groupBy(seq).agg(F.min(key).alias(key))
-    one = cut(one.select(key, seq, F.size(canonical_kmers(F.col(seq), k)).alias("n")), "sequences")
-    met = one.select(F.explode(canonical_kmers(F.col(seq), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("df"))
-    meetings = met.agg(F.sum(F.col("df") * (F.col("df") - 1) / 2)).first()[0] or 0
-    if meetings > few:
+    one = cut(df.filter(F.length(seq) >= k).groupBy(seq).agg(F.min(key).alias(key)).select(key, seq), "sequences")
+    meetings, distinct = _holders(one, seq, k).agg(F.sum(F.col("df") * (F.col("df") - 1) / 2), F.count("*")).first()
+    if (meetings or 0) > few:
         rows, letters = one.agg(F.count("*"), F.sum(F.length(seq))).first()
         if meetings > 64 * rows:
-            return _in_blocks(one, key, seq, k, least, max(FEWEST_BLOCKS, -(-letters // BLOCK_LETTERS)))
+            return _in_blocks(one, key, seq, k, least, max(FEWEST_BLOCKS, -(-letters // _block_letters(distinct))))
     return _by_prefix(one, key, seq, k, least, block)
 
 
@@ -209,7 +208,7 @@ def _by_prefix(one: DataFrame, key: str, seq: str, k: int, least: float, block:
     more than the rest of either set; if that is too little for the index, the pair is dropped where it is found.  A k-mer in the prefixes of
     more than `block` sequences is dealt to pairs of blocks of about that size, so no key of the join is larger, whatever a family of
     near-equal sequences shares.  Pairs that are left are verified on their whole sets."""
-    sets = cut(one.select(key, canonical_kmers(F.col(seq), k).alias("set"), "n"), "kmers")
+    sets = cut(one.select(key, canonical_kmers(F.col(seq), k).alias("set")).select(key, "set", F.size("set").alias("n")), "kmers")
     rows = sets.select(key, "n", F.explode("set").alias("kmer"))
     seen = rows.groupBy("kmer").agg(F.count("*").alias("df")).filter("df > 1")
     # k-mers of one row only come first; they match nothing, so only their number matters
@@ -252,81 +251,195 @@ def _strand_hashes(seqs: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[:n][whole], np.minimum(*hashes)[whole]
 
 
-def _hashes(seqs: list[str], k: int, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """_strand_hashes in steps, so that what it makes by the way stays small."""
-    parts = [_strand_hashes(seqs[i : i + step], k) for i in range(0, len(seqs), step)] or [_strand_hashes([], k)]
-    return np.concatenate([r + i * step for i, (r, _) in enumerate(parts)]), np.concatenate([h for _, h in parts])
+def _steps(seqs: list[str], letters: int, most: int = 1 << 16) -> Iterator[slice]:
+    """Slices of about `letters` letters and `most` sequences at most."""
+    at = size = 0
+    for i, s in enumerate(seqs):
+        size += len(s)
+        if size >= letters or i + 1 - at == most:
+            yield slice(at, i + 1)
+            at, size = i + 1, 0
+    if at < len(seqs):
+        yield slice(at, len(seqs))
 
 
-def _grouped(major: np.ndarray, minor: np.ndarray, n: int) -> tuple[list[int], np.ndarray]:
-    """The distinct minor numbers of each major number below n: where each one's begin, and all of them."""
-    both = np.sort(major.astype(np.uint64) << np.uint64(32) | minor.astype(np.uint64))
-    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
-    starts = np.searchsorted(both, np.arange(n + 1, dtype=np.uint64) << np.uint64(32))
-    return starts.tolist(), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-
-
-def _counted(index: pd.DataFrame, asks: pd.DataFrame | None, k: int, least: float) -> Iterator[pd.DataFrame]:
-    """(a, b, sim) between the sequences of two blocks (asks None: within one).  A sequence's k-mers name the lists of the sequences that hold them;
-    how often each stands in those lists is what it has in common."""
-    row, h = _hashes(index["seq"].tolist(), k)
-    known = np.unique(h)
-    starts, holders = _grouped(np.searchsorted(known, h), row, len(known))
-    within, asks = asks is None, index if asks is None else asks
-    row, h = _hashes(asks["seq"].tolist(), k)
-    spot = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-    held = known[spot] == h if len(known) else np.zeros(len(h), bool)
-    begins, ids = _grouped(row[held], spot[held], len(asks))
-    sizes, own, names, own_names = index["n"].to_numpy(np.int64), asks["n"].tolist(), index["key"].to_numpy(), asks["key"].to_numpy()
-    fewest, share, ready, found = int(sizes.min()) if len(sizes) else 0, least / (1 + least), 0, []
-    for i, n in enumerate(own):
-        lists = [holders[starts[j] : starts[j + 1]] for j in ids[begins[i] : begins[i + 1]].tolist()]
-        if not lists:
-            continue
-        common = np.bincount(np.concatenate(lists), minlength=len(sizes))
-        near = np.flatnonzero(common >= max(share * (n + fewest) - 1e-6, 1))
-        if within:
-            near = near[near > i]
-        sim = common[near] / (n + sizes[near] - common[near])
-        near, sim = near[sim >= least], sim[sim >= least]
-        if len(near):
-            found.append((np.repeat(own_names[i : i + 1], len(near)), names[near], sim))
-            ready += len(near)
-        if ready > 100_000:
-            yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(("a", "b", "sim"), zip(*found, strict=True), strict=True)})
-            ready, found = 0, []
-    if found:
-        yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(("a", "b", "sim"), zip(*found, strict=True), strict=True)})
+def _hashes(seqs: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """_strand_hashes in short steps, so that what it makes by the way stays small."""
+    parts = [(part.start, *_strand_hashes(seqs[part], k)) for part in _steps(seqs, 1 << 15)] or [(0, *_strand_hashes([], k))]
+    return np.concatenate([r + at for at, r, _ in parts]), np.concatenate([h for _, _, h in parts])
 
 
-def _in_blocks(one: DataFrame, key: str, seq: str, k: int, least: float, blocks: int) -> DataFrame:
-    """Pairs by counting: sequences are dealt to blocks, and each two blocks (and each with itself) meet in one task, which holds their sequences and the lists of
-    one.  A sequence is shuffled once for each block, as letters, so what is written grows with the sequences as long as blocks hold fewer than BLOCK_LETTERS
-    letters; the work is a count for each k-mer that two sequences share, quadratic but without a row for it."""
-    own = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(blocks)).cast("int")
-    pair = lambda y: F.least("own", y) * blocks + F.greatest("own", y)
-    dealt = one.select(F.col(key).alias("key"), F.col(seq).alias("seq"), "n", own.alias("own")).select("key", "seq", "n", "own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("y"))
-    dealt = dealt.select(pair(F.col("y")).alias("pair"), (F.col("own") >= F.col("y")).alias("late"), "key", "seq", "n")
-    dealt = dealt.repartition(blocks * (blocks + 1) // 2, "pair").sortWithinPartitions("pair")
+def _distinct(sorted_values: np.ndarray) -> np.ndarray:
+    new = np.ones(len(sorted_values), bool)
+    new[1:] = sorted_values[1:] != sorted_values[:-1]
+    return sorted_values[new]
+
 
-    def meet(rows: pd.DataFrame, pair: int) -> Iterator[pd.DataFrame]:
-        late = rows["late"].to_numpy(bool)
-        return _counted(rows[late], None if pair // blocks == pair % blocks else rows[~late], k, least)
+def _spots(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """searchsorted(known, h) for hashes, whose first bits nearly say where they are."""
+    bits = np.uint64(64 - min(max(len(known).bit_length(), 1), 20))
+    spots = np.searchsorted(known, np.arange(1 << 64 - int(bits), dtype=np.uint64) << bits)[h >> bits]
+    some = np.arange(len(h) if len(known) else 0)
+    while len(some):
+        some = some[(spots[some] < len(known)) & (known[np.minimum(spots[some], len(known) - 1)] < h[some])]
+        spots[some] += 1
+    return spots
+
+
+def _grouped(major: np.ndarray, minor: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct minor numbers of each major number below n: where each one's begin, and all of them."""
+    both = _distinct(np.sort(major.astype(np.uint64) << np.uint64(32) | minor.astype(np.uint64)))
+    starts = np.zeros(n + 1, np.int64)
+    np.cumsum(np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=n), out=starts[1:])
+    return starts, (both & np.uint64(0xFFFFFFFF)).astype(np.int32)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, at = [], None
+
+def _holders(one: DataFrame, seq: str, k: int) -> DataFrame:
+    """(kmer, df): how many sequences hold each canonical k-mer.  Counted in tasks first."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for p, part in batch.groupby("pair", sort=False):
-                if held and p != at:
-                    yield from meet(pd.concat(held), at)
-                    held = []
-                at = p
-                held.append(part)
-        if held:
-            yield from meet(pd.concat(held), at)
+            seqs = batch["seq"].tolist()
+            for part in _steps(seqs, STEP_LETTERS):
+                known, starts, _ = _step(seqs[part], k)
+                yield pd.DataFrame({"kmer": known.view(np.int64), "df": np.diff(starts)})
+
+    return one.select(F.col(seq).alias("seq")).mapInPandas(count, "kmer long, df long").groupBy("kmer").agg(F.sum("df").alias("df"))
+
+
+def _step(seqs: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct k-mers of a step's sequences, where each one's holders begin, and all of these."""
+    row, h = _hashes(seqs, k)
+    known = _distinct(np.sort(h))
+    return known, *_grouped(_spots(known, h), row, len(known))
+
+
+def _block_letters(distinct: int) -> int:
+    """How many letters a block may have, if all sequences have so many distinct k-mers.  Of its index a letter takes 10 bytes (its holder in the step and in the
+    whole, and itself where a block meets itself), a k-mer of a step 16 and one of the block 28."""
+    each = 10 + 16 * min(distinct, STEP_LETTERS) / STEP_LETTERS
+    return max(BLOCK_BYTES // 54, int((BLOCK_BYTES - 28 * distinct) / each))
+
+
+class _Block:
+    """A block's sequences by the k-mers that they hold.  Steps are sorted one by one as rows come and put together before the first question, so that little more
+    than the lists of holders is in memory at any time."""
+
+    def __init__(self, k: int, least: float):
+        self.k, self.least, self.steps, self.names, self.sizes = k, least, [], [], []
+
+    def add(self, rows: pd.DataFrame) -> None:
+        seqs = rows["seq"].tolist()
+        self.names.append(rows["key"].to_numpy())
+        for part in _steps(seqs, STEP_LETTERS):
+            known, starts, holders = _step(seqs[part], self.k)
+            self.sizes.append(np.bincount(holders).astype(np.int32))
+            self.steps.append((known, starts, holders.astype(np.uint16)))
+
+    def _close(self) -> None:
+        self.known = np.empty(0, np.uint64)
+        for known, _, _ in self.steps:
+            self.known = _distinct(np.sort(np.concatenate([self.known, known])))
+        self.starts = np.zeros(len(self.known) + 1, np.int64)
+        for known, starts, _ in self.steps:
+            self.starts[np.searchsorted(self.known, known) + 1] += np.diff(starts)
+        np.cumsum(self.starts, out=self.starts)
+        self.holders, free, first = np.empty(int(self.starts[-1]), np.int32), self.starts[:-1].copy(), 0
+        for i, (known, starts, holders) in enumerate(self.steps):
+            spots, sizes = np.searchsorted(self.known, known), np.diff(starts)
+            self.holders[np.repeat(free[spots] - starts[:-1], sizes) + np.arange(len(holders))] = holders + np.int32(first)
+            free[spots] += sizes
+            first += len(self.sizes[i])
+            self.steps[i] = None
+        self.steps, self.names, self.sizes = [], [np.concatenate(self.names)], [np.concatenate(self.sizes)]
+
+    def meet(self, rows: pd.DataFrame, first: int | None = None) -> Iterator[pd.DataFrame]:
+        """(a, b, sim) of the block's sequences and others.  first: they are the block's own from there on, and meet those after them."""
+        if not self.names:
+            return
+        if self.steps:
+            self._close()
+        seqs, names = rows["seq"].tolist(), rows["key"].to_numpy()
+        for part in _steps(seqs, STEP_LETTERS):
+            yield from self._counted(seqs[part], names[part], None if first is None else first + part.start)
+
+    def within(self, rows: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(a, b, sim) of the block's sequences, which rows are."""
+        first = 0
+        for part in rows:
+            yield from self.meet(part, first)
+            first += len(part)
+
+    def _counted(self, seqs: list[str], asks: np.ndarray, first: int | None) -> Iterator[pd.DataFrame]:
+        """A sequence's k-mers name the lists of the sequences that hold them; how often each stands in those lists is what it has in common.  Neighbours are
+        counted together first: where all of a cell have too little, none has enough."""
+        row, h = _hashes(seqs, self.k)
+        own = _distinct(np.sort(h))
+        begins, kmers = _grouped(row, _spots(own, h), len(seqs))
+        spots = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        held = self.known[spots] == own
+        lists, each = self.starts[spots], np.where(held, self.starts[spots + 1] - self.starts[spots], 0)[kmers]
+        lists = lists[kmers]
+        n, upto, sizes, names = np.diff(begins), np.append(0, np.cumsum(each)), self.sizes[0], self.names[0]
+        ends = upto[begins]
+        need = np.maximum(self.least / (1 + self.least) * (n + int(sizes.min())) - 1e-6, 1)
+        width, ramp = (len(sizes) - 1 >> CELL_BITS) + 1, np.arange(max(TOGETHER, int(np.diff(ends).max())))
+        ready, found, i = 0, [], 0
+        while i < len(seqs):  # as many at once as have TOGETHER hits and cells, one at least
+            j = int(np.searchsorted(ends, ends[i] + TOGETHER, side="right")) - 1
+            j = max(i + 1, min(j, i + TOGETHER // width, len(seqs)))
+            part, hits = slice(begins[i], begins[j]), (ends[i : j + 1] - ends[i]).tolist()
+            spots = np.repeat(lists[part] - upto[part] + ends[i], each[part])
+            spots += ramp[: hits[-1]]
+            ids = self.holders.take(spots, mode="clip")
+            cells = ids >> CELL_BITS
+            for x in range(1, j - i):
+                cells[hits[x] : hits[x + 1]] += x * width
+            together = np.bincount(cells, minlength=(j - i) * width).reshape(-1, width)
+            for x in np.flatnonzero(together.max(axis=1) >= need[i:j]).tolist():
+                own = slice(hits[x], hits[x + 1])
+                near, common = np.unique(ids[own][(together[x] >= need[i + x]).take(cells[own] - x * width)], return_counts=True)
+                sim = common / (n[i + x] + sizes[near] - common)
+                good = sim >= self.least if first is None else (sim >= self.least) & (near > first + i + x)
+                if good.any():
+                    found.append((np.repeat(asks[i + x : i + x + 1], good.sum()), names[near[good]], sim[good]))
+                    ready += len(found[-1][2])
+            i = j
+            if ready > 100_000 or found and i == len(seqs):
+                yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(("a", "b", "sim"), zip(*found, strict=True), strict=True)})
+                ready, found = 0, []
+
+
+def _pairs_of_blocks(batches: Iterator[pd.DataFrame], k: int, least: float) -> Iterator[pd.DataFrame]:
+    """(a, b, sim) of rows (pair, role, key, seq), ordered by pair and falling role: 2 a block's own where it meets itself, 1 of the block that is held, 0 of the one that asks."""
+    at, block, same = None, _Block(k, least), []
+    for batch in batches:
+        for (pair, role), rows in batch.groupby(["pair", "role"], sort=False):
+            if pair != at:
+                yield from block.within(same)
+                at, block, same = pair, _Block(k, least), []
+            if role:
+                block.add(rows)
+            else:
+                yield from block.meet(rows)
+            if role == 2:
+                same.append(rows[["key", "seq"]])
+    yield from block.within(same)
+
+
+def _in_blocks(one: DataFrame, key: str, seq: str, k: int, least: float, blocks: int) -> DataFrame:
+    """Pairs by counting: sequences are dealt to blocks, and each two blocks (and each with itself) meet in one task.  It holds the lists of one block, whose rows come
+    first; the other's are asked as they come.  A sequence is shuffled once for each block, as letters, so what is written grows with the sequences as long as
+    FEWEST_BLOCKS are enough; the work is a count for each k-mer that two sequences share, quadratic but without a row for it."""
+    own = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(blocks)).cast("int")
+    dealt = one.select(F.col(key).alias("key"), F.col(seq).alias("seq"), own.alias("own")).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("y"))
+    low, high = F.least("own", "y"), F.greatest("own", "y")
+    role = F.when(F.col("own") == F.col("y"), 2).when(F.col("own") > F.col("y"), 1).otherwise(0)
+    dealt = dealt.select((F.floor(high * (high + 1) / 2) + low).cast("int").alias("pair"), role.alias("role"), "key", "seq")
+    dealt = dealt.repartitionById(blocks * (blocks + 1) // 2, F.col("pair")).sortWithinPartitions("pair", F.desc("role"))  # by hash, some tasks would get several pairs
 
     kind = one.schema[key].dataType.simpleString()
-    found = dealt.mapInPandas(run, f"a {kind}, b {kind}, sim double")
+    found = dealt.mapInPandas(lambda batches: _pairs_of_blocks(batches, k, least), f"a {kind}, b {kind}, sim double")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").filter(F.col("sim") >= least)
 
 
